@@ -38,8 +38,10 @@ def round_ratio(num, den, digits: int) -> Column:
 
 
 def unscaled(col, scale: int) -> Column:
-    """Decimal value with `scale` digits as an exact long (value * 10^scale)."""
-    return (_col(col) * F.lit(10**scale)).cast("long")
+    """Value with `scale` digits as an exact long (value * 10^scale).
+
+    Rounded before the cast: doubles such as 3.45 are 344.99999... * 100."""
+    return F.round(_col(col) * F.lit(10**scale)).cast("long")
 
 
 def money(col) -> Column:

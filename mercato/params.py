@@ -56,6 +56,13 @@ class Params:
     )
     uncategorized: str = "uncategorized"
     ml_unknown_category: str = "unknown"
+    # First operational month(s), left out of the monthly cancellation chart.
+    cancel_exclude_months: tuple[dt.date, ...] = (dt.date(2016, 10, 1),)
+    # Window of the operational monthly cancellation trend.
+    ops_cancel_start: dt.date = dt.date(2017, 1, 1)
+    ops_cancel_end: dt.date = dt.date(2018, 8, 1)
+    # Dashboard click action: restrict segment-driven sheets to one RFM segment.
+    segment_filter: str | None = None
     # Sample / correlation / ML settings.
     sample_size: int = 5000
     sample_max_lag_hours: float = 72.0
@@ -80,4 +87,7 @@ FIXTURE_PARAMS = Params(
     cohort_end=dt.date(2001, 7, 1),
     cohort_exclude=(dt.date(1995, 3, 1),),
     placeholder_dates=(dt.date(1997, 9, 19), dt.date(1998, 9, 19)),
+    cancel_exclude_months=(dt.date(1995, 1, 1),),
+    ops_cancel_start=dt.date(1996, 1, 1),
+    ops_cancel_end=dt.date(2001, 7, 1),
 )

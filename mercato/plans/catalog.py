@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions.numeric import round_ratio, unscaled
 from mercato.params import Params
+from mercato.plans import reports as R
 from mercato.plans import views as V
 from mercato.plans.registry import register
 from mercato.sources.star import Star
@@ -110,3 +111,62 @@ def q_delay(s, p):
 @register("unified_orders")
 def q_unified(s, p):
     return V.unified_orders(s, p, V.rfm_scores(s, p), V.category_sla(s, p))
+
+
+# ------------------------------------------------------------ reports over the views
+def _reg(key, fn):
+    register(key)(fn)
+
+
+_reg("rfm_validation", lambda s, p: R.rfm_validation(V.rfm_scores(s, p)))
+_reg("cohort_matrix", lambda s, p: R.cohort_matrix(V.cohort_retention(s, p), p))
+_reg("cohort_shape", lambda s, p: R.cohort_shape(V.cohort_retention(s, p)))
+_reg("cohort_dropoff", lambda s, p: R.cohort_dropoff(V.cohort_retention(s, p)))
+_reg("cohort_best_period1", lambda s, p: R.cohort_best_period1(V.cohort_retention(s, p)))
+_reg("cohort_summary", lambda s, p: R.cohort_summary(V.cohort_retention(s, p), p))
+_reg("category_sla_summary", lambda s, p: R.category_sla_summary(V.category_sla(s, p)))
+_reg("category_sla_worst10", lambda s, p: R.category_sla_worst10(V.category_sla(s, p)))
+_reg("category_sla_top15", lambda s, p: R.category_sla_top15(V.category_sla(s, p), p))
+_reg("revenue_vs_late", lambda s, p: R.revenue_vs_late(V.category_sla(s, p), V.revenue_by_category(s, p), p))
+_reg("seller_sanity", lambda s, p: R.seller_sanity(V.seller_performance(s, p)))
+_reg("seller_top_revenue", lambda s, p: R.seller_top_revenue(V.seller_performance(s, p)))
+_reg("seller_high_risk", lambda s, p: R.seller_high_risk(V.seller_performance(s, p)))
+_reg("seller_risk_tiers", lambda s, p: R.seller_risk_tiers(V.seller_performance(s, p), p))
+_reg("revenue_shape", lambda s, p: R.revenue_shape(V.revenue_by_category(s, p)))
+_reg("revenue_top5", lambda s, p: R.revenue_top5(V.revenue_by_category(s, p)))
+_reg("revenue_peak_months", lambda s, p: R.revenue_peak_months(V.revenue_by_category(s, p)))
+_reg("revenue_trend", lambda s, p: R.revenue_trend(V.revenue_by_category(s, p)))
+_reg("revenue_summary", lambda s, p: R.revenue_summary(V.revenue_by_category(s, p)))
+_reg("cancellation_by_dimension", lambda s, p: R.cancellation_by_dimension(V.cancellation_analysis(s, p)))
+_reg("cancellation_platform_rate", lambda s, p: R.cancellation_platform_rate(V.cancellation_analysis(s, p)))
+_reg("cancellation_hotspots", lambda s, p: R.cancellation_hotspots(V.cancellation_analysis(s, p)))
+_reg("cancellation_monthly", lambda s, p: R.cancellation_monthly(V.cancellation_analysis(s, p), p))
+_reg("cancellation_top_states", lambda s, p: R.cancellation_top_states(V.cancellation_analysis(s, p), p))
+_reg("delay_feature_balance", lambda s, p: R.delay_feature_balance(V.delivery_delay_drivers(s, p)))
+_reg("delay_feature_sanity", lambda s, p: R.delay_feature_sanity(V.delivery_delay_drivers(s, p)))
+_reg("class_split", lambda s, p: R.class_split(V.delivery_delay_drivers(s, p)))
+_reg("delay_outcome_means", lambda s, p: R.delay_outcome_means(V.delivery_delay_drivers(s, p)))
+_reg("delay_driver_sample", lambda s, p: R.delay_driver_sample(V.delivery_delay_drivers(s, p), p))
+_reg("delay_by_outcome", lambda s, p: R.delay_by_outcome(R.delay_driver_sample(V.delivery_delay_drivers(s, p), p)))
+_reg("feature_correlation", lambda s, p: R.feature_correlation(V.delivery_delay_drivers(s, p)))
+_reg("high_correlation_pairs",
+     lambda s, p: R.high_correlation_pairs(R.feature_correlation(V.delivery_delay_drivers(s, p)), p))
+
+
+def _unified(s, p):
+    return V.unified_orders(s, p, V.rfm_scores(s, p), V.category_sla(s, p))
+
+
+_reg("unified_checks", lambda s, p: R.unified_checks(_unified(s, p)))
+_reg("dash_segments", lambda s, p: R.dash_segments(_unified(s, p)))
+_reg("dash_revenue_top5", lambda s, p: R.dash_revenue_top5(_unified(s, p), p))
+_reg("dash_sla_top20", lambda s, p: R.dash_sla_top20(_unified(s, p), p))
+_reg("dash_retention", lambda s, p: R.dash_retention(V.cohort_retention(s, p), p))
+_reg("geo_drill", lambda s, p: R.geo_drill(_unified(s, p)))
+_reg("ops_seller_kpis", lambda s, p: R.ops_seller_kpis(V.seller_performance(s, p)))
+_reg("ops_top20_sellers", lambda s, p: R.ops_top20_sellers(V.seller_performance(s, p)))
+_reg("ops_volume_vs_late", lambda s, p: R.ops_volume_vs_late(V.seller_performance(s, p)))
+_reg("ops_cancel_trend", lambda s, p: R.ops_cancel_trend(V.monthly_cancellations(s, p), p))
+_reg("ops_top15_categories",
+     lambda s, p: R.ops_top15_categories(V.cancellation_analysis(s, p), s.dim_products))
+_reg("ops_state_table", lambda s, p: R.ops_state_table(V.cancellation_analysis(s, p)))

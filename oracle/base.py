@@ -21,7 +21,7 @@ def rr(num: str, den: str, digits: int) -> str:
 
 
 def cents(x: str, scale: int = 2) -> str:
-    return f"CAST(({x}) * {10**scale} AS HUGEINT)"
+    return f"CAST(round(({x}) * {10**scale}) AS HUGEINT)"
 
 
 def dlit(d) -> str:
@@ -210,4 +210,6 @@ fact_orders AS (
 def with_star(*ctes: str, select: str) -> str:
     """Full oracle statement: lens + star + the query's own CTEs + final select."""
     body = ",\n".join([LENS.strip(), STAR.strip(), *[c.strip() for c in ctes if c.strip()]])
+    if select.lstrip().startswith(","):  # the query adds CTEs of its own
+        return f"WITH {body}{select}"
     return f"WITH {body}\n{select}"

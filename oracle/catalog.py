@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from oracle import reports as OR
 from oracle import views as OV
 from oracle.base import with_star
 
@@ -30,9 +31,11 @@ q("revenue_by_category", OV.REVENUE, select="select * from v_revenue_by_category
 q("category_sla", OV.SLA, select="select * from v_category_sla")
 q("seller_performance", OV.SELLER, select="select * from v_seller_performance")
 q("cancellation_analysis", OV.CANCEL, select="select * from v_cancellation_analysis")
-q("monthly_cancellations", OV.cancellation_ctes(("canceled",), "mc"), select="""
-select substr(dimension_value, 1, 7) as order_month, cancelled_orders, total_orders, cancel_rate_pct
-from mc_view where analysis_dimension = 'monthly'""")
+MONTHLY_CANCEL = OV.cancellation_ctes(("canceled",), "mc") + """,
+monthly_cancel AS (
+  select substr(dimension_value, 1, 7) as order_month, cancelled_orders, total_orders, cancel_rate_pct
+  from mc_view where analysis_dimension = 'monthly')"""
+q("monthly_cancellations", MONTHLY_CANCEL, select="select * from monthly_cancel")
 q("cohort_retention", OV.COHORT, select="select * from v_cohort_retention")
 q("rfm_scores", OV.RFM, select="select * from v_rfm_scores")
 q("rfm_segment_summary", OV.RFM, select=f"""
@@ -43,3 +46,11 @@ select segment, cast(count(*) as bigint) as customer_count,
 from v_rfm_scores group by segment""")
 q("delivery_delay_drivers", OV.DELAY, select="select * from v_delivery_delay_drivers")
 q("unified_orders", OV.RFM, OV.SLA, OV.UNIFIED, select="select * from v_unified_orders")
+
+# ------------------------------------------------------------ reports
+_DEPS = {
+    "RFM": OV.RFM, "COHORT": OV.COHORT, "SLA": OV.SLA, "REVENUE": OV.REVENUE, "SELLER": OV.SELLER,
+    "CANCEL": OV.CANCEL, "DELAY": OV.DELAY, "UNIFIED": OV.UNIFIED, "MONTHLY_CANCEL": MONTHLY_CANCEL,
+}
+for _key, (_deps, _text) in OR.SQL.items():
+    q(_key, *[_DEPS[d] for d in _deps.split()], select=_text)
