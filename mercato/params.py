@@ -25,9 +25,11 @@ class Params:
     # Geolocation bounding box (Brazil), as cleaned: lat -33.75..5.27, lng -73.99..-28.85.
     box_lat: tuple[float, float] = (-33.75, 5.27)
     box_lng: tuple[float, float] = (-73.99, -28.85)
-    # Box used by the profiling report (wider): lat -35..5, lng -75..-30.
-    profile_box_lat: tuple[float, float] = (-35.0, 5.0)
-    profile_box_lng: tuple[float, float] = (-75.0, -30.0)
+    # Box used by the profiling report: lat -33.7..5.3, lng -73.9..-28.8.
+    profile_box_lat: tuple[float, float] = (-33.7, 5.3)
+    profile_box_lng: tuple[float, float] = (-73.9, -28.8)
+    # Delivery-time sanity bound (days) of the cleaning report.
+    max_delivery_days: int = 180
     # Minimum group sizes.
     sla_min_orders: int = 30
     seller_min_orders: int = 10

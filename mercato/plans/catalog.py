@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions.numeric import round_ratio, unscaled
 from mercato.params import Params
+from mercato.plans import quality as Q
 from mercato.plans import reports as R
 from mercato.plans import views as V
 from mercato.plans.registry import register
@@ -170,3 +171,25 @@ _reg("ops_cancel_trend", lambda s, p: R.ops_cancel_trend(V.monthly_cancellations
 _reg("ops_top15_categories",
      lambda s, p: R.ops_top15_categories(V.cancellation_analysis(s, p), s.dim_products))
 _reg("ops_state_table", lambda s, p: R.ops_state_table(V.cancellation_analysis(s, p)))
+
+
+# ------------------------------------------------------------ data quality
+_reg("profile_tables", lambda s, p: Q.profile_tables(s.raw))
+_reg("key_integrity", lambda s, p: Q.key_integrity(s.raw))
+_reg("ghost_orders", lambda s, p: Q.ghost_orders(s.raw))
+_reg("unmapped_categories", lambda s, p: Q.unmapped_categories(s.raw))
+_reg("constraint_violations", lambda s, p: Q.constraint_violations(s))
+_reg("row_count_report", lambda s, p: Q.row_count_report(s, s))
+_reg("duplicate_review_ids", lambda s, p: Q.duplicate_review_ids(s.raw))
+_reg("zip_prefix_stats", lambda s, p: Q.zip_prefix_stats(s.raw))
+_reg("items_per_order", lambda s, p: Q.items_per_order(s.raw))
+_reg("geo_outliers", lambda s, p: Q.geo_outliers(s.raw, p))
+_reg("delivery_anomalies", lambda s, p: Q.delivery_anomalies(s.raw, s, p))
+_reg("long_deliveries", lambda s, p: Q.long_deliveries(s, p))
+_reg("placeholder_report", lambda s, p: Q.placeholder_report(s, p))
+_reg("cleaning_steps", lambda s, p: Q.cleaning_steps(s.raw, s, p))
+_reg("extract_reconciliation", lambda s, p: Q.extract_reconciliation(V.rfm_scores(s, p), _unified(s, p)))
+_reg("seller_history_asof", lambda s, p: V.seller_history_asof(s, p))
+_reg("eda_sanity", lambda s, p: R.eda_sanity(
+    V.rfm_scores(s, p), V.cohort_retention(s, p), V.revenue_by_category(s, p), V.category_sla(s, p),
+    V.seller_performance(s, p), V.cancellation_analysis(s, p), V.delivery_delay_drivers(s, p), p))

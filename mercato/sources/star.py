@@ -28,9 +28,11 @@ class Star:
     fact_order_items: DataFrame
     bridge_payments: DataFrame
     bridge_reviews: DataFrame
+    # the raw bundle the star was cleaned from (quality reports need both sides)
+    raw: Raw | None = None
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {f.name: getattr(self, f.name) for f in fields(self) if f.name != "raw"}
 
     def register(self, prefix: str = "") -> None:
         """Named temp views over the star."""
@@ -50,6 +52,8 @@ class Star:
     def load(cls, spark: SparkSession, path: str) -> "Star":
         t = {}
         for f in fields(cls):
+            if f.name == "raw":
+                continue
             df = spark.read.parquet(f"{path.rstrip('/')}/{f.name}")
             if f.name == "fact_orders":
                 df = df.drop("purchase_month")
@@ -68,4 +72,5 @@ def build(raw: Raw, p: Params) -> Star:
         fact_order_items=raw.items,
         bridge_payments=payments,
         bridge_reviews=clean.clean_reviews(raw.reviews),
+        raw=raw,
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from oracle import quality as OQ
 from oracle import reports as OR
 from oracle import views as OV
 from oracle.base import with_star
@@ -52,5 +53,5 @@ _DEPS = {
     "RFM": OV.RFM, "COHORT": OV.COHORT, "SLA": OV.SLA, "REVENUE": OV.REVENUE, "SELLER": OV.SELLER,
     "CANCEL": OV.CANCEL, "DELAY": OV.DELAY, "UNIFIED": OV.UNIFIED, "MONTHLY_CANCEL": MONTHLY_CANCEL,
 }
-for _key, (_deps, _text) in OR.SQL.items():
+for _key, (_deps, _text) in {**OR.SQL, **OQ.SQL}.items():
     q(_key, *[_DEPS[d] for d in _deps.split()], select=_text)
