@@ -74,6 +74,11 @@ class Params:
     test_fraction: float = 0.2
     threshold: float = 0.5
     cold_start_orders: int = 10
+    num_trees: int = 300
+    # Temporal split / drift: orders before the cutoff are the earlier period.
+    temporal_cutoff: dt.date = dt.date(2018, 4, 1)
+    drift_edges: tuple[float, ...] = (5.0, 10.0, 15.0, 20.0, 30.0, 50.0)
+    risk_top_k: int = 10
     # Number of range partitions for the scalable NTILE (None: from the session).
     ntile_partitions: int | None = None
     extra: dict = field(default_factory=dict)
@@ -92,4 +97,5 @@ FIXTURE_PARAMS = Params(
     cancel_exclude_months=(dt.date(1995, 1, 1),),
     ops_cancel_start=dt.date(1996, 1, 1),
     ops_cancel_end=dt.date(2001, 7, 1),
+    temporal_cutoff=dt.date(2000, 6, 1),
 )

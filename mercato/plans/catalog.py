@@ -193,3 +193,20 @@ _reg("seller_history_asof", lambda s, p: V.seller_history_asof(s, p))
 _reg("eda_sanity", lambda s, p: R.eda_sanity(
     V.rfm_scores(s, p), V.cohort_retention(s, p), V.revenue_by_category(s, p), V.category_sla(s, p),
     V.seller_performance(s, p), V.cancellation_analysis(s, p), V.delivery_delay_drivers(s, p), p))
+
+
+# ------------------------------------------------------------ ML
+from mercato.ml import jobs as ML  # noqa: E402
+
+_reg("ml_features", ML.features)
+_reg("ml_split_summary", ML.split_summary)
+_reg("ml_seller_rate_psi", ML.seller_rate_psi)
+_reg("ml_forest_report", ML.forest_report)
+_reg("ml_logistic_report", ML.logistic_report)
+_reg("ml_temporal_report", ML.temporal_report)
+_reg("ml_confusion_matrix", ML.confusion)
+_reg("ml_pr_curve", ML.pr_curve)
+_reg("ml_best_threshold", ML.best_threshold)
+_reg("ml_feature_importance", ML.importance)
+_reg("ml_batch_scores", ML.batch_scores)
+_reg("ml_daily_top_risk", ML.daily_top_risk)

@@ -267,3 +267,29 @@ SQL["eda_sanity"] = ("RFM COHORT REVENUE SLA SELLER CANCEL DELAY", f"""
 es_lag AS (select * from v_delivery_delay_drivers where approval_lag_hours is not null)
 """ + "\nunion all\n".join(
     f"select '{m}' as metric, cast(({e}) as double) as value from {src}" for m, e, src in _SANITY))
+
+# ------------------------------------------------------------ SQL-expressible ML steps
+_NUM = ["order_day_of_week", "order_hour", "order_month_num", "item_count", "seller_count", "order_value",
+        "freight_value", "freight_ratio_pct", "avg_product_weight_g", "avg_product_volume_cm3",
+        "seller_hist_late_rate", "seller_avg_days_to_deliver", "seller_total_orders", "approval_lag_hours"]
+_MLF = f"""
+, mlf AS (
+  select order_id, cast(is_late as integer) as label, {", ".join(f"cast({c} as double) as {c}" for c in _NUM)},
+         customer_state, coalesce(primary_category, '{P.ml_unknown_category}') as primary_category
+  from v_delivery_delay_drivers where approval_lag_hours is not null)"""
+SQL["ml_features"] = ("DELAY", _MLF + "\nselect * from mlf")
+SQL["ml_split_summary"] = ("DELAY", _MLF + f"""
+select case when ((order_id % 2147483648) * 1103515245 + {P.seed}) % 2147483648 / 2147483648.0 < {P.test_fraction}
+            then 'test' else 'train' end as split, label, cast(count(*) as bigint) as rows
+from mlf group by 1, 2""")
+_BIN = " + ".join(f"cast(seller_hist_late_rate >= {e} as integer)" for e in P.drift_edges)
+SQL["ml_seller_rate_psi"] = ("DELAY", _MLF + f"""
+, psi_h AS (
+  select {_BIN} as bin,
+         count(case when o.order_purchase_timestamp < {dlit(P.temporal_cutoff)} then 1 end) as e,
+         count(case when o.order_purchase_timestamp >= {dlit(P.temporal_cutoff)} then 1 end) as a
+  from mlf m join fact_orders o on m.order_id = o.order_id
+  where seller_hist_late_rate is not null group by 1),
+psi_p AS (select greatest(e / (select sum(e) from psi_h), 1e-6) as pe,
+                 greatest(a / (select sum(a) from psi_h), 1e-6) as pa from psi_h)
+select round(sum((pa - pe) * ln(pa / pe)), 6) as psi from psi_p""")
