@@ -247,3 +247,14 @@ def psi(values: DataFrame, col: str, period_col: str, edges: list[float], eps: f
 def cold_start(scored: DataFrame, p: Params) -> DataFrame:
     """Flag orders whose seller has fewer than `cold_start_orders` orders."""
     return scored.withColumn("cold_start_seller", F.col("seller_total_orders") < p.cold_start_orders)
+
+
+# ------------------------------------------------------------ S9 / S10 artefacts
+def save_model(model: PipelineModel, path: str) -> None:
+    """One directory holds encoders, assembler (with the ordered feature list)
+    and the forest; overwrite keeps the save idempotent."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
