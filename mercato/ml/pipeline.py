@@ -91,6 +91,9 @@ def forest_pipeline(p: Params, num_trees: int = 300) -> Pipeline:
     rf = RandomForestClassifier(
         labelCol="label", featuresCol="features", weightCol="weight", numTrees=num_trees, maxDepth=12,
         minInstancesPerNode=20, featureSubsetStrategy="sqrt", impurity="gini", seed=p.seed,
+        # fewer passes over the data: more tree nodes are split per pass, and
+        # each row's node id is cached instead of re-derived from the trees
+        maxMemoryInMB=p.forest_node_memory_mb, cacheNodeIds=True, checkpointInterval=10,
     )
     return Pipeline(stages=[*_encoders(), rf])
 

@@ -75,6 +75,7 @@ class Params:
     threshold: float = 0.5
     cold_start_orders: int = 10
     num_trees: int = 300
+    forest_node_memory_mb: int = 1024
     # Temporal split / drift: orders before the cutoff are the earlier period.
     temporal_cutoff: dt.date = dt.date(2018, 4, 1)
     drift_edges: tuple[float, ...] = (5.0, 10.0, 15.0, 20.0, 30.0, 50.0)
