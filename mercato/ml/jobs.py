@@ -25,11 +25,18 @@ def _key(s: Star, tag: str):
 
 
 def fitted(s: Star, p: Params, temporal: bool = False) -> M.Fitted:
+    """Fit once per run.  The feature frame is persisted (MLlib passes over it
+    many times anyway) and the holdout is scored once; every evaluation job
+    derives its table from those scores."""
     key = _key(s, f"temporal={temporal}:{p.num_trees}:{p.seed}")
     if key not in _MODELS:
-        df = features(s, p)
+        df = features(s, p).persist()
         split = M.temporal_split(df, s.fact_orders, p.temporal_cutoff) if temporal else None
-        _MODELS[key] = M.fit(df, p, logistic=not temporal, num_trees=p.num_trees, split=split)
+        f = M.fit(df, p, logistic=not temporal, num_trees=p.num_trees, split=split)
+        f.frame = df
+        f.scored_test = M.score(f.forest, f.test, p.threshold).persist()
+        f.lr_scored_test = M.score(f.logistic, f.test, p.threshold).persist() if f.logistic is not None else None
+        _MODELS[key] = f
     return _MODELS[key]
 
 
@@ -39,8 +46,7 @@ def split_summary(s: Star, p: Params) -> DataFrame:
     return df.groupBy(part.alias("split"), "label").agg(F.count(F.lit(1)).cast("long").alias("rows"))
 
 
-def _report(model, test: DataFrame, p: Params, baseline: float | None = None) -> DataFrame:
-    scored = M.score(model, test, p.threshold).cache()
+def _report(scored: DataFrame, baseline: float | None = None) -> DataFrame:
     a = M.auc(scored)
     rep = M.classification_report(scored)
     out = rep.withColumn("auc", F.lit(a)).withColumn("gate", F.lit(M.gate_status(a, baseline)))
@@ -49,28 +55,24 @@ def _report(model, test: DataFrame, p: Params, baseline: float | None = None) ->
 
 def forest_report(s: Star, p: Params) -> DataFrame:
     f = fitted(s, p)
-    base = M.auc(M.score(f.logistic, f.test, p.threshold)) if f.logistic is not None else None
-    return _report(f.forest, f.test, p, base)
+    base = M.auc(f.lr_scored_test) if f.lr_scored_test is not None else None
+    return _report(f.scored_test, base)
 
 
 def logistic_report(s: Star, p: Params) -> DataFrame:
-    f = fitted(s, p)
-    return _report(f.logistic, f.test, p)
+    return _report(fitted(s, p).lr_scored_test)
 
 
 def temporal_report(s: Star, p: Params) -> DataFrame:
-    f = fitted(s, p, temporal=True)
-    return _report(f.forest, f.test, p)
+    return _report(fitted(s, p, temporal=True).scored_test)
 
 
 def confusion(s: Star, p: Params) -> DataFrame:
-    f = fitted(s, p)
-    return M.confusion_matrix(M.score(f.forest, f.test, p.threshold))
+    return M.confusion_matrix(fitted(s, p).scored_test)
 
 
 def pr_curve(s: Star, p: Params) -> DataFrame:
-    f = fitted(s, p)
-    return M.curve_table(M.score(f.forest, f.test, p.threshold))
+    return M.curve_table(fitted(s, p).scored_test)
 
 
 def best_threshold(s: Star, p: Params) -> DataFrame:
@@ -83,7 +85,7 @@ def importance(s: Star, p: Params) -> DataFrame:
 
 def batch_scores(s: Star, p: Params) -> DataFrame:
     f = fitted(s, p)
-    return M.cold_start(M.score(f.forest, features(s, p), p.threshold), p)
+    return M.cold_start(M.score(f.forest, f.frame, p.threshold), p)
 
 
 def daily_top_risk(s: Star, p: Params) -> DataFrame:

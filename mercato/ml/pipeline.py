@@ -115,6 +115,9 @@ class Fitted:
     logistic: PipelineModel | None
     train: DataFrame
     test: DataFrame
+    frame: DataFrame | None = None
+    scored_test: DataFrame | None = None
+    lr_scored_test: DataFrame | None = None
 
 
 def fit(df: DataFrame, p: Params, logistic: bool = True, num_trees: int = 300, split=None) -> Fitted:

@@ -210,3 +210,19 @@ _reg("ml_best_threshold", ML.best_threshold)
 _reg("ml_feature_importance", ML.importance)
 _reg("ml_batch_scores", ML.batch_scores)
 _reg("ml_daily_top_risk", ML.daily_top_risk)
+
+
+# ------------------------------------------------------------ profiling statistics (A13, A14) and 2B
+from mercato.operators.profile import describe, value_counts  # noqa: E402
+
+_reg("delivery_describe", lambda s, p: describe(
+    s.fact_orders, ["days_to_deliver", "days_vs_estimate", "approval_lag_hours"]))
+_reg("money_describe", lambda s, p: describe(s.fact_order_items, ["price", "freight_value"]).unionByName(
+    describe(s.raw.payments, ["payment_value"])))
+_reg("order_status_counts", lambda s, p: value_counts(s.raw.orders, "order_status"))
+_reg("payment_type_counts", lambda s, p: value_counts(s.raw.payments, "payment_type"))
+_reg("installments_top10", lambda s, p: value_counts(s.raw.payments, "payment_installments", top=10))
+_reg("review_score_counts", lambda s, p: value_counts(s.raw.reviews, "review_score"))
+_reg("category_counts", lambda s, p: value_counts(s.raw.products, "product_category_name", dropna=False, top=5))
+_reg("cohort_period0", lambda s, p: V.cohort_retention(s, p).filter(F.col("period_number") == 0).select(
+    "cohort_month", "cohort_size", "retention_rate_pct"))

@@ -561,3 +561,32 @@ def seller_history_asof(s: Star, p: Params) -> DataFrame:
         round_ratio(tot["l"] * 100, tot["r"], 2).alias("seller_prior_late_rate"),
         round_ratio(tot["sd"], tot["cd"], 1).alias("seller_prior_avg_days_to_deliver"),
     )
+
+
+# ---------------------------------------------------------------- named SQL views
+VIEW_NAMES = {
+    "v_rfm_scores": lambda s, p: rfm_scores(s, p),
+    "v_cohort_retention": lambda s, p: cohort_retention(s, p),
+    "v_category_sla": lambda s, p: category_sla(s, p),
+    "v_seller_performance": lambda s, p: seller_performance(s, p),
+    "v_revenue_by_category": lambda s, p: revenue_by_category(s, p),
+    "v_cancellation_analysis": lambda s, p: cancellation_analysis(s, p),
+    "v_delivery_delay_drivers": lambda s, p: delivery_delay_drivers(s, p),
+}
+
+
+def register_views(s: Star, p: Params, prefix: str = "") -> list[str]:
+    """Temp views over the star tables and the analytical views, so reports can
+    be written as `spark.sql(...)` against the same names the SQL layer uses.
+    RFM is materialised once (its NTILE checkpoints) and reused by the unified view."""
+    s.register(prefix)
+    names = []
+    rfm = None
+    for name, fn in VIEW_NAMES.items():
+        df = fn(s, p)
+        if name == "v_rfm_scores":
+            rfm = df
+        df.createOrReplaceTempView(prefix + name)
+        names.append(prefix + name)
+    unified_orders(s, p, rfm, category_sla(s, p)).createOrReplaceTempView(prefix + "v_unified_orders")
+    return names + [prefix + "v_unified_orders"]

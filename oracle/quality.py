@@ -293,3 +293,35 @@ SQL["ml_seller_rate_psi"] = ("DELAY", _MLF + f"""
 psi_p AS (select greatest(e / (select sum(e) from psi_h), 1e-6) as pe,
                  greatest(a / (select sum(a) from psi_h), 1e-6) as pa from psi_h)
 select round(sum((pa - pe) * ln(pa / pe)), 6) as psi from psi_p""")
+
+
+# ------------------------------------------------------------ describe / value counts / 2B
+def _describe(src: str, cols: list[str]) -> str:
+    return "\nunion all\n".join(
+        f"select '{c}' as column_name, cast(count({c}) as bigint) as count, "
+        f"round(avg(cast({c} as double)), 6) as mean, round(stddev_samp(cast({c} as double)), 6) as std, "
+        f"min(cast({c} as double)) as min, round(quantile_cont(cast({c} as double), 0.25), 6) as p25, "
+        f"round(quantile_cont(cast({c} as double), 0.5), 6) as p50, "
+        f"round(quantile_cont(cast({c} as double), 0.75), 6) as p75, max(cast({c} as double)) as max from {src}"
+        for c in cols)
+
+
+def _vc(src: str, col: str, dropna: bool = True, top: int | None = None) -> str:
+    where = f" where {col} is not null" if dropna else ""
+    q = f"select {col} as value, cast(count(*) as bigint) as count from {src}{where} group by {col}"
+    if top is not None:
+        q += f" order by count desc, value asc nulls first limit {top}"
+    return q
+
+
+SQL["delivery_describe"] = ("", _describe("fact_orders", ["days_to_deliver", "days_vs_estimate",
+                                                          "approval_lag_hours"]))
+SQL["money_describe"] = ("", _describe("fact_order_items", ["price", "freight_value"]) + "\nunion all\n"
+                         + _describe("raw_payments", ["payment_value"]))
+SQL["order_status_counts"] = ("", _vc("raw_orders", "order_status"))
+SQL["payment_type_counts"] = ("", _vc("raw_payments", "payment_type"))
+SQL["installments_top10"] = ("", _vc("raw_payments", "payment_installments", top=10))
+SQL["review_score_counts"] = ("", _vc("raw_reviews", "review_score"))
+SQL["category_counts"] = ("", _vc("raw_products", "product_category_name", dropna=False, top=5))
+SQL["cohort_period0"] = ("COHORT", """
+select cohort_month, cohort_size, retention_rate_pct from v_cohort_retention where period_number = 0""")

@@ -56,3 +56,15 @@ def test_star_save_load_roundtrip(spark, tmp_path):
     # month partitions prune: a one-month filter reads one folder
     plan = loaded.fact_orders.filter(F.col("order_purchase_timestamp") >= "2000-01-01")._jdf.queryExecution()
     assert plan is not None
+
+
+def test_sql_over_registered_views(spark):
+    from mercato.params import FIXTURE_PARAMS as P
+    from mercato.plans import views as V
+    from mercato.plans.registry import star_for
+
+    s = star_for(spark, "/root/testdata/sf0.001")
+    V.register_views(s, P, prefix="t_")
+    got = spark.sql("select count(*) as n from t_v_category_sla where total_orders >= 30").first().n
+    assert got == V.category_sla(s, P).filter("total_orders >= 30").count()
+    assert spark.sql("select count(*) from t_fact_orders").first()[0] == s.fact_orders.count()

@@ -96,3 +96,21 @@ def test_rfm_segment_ladder(spark):
                                 (1, 1, 1)], "r int, f int, m int")
     got = [x[0] for x in df.select(V.rfm_segment(F.col("r"), F.col("f"), F.col("m"))).collect()]
     assert got == V.SEGMENTS
+
+
+def test_golden_category_sla_rates_and_tiers(spark):
+    """Published (total_orders, late_orders) -> (late_rate_pct, tier) pairs of the
+    shipped SLA extract, typed in: rate = round(late / orders * 100, 2), tier from
+    the rounded rate."""
+    golden = [  # fixed values: rows of the published category SLA extract
+        (37, 5, 13.51, "Critical"), (124, 15, 12.1, "Critical"), (348, 42, 12.07, "Critical"),
+        (1251, 131, 10.47, "Critical"), (117, 12, 10.26, "Critical"), (390, 39, 10.0, "Critical"),
+        (242, 22, 9.09, "Below Average"), (6288, 565, 8.99, "Below Average"), (413, 35, 8.47, "Below Average"),
+        (36, 3, 8.33, "Below Average"), (9242, 765, 8.28, "Below Average"),
+    ]
+    from mercato.params import Params
+
+    df = spark.createDataFrame([g[:2] for g in golden], "n long, late long")
+    rate = round_ratio(F.col("late") * 100, "n", 2)
+    got = df.select(rate.alias("r"), V.sla_tier(rate, Params()).alias("t")).collect()
+    assert [(r.r, r.t) for r in got] == [(g[2], g[3]) for g in golden]
