@@ -404,59 +404,56 @@ def seller_history(s: Star, p: Params) -> DataFrame:
 
 
 def delivery_delay_drivers(s: Star, p: Params, sellers: DataFrame | None = None) -> DataFrame:
+    """One row per delivered, trusted order with items and payment.
+
+    The reference builds three per-order item aggregates (value features,
+    product features, primary seller) and joins them; here they are one
+    aggregate over items left-joined to products, so the item rows are
+    shuffled once.  The inner-join semantics are kept as filters: an order
+    needs at least one item with a known product and an item number 1."""
     ob = _delivered_trusted(s, p).filter(F.col("has_items") & F.col("has_payment")).select(
         "order_id", "customer_id", "is_late", "approval_lag_hours",
         pg_dow("order_purchase_timestamp").cast("int").alias("order_day_of_week"),
         F.hour("order_purchase_timestamp").cast("int").alias("order_hour"),
         F.month("order_purchase_timestamp").cast("int").alias("order_month_num"),
     )
-    it = s.fact_order_items
-    oia = it.groupBy("order_id").agg(
+    pr = s.dim_products
+    vol = (F.coalesce(pr.product_length_cm, F.lit(0)) * F.coalesce(pr.product_height_cm, F.lit(0))
+           * F.coalesce(pr.product_width_cm, F.lit(0)))
+    prods = pr.select("product_id", "product_weight_g", "product_category_name", vol.alias("vol"),
+                      F.lit(True).alias("_known"))
+    rows = s.fact_order_items.select("order_id", "order_item_id", "seller_id", "price", "freight_value",
+                                     "product_id").join(prods, "product_id", "left")
+    known = F.col("_known")
+    first_item = F.col("order_item_id") == 1
+    per_order = rows.groupBy("order_id").agg(
         F.count("order_item_id").alias("item_count"),
-        F.count_distinct("seller_id").alias("seller_count"),
+        F.size(F.collect_set("seller_id")).alias("seller_count"),  # distinct sellers of one order: small
         F.sum("price").alias("sp"),
         F.sum("freight_value").alias("sf"),
         F.count("price").alias("cp"),
-    ).select(
-        "order_id",
+        F.sum(F.when(known, unscaled("product_weight_g", 2))).alias("sw"),
+        F.count(F.when(known, F.col("product_weight_g"))).alias("cw"),
+        F.sum(F.when(known, unscaled("vol", 6))).alias("sv"),
+        F.count(F.when(known, 1)).alias("known_items"),
+        F.mode(F.when(known, F.col("product_category_name")), True).alias("primary_category"),
+        F.max(F.when(first_item, F.col("seller_id"))).alias("primary_seller"),
+        F.count(F.when(first_item, 1)).alias("first_items"),
+    ).filter((F.col("known_items") > 0) & (F.col("first_items") > 0))
+    feats = per_order.select(
+        "order_id", "primary_seller", "primary_category",
         F.col("item_count").cast("long").alias("item_count"),
         F.col("seller_count").cast("long").alias("seller_count"),
         _d("sp").alias("order_value"),
         _d("sf").alias("freight_value"),
         avg_money("sp", "cp").alias("avg_item_price"),
         round_ratio(unscaled("sf", 2) * 100, unscaled("sp", 2), 2).alias("freight_ratio_pct"),
+        round_ratio("sw", F.col("cw") * 100, 1).alias("avg_product_weight_g"),
+        round_ratio("sv", F.col("known_items") * 1_000_000, 1).alias("avg_product_volume_cm3"),
     )
-    pr = s.dim_products
-    vol = (F.coalesce(pr.product_length_cm, F.lit(0)) * F.coalesce(pr.product_height_cm, F.lit(0))
-           * F.coalesce(pr.product_width_cm, F.lit(0)))
-    pf = (
-        it.select("order_id", "product_id")
-        .join(pr.select("product_id", "product_weight_g", "product_category_name", vol.alias("vol")), "product_id")
-        .groupBy("order_id")
-        .agg(
-            F.sum(unscaled("product_weight_g", 2)).alias("sw"),
-            F.count("product_weight_g").alias("cw"),
-            F.sum(unscaled("vol", 6)).alias("sv"),
-            F.count("vol").alias("cv"),
-            F.mode("product_category_name", True).alias("primary_category"),
-        )
-        .select(
-            "order_id",
-            round_ratio("sw", F.col("cw") * 100, 1).alias("avg_product_weight_g"),
-            round_ratio("sv", F.col("cv") * 1_000_000, 1).alias("avg_product_volume_cm3"),
-            "primary_category",
-        )
-    )
-    primary = it.filter(F.col("order_item_id") == 1).select("order_id", "seller_id")
-    sf = sellers if sellers is not None else seller_history(s, p)
+    sf = (sellers if sellers is not None else seller_history(s, p)).withColumnRenamed("seller_id", "primary_seller")
     cust = s.dim_customers.select("customer_id", "customer_state")
-    j = (
-        ob.join(oia, "order_id")
-        .join(pf, "order_id")
-        .join(cust, "customer_id")
-        .join(primary, "order_id")
-        .join(sf, "seller_id")
-    )
+    j = ob.join(feats, "order_id").join(cust, "customer_id").join(sf, "primary_seller")
     return j.select(
         "order_id", "is_late", "order_day_of_week", "order_hour", "order_month_num",
         "item_count", "seller_count", "order_value", "freight_value", "avg_item_price", "freight_ratio_pct",
@@ -484,8 +481,17 @@ def rfm_per_person(rfm: DataFrame) -> DataFrame:
 
 
 def unified_orders(s: Star, p: Params, rfm: DataFrame, sla: DataFrame) -> DataFrame:
-    o = s.fact_orders.filter(F.col("order_status") == p.delivered_status)
+    """Delivered items with customer, RFM, product and category-SLA columns.
+
+    Joined in grain order: order-level attributes (customer, one RFM row per
+    person) are attached to the orders first, product and category-SLA
+    attributes to the items, and the two meet once on order_id -- the wide
+    item rows are never shuffled on the person key."""
+    o = s.fact_orders.filter(F.col("order_status") == p.delivered_status).select(
+        "order_id", "customer_id", "order_purchase_timestamp", "order_status", "is_late", "days_to_deliver",
+        "days_vs_estimate")
     c = s.dim_customers.select("customer_id", "customer_unique_id", "customer_city", "customer_state")
+    orders = o.join(c, "customer_id").join(rfm_per_person(rfm), "customer_unique_id", "left")
     it = s.fact_order_items.select("order_id", "order_item_id", "product_id", "price", "freight_value")
     pr = s.dim_products.select("product_id", "product_category_name", "product_category_name_english")
     sl = sla.select(
@@ -496,13 +502,8 @@ def unified_orders(s: Star, p: Params, rfm: DataFrame, sla: DataFrame) -> DataFr
         F.col("sla_tier").alias("category_sla_tier"),
         F.col("avg_days_vs_estimate").alias("category_avg_days_vs_estimate"),
     )
-    j = (
-        o.join(c, "customer_id")
-        .join(it, "order_id")
-        .join(pr, "product_id")
-        .join(rfm_per_person(rfm), "customer_unique_id", "left")
-        .join(sl, "product_category_name", "left")
-    )
+    items = it.join(pr, "product_id").join(sl, "product_category_name", "left")
+    j = items.join(orders, "order_id")
     ts = F.col("order_purchase_timestamp")
     return j.select(
         "customer_unique_id", "customer_city", "customer_state", "segment", "r_score", "f_score", "m_score",

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
@@ -111,11 +111,19 @@ def write_csv_bom(df: DataFrame, path: str) -> None:
 
 
 def observed_write(df: DataFrame, path: str, bom: bool = False) -> dict:
-    """Write and count the rows in the same pass (`observe`)."""
-    obs = Observation()
-    x = df.observe(obs, F.count(F.lit(1)).alias("rows"))
-    (write_csv_bom if bom else write_csv)(x, path)
-    return {"rows": int(obs.get["rows"]), "cols": len(df.columns)}
+    """Write an extract and report its shape.
+
+    The frame is persisted, counted and written from the persisted copy, so the
+    extract is computed once.  (`df.observe` with an `Observation` would count
+    during the write, but in Spark 4.1 a registered Observation makes later
+    RDD-based jobs of the session -- MLlib's evaluators -- fail to serialize.)"""
+    x = df.persist()
+    try:
+        rows = x.count()
+        (write_csv_bom if bom else write_csv)(x, path)
+    finally:
+        x.unpersist()
+    return {"rows": int(rows), "cols": len(df.columns)}
 
 
 def read_back_check(spark: SparkSession, path: str, expected_rows: int, expected_cols: list[str],

@@ -74,3 +74,19 @@ def test_unseen_category_is_scored(spark, planted):
     f = M.fit(planted, P, logistic=False, num_trees=5)
     new = planted.limit(5).withColumn("primary_category", F.lit("never_seen"))
     assert M.score(f.forest, new, 0.5).count() == 5
+
+
+def test_daily_top_risk_two_phase_is_exact(spark):
+    import datetime as dt
+
+    rows = [(i, (i * 7919 % 1000) / 1000.0, 1 if i % 3 == 0 else 0) for i in range(2000)]
+    scored = spark.createDataFrame(rows, "order_id long, p_late double, flag int")
+    ts = spark.createDataFrame([(i, dt.datetime(2020, 1, 1 + i % 3)) for i in range(2000)],
+                               "order_id long, order_purchase_timestamp timestamp_ntz")
+    got = M.daily_top_risk(scored, ts, 5, buckets=16).collect()
+    want = {}
+    for i, p_, _ in rows:
+        want.setdefault(1 + i % 3, []).append((-p_, i))
+    for d in want:
+        exp = [i for _, i in sorted(want[d])[:5]]
+        assert [r.order_id for r in sorted((r for r in got if r.day.day == d), key=lambda r: r["rank"])] == exp
