@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mercato.functions.numeric import round_ratio, unscaled
 from mercato.params import Params
 from mercato.plans import quality as Q
 from mercato.plans import reports as R
