@@ -75,7 +75,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 def read_table(spark: SparkSession, raw_dir: str, name: str, files: dict | None = None) -> DataFrame:
     df = read_csv(spark, os.path.join(raw_dir, (files or RAW_FILES)[name]), RAW_SCHEMAS[name])
     df = df.withColumns({c: parse_ts(c) for c in TIMESTAMPS.get(name, [])})
-    df = df.withColumns({c: money(F.try_cast(F.col(c), "decimal(12,2)")) for c in MONEY.get(name, [])})
+    df = df.withColumns({c: money(F.col(c).try_cast("decimal(12,2)")) for c in MONEY.get(name, [])})
     if name in RENAMES:
         df = df.withColumnsRenamed(RENAMES[name])
     return df

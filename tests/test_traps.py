@@ -51,6 +51,7 @@ def test_fact_orders_late_flag_and_placeholders(spark):  # T6, T8, Q7
         (2, 1, "shipped", ts("1997-01-01 10:00:00"), None, None, None, ts("1997-01-10 00:00:00")),
         (3, 1, "delivered", ts("1997-09-01 10:00:00"), None, None, ts("1997-09-19 09:00:00"), ts("1997-10-10 00:00:00")),
         (4, 1, "delivered", ts("1997-01-05 10:00:00"), None, None, ts("1997-01-04 09:00:00"), ts("1997-01-10 00:00:00")),
+        (5, 1, "delivered", ts("1997-01-01 10:00:00"), None, None, ts("1997-08-01 09:00:00"), ts("1997-01-10 00:00:00")),
     ])
     items = spark.createDataFrame([(1,), (3,)], "order_id long")
     pay = spark.createDataFrame([(1,)], "order_id long")
@@ -59,6 +60,7 @@ def test_fact_orders_late_flag_and_placeholders(spark):  # T6, T8, Q7
     assert fo[2].is_late is False  # missing delivery compares to False, not NULL
     assert fo[3].has_placeholder_delivery_date and fo[3].is_late is None and fo[3].days_to_deliver is None
     assert fo[4].days_to_deliver is None and fo[4].days_vs_estimate == -6  # negative delivery nulled
+    assert fo[5].days_to_deliver == 211 and fo[5].is_late is True  # > 180 days is listed, not removed
     assert fo[1].has_items and not fo[2].has_items and fo[1].has_payment and not fo[3].has_payment
 
 
