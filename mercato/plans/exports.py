@@ -36,11 +36,16 @@ def export_extracts(spark: SparkSession, s: Star, p: Params, out_dir: str, bom:
     """Write every extract, then verify it by reading it back.  The unified table
     is item-grain (large): it is written as a parallel CSV folder, the others as
     single BOM files for the dashboard tools."""
-    report = []
-    for name, (target, df) in extracts(s, p).items():
+    from mercato.session import run_concurrently
+
+    def one(item):
+        name, (target, df) = item
         path = f"{out_dir.rstrip('/')}/{target}/{name}"
         small = name != "unified_tableau"
         stats = raw_io.observed_write(df, path, bom=bom and small)
         back = raw_io.read_back_check(spark, path, stats["rows"], df.columns)
-        report.append((name, target, stats["rows"], stats["cols"], back["ok"]))
+        return (name, target, stats["rows"], stats["cols"], back["ok"])
+
+    # independent extracts: submitted as concurrent Spark jobs
+    report = run_concurrently(spark, [lambda it=it: one(it) for it in extracts(s, p).items()], max_workers=4)
     return spark.createDataFrame(report, "file string, destination string, rows long, cols int, read_back_ok boolean")

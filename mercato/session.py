@@ -68,3 +68,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="mercato-ckpt-", dir=os.environ.get("MERCATO_SCRATCH", "/tmp"))
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir() or scratch
+
+
+def run_concurrently(spark: SparkSession, actions, max_workers: int = 8) -> list:
+    """Run independent Spark actions as concurrent jobs (thread pool), keeping
+    the caller's job group and description on every job."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    sc = spark.sparkContext
+    props = {k: sc.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description",
+                                                 "spark.scheduler.pool")}
+
+    def call(action):
+        for k, v in props.items():
+            if v is not None:
+                sc.setLocalProperty(k, v)
+        return action()
+
+    actions = list(actions)
+    if max_workers <= 1 or len(actions) <= 1:
+        return [a() for a in actions]
+    with ThreadPoolExecutor(max_workers=max_workers) as pool:
+        return list(pool.map(call, actions))

@@ -39,15 +39,26 @@ class Star:
         for name, df in self.tables().items():
             df.createOrReplaceTempView(prefix + name)
 
-    def save(self, path: str, mode: str = "overwrite") -> None:
-        """Idempotent overwrite of every table (T21: never append twice)."""
-        for name, df in self.tables().items():
+    def save(self, path: str, mode: str = "overwrite", parallel: int = 8) -> None:
+        """Idempotent overwrite of every table (T21: never append twice).
+
+        The eight writes are independent Spark jobs; they are submitted from a
+        small thread pool so small dimension writes do not leave the cluster
+        idle while a large fact table is written."""
+        def write(item):
+            name, df = item
             w = df.write.mode(mode)
             if name == "fact_orders":
                 df = df.withColumn("purchase_month", F.trunc(F.to_date("order_purchase_timestamp"), "month"))
                 w = df.write.mode(mode).partitionBy("purchase_month")
             w.parquet(f"{path.rstrip('/')}/{name}")
 
+        from mercato.session import run_concurrently
+
+        items = list(self.tables().items())
+        spark = items[0][1].sparkSession
+        run_concurrently(spark, [lambda it=it: write(it) for it in items], max_workers=parallel)
+
     ORDER_KEYED = ("fact_orders", "fact_order_items", "bridge_payments", "bridge_reviews")
 
     def save_tables(self, spark: SparkSession, database: str, buckets: int, location: str | None = None) -> None:
