@@ -176,8 +176,8 @@ def classification_report(scored: DataFrame) -> DataFrame:
         f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0)
         return c.select(F.lit(name).alias("class"), prec.alias("precision"), rec.alias("recall"),
                         f1.alias("f1"), support.cast("long").alias("support"),
-                        ((F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")))
-                        .alias("accuracy"))
+                        F.try_divide(F.col("tp") + F.col("tn"),
+                                     F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("accuracy"))
 
     tp, fp, fn, tn = F.col("tp"), F.col("fp"), F.col("fn"), F.col("tn")
     return prf(tn, fn, fp, "On Time", tn + fp).unionByName(prf(tp, fp, fn, "Late", tp + fn))

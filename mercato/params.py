@@ -50,7 +50,7 @@ class Params:
     cancel_statuses: tuple[str, ...] = ("canceled", "unavailable")
     cancel_statuses_narrow: tuple[str, ...] = ("canceled",)
     not_defined_payment: str = "not_defined"
-    # Manual category translations for names missing from the translation table.
+    # fixed values: manual English names for categories missing from the translation table
     manual_translations: tuple[tuple[str, str], ...] = (
         ("portateis_cozinha_e_preparadores_de_alimentos", "portable_kitchen_food_prep"),
         ("pc_gamer", "gaming_pc"),

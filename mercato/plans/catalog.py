@@ -206,6 +206,7 @@ _reg("ml_temporal_report", ML.temporal_report)
 _reg("ml_confusion_matrix", ML.confusion)
 _reg("ml_pr_curve", ML.pr_curve)
 _reg("ml_best_threshold", ML.best_threshold)
+_reg("ml_validated_threshold", ML.validated_threshold)
 _reg("ml_feature_importance", ML.importance)
 _reg("ml_batch_scores", ML.batch_scores)
 _reg("ml_daily_top_risk", ML.daily_top_risk)

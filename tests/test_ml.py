@@ -90,3 +90,18 @@ def test_daily_top_risk_two_phase_is_exact(spark):
     for d in want:
         exp = [i for _, i in sorted(want[d])[:5]]
         assert [r.order_id for r in sorted((r for r in got if r.day.day == d), key=lambda r: r["rank"])] == exp
+
+
+def test_registered_ml_jobs_run(spark):
+    """Every registered model-output job (rows-only in the driver gate) runs on the
+    smallest scale and returns rows of the expected shape."""
+    import __spark_entry__ as entry
+
+    q = entry.queries()
+    got = {k: q[k](spark, "/root/testdata/sf0.001").collect() for k in sorted(q)
+           if k.startswith("ml_") and k not in entry.oracle_sql()}
+    assert len(got["ml_forest_report"]) == 2 and len(got["ml_validated_threshold"]) == 2
+    assert len(got["ml_feature_importance"]) == len(M.FEATURES)
+    assert sum(r["count"] for r in got["ml_confusion_matrix"]) == got["ml_forest_report"][0].support + \
+        got["ml_forest_report"][1].support
+    assert all(len(v) > 0 for v in got.values())
