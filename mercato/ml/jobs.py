@@ -84,8 +84,12 @@ def importance(s: Star, p: Params) -> DataFrame:
 
 
 def batch_scores(s: Star, p: Params) -> DataFrame:
+    """All orders scored once per fitted model (persisted), shared with the
+    daily ranking job."""
     f = fitted(s, p)
-    return M.cold_start(M.score(f.forest, f.frame, p.threshold), p)
+    if getattr(f, "scored_all", None) is None:
+        f.scored_all = M.cold_start(M.score(f.forest, f.frame, p.threshold), p).persist()
+    return f.scored_all
 
 
 def daily_top_risk(s: Star, p: Params) -> DataFrame:

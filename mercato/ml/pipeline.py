@@ -118,6 +118,7 @@ class Fitted:
     frame: DataFrame | None = None
     scored_test: DataFrame | None = None
     lr_scored_test: DataFrame | None = None
+    scored_all: DataFrame | None = None
     seconds: dict | None = None
 
 
