@@ -1,4 +1,4 @@
-"""The corpus pipeline: filtering, near-duplicate removal, decontamination and
+"""The corpus pipeline: language and quality filtering, near-duplicate removal, decontamination and
 tokenising of ``documents``.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and
@@ -10,10 +10,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mercato.llm import bpe, contamination, simhash
+from mercato.llm import bpe, contamination, langid, quality, simhash
 from mercato.llm.common import materialise, read_table
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in which no language stands out, go."""
+    return langid.accepted(docs)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not predict as good go."""
+    return quality.accepted(docs, read_table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of SimHash near-duplicates the document with the smallest id stays."""
     return simhash.one_per_group(docs)
@@ -30,6 +40,8 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language_id", language),
+    ("quality_classifier", good_quality),
     ("simhash_near_dedup", near_dedup),
     ("benchmark_decontamination", decontaminate),
     ("byte_bpe", tokenise),
