@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from mercato.llm.common import append_columns, read_table
 
@@ -291,7 +291,7 @@ def decode(df: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids", to
     base = df.drop(to)
     names = base.columns
     at = names.index(ids_col)
-    schema = base.schema.add(StructField(to, BinaryType()))
+    schema = StructType([*base.schema.fields, StructField(to, BinaryType())])
 
     def run(batches):
         bpe = _bpe(sent.value, pattern)

@@ -206,7 +206,7 @@ def content_paths(page: Page, sizes: list[int]) -> dict[int, float]:
         if not size:
             continue
         sums = totals.get(element.path) if not element.boilerplate else None
-        owners.append(element.path if sums else 0)
+        owners.append(element.path if sums else None)
         lengths.append(sums[0] / sums[3] if sums else 0.0)
         marks.append((1 + sums[1]) / sums[3] if sums else 0.0)
         links.append(sums[2] / sums[0] if sums else 1.0)
@@ -219,7 +219,7 @@ def content_paths(page: Page, sizes: list[int]) -> dict[int, float]:
     threshold = THRESHOLD * math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
     by_path: dict[int, list[float]] = {}
     for path, x in zip(owners, fused):
-        if path:
+        if path is not None:
             by_path.setdefault(path, []).append(x)
     return {p: sum(x) / len(x) for p, x in by_path.items() if sum(x) / len(x) >= threshold and sum(x) > 0}
 
