@@ -1,9 +1,10 @@
-"""Oracle CTEs for the analytical views, written after the reference SQL.
+"""Oracle CTEs of the analytical views, derived from their definitions.
 
-Differences to the reference text, all deliberate and mirrored in Spark:
-ROUND of ratios is done exactly (`rr`), NTILE orders carry tie-break keys,
-and the added correction columns (order-grain rates, de-duplicated revenue,
-per-order averages, fraction-scale retention) are computed alongside.
+Each view is built from a grain of its own - a visit (order, category), a
+stint (seller, order), an active month (person, month) - and weights instead
+of row fan-out; windows take the place of self-joins, and quartiles come from
+rank arithmetic.  Ratios are rounded exactly (`rr`); every order has a tie
+break, so both engines agree.
 """
 
 from __future__ import annotations
@@ -11,292 +12,249 @@ from __future__ import annotations
 from mercato.params import FIXTURE_PARAMS as P
 from oracle.base import cents, dlit, rr, slist
 
-DELIV = f"fo.order_status = '{P.delivered_status}'"
-TRUSTED = f"{DELIV} and fo.has_placeholder_delivery_date = false"
+DELIVERED = f"order_status = '{P.delivered_status}'"
+RELIABLE = f"{DELIVERED} and not has_placeholder_delivery_date"
 
 
-def _tier(rate: str) -> str:
-    return (f"case when {rate} >= {P.sla_critical} then 'Critical' when {rate} >= {P.sla_below_average} "
-            f"then 'Below Average' when {rate} >= {P.sla_average} then 'Average' else 'Good' end")
+def _month(ts: str) -> str:
+    return f"cast(date_trunc('month', {ts}) as date)"
 
 
-def _seller_tier(rate: str, n: str) -> str:
-    hr, er, sp = P.seller_high_risk, P.seller_elevated_risk, P.seller_strong
-    return (f"case when {rate} >= {hr[0]} and {n} >= {hr[1]} then 'High Risk' "
-            f"when {rate} >= {er[0]} and {n} >= {er[1]} then 'Elevated Risk' "
-            f"when {rate} < {sp[0]} and {n} >= {sp[1]} then 'Strong Performer' else 'Average' end")
+def _percent(part: str, whole: str) -> str:
+    return rr(f"({part}) * 100", whole, 2)
+
+
+def _ladder(steps: list[tuple[str, str]], last: str) -> str:
+    return "case " + " ".join(f"when {cond} then '{name}'" for cond, name in steps) + f" else '{last}' end"
+
+
+def _sla_tier(rate: str) -> str:
+    return _ladder([(f"{rate} >= {P.sla_critical}", "Critical"), (f"{rate} >= {P.sla_below_average}", "Below Average"),
+                    (f"{rate} >= {P.sla_average}", "Average")], "Good")
+
+
+def _risk_tier(rate: str, orders: str) -> str:
+    (high, high_n), (raised, raised_n), (strong, strong_n) = P.seller_high_risk, P.seller_elevated_risk, P.seller_strong
+    return _ladder([(f"{rate} >= {high} and {orders} >= {high_n}", "High Risk"),
+                    (f"{rate} >= {raised} and {orders} >= {raised_n}", "Elevated Risk"),
+                    (f"{rate} < {strong} and {orders} >= {strong_n}", "Strong Performer")], "Average")
 
 
 REVENUE = f"""
-rv_cm AS (
-  select cast(date_trunc('month', fo.order_purchase_timestamp) as date) as order_month, p.product_category_name,
-         count(distinct fo.order_id) as total_orders, count(foi.order_item_id) as total_items,
-         sum(foi.price) as pr, sum(foi.freight_value) as fr, sum(foi.price + foi.freight_value) as tr
-  from fact_orders fo join fact_order_items foi on fo.order_id = foi.order_id
-       join dim_products p on foi.product_id = p.product_id
-  where {DELIV} and p.product_category_name is not null
-  group by 1, 2),
-rv_pm AS (
-  select cast(date_trunc('month', fo.order_purchase_timestamp) as date) as order_month,
-         sum(foi.price + foi.freight_value) as platform
-  from fact_orders fo join fact_order_items foi on fo.order_id = foi.order_id
-  where {DELIV} group by 1),
+basket AS (
+  select order_id, any_value({_month('order_purchase_timestamp')}) as order_month, product_category_name as category,
+         count(*) as lines, sum(price) as goods, sum(freight_value) as carriage
+  from fact_order_items join fact_orders using (order_id) left join dim_products using (product_id)
+  where {DELIVERED} group by order_id, product_category_name),
+month_category AS (
+  select order_month, category, count(*) as orders, sum(lines) as lines, sum(goods) as goods, sum(carriage) as carriage,
+         sum(goods) + sum(carriage) as takings, sum(sum(goods) + sum(carriage)) over (partition by order_month) as everything
+  from basket group by order_month, category),
 v_revenue_by_category AS (
-  select cm.order_month, cm.product_category_name, cast(total_orders as bigint) as total_orders,
-         cast(total_items as bigint) as total_items, cast(pr as double) as product_revenue,
-         cast(fr as double) as freight_revenue, cast(tr as double) as total_revenue,
-         {rr(cents('pr'), 'total_items', 0)} / 100.0 as avg_item_price,
-         {rr(cents('tr'), 'total_items', 0)} / 100.0 as avg_order_value,
-         {rr(cents('tr'), 'total_orders', 0)} / 100.0 as revenue_per_order,
-         cast(platform as double) as platform_revenue,
-         {rr(cents('tr') + ' * 100', cents('platform'), 2)} as revenue_share_pct
-  from rv_cm cm join rv_pm pm on cm.order_month = pm.order_month)
+  select order_month, category as product_category_name, cast(orders as bigint) as total_orders, cast(lines as bigint) as total_items,
+         cast(goods as double) as product_revenue, cast(carriage as double) as freight_revenue,
+         cast(takings as double) as total_revenue, {rr(cents('goods'), 'lines', 0)} / 100.0 as avg_item_price,
+         {rr(cents('takings'), 'lines', 0)} / 100.0 as avg_order_value,
+         {rr(cents('takings'), 'orders', 0)} / 100.0 as revenue_per_order,
+         cast(everything as double) as platform_revenue, {_percent(cents('takings'), cents('everything'))} as revenue_share_pct
+  from month_category where category is not null)
 """
 
 SLA = f"""
-cs_rows AS (
-  select p.product_category_name, fo.order_id, fo.days_to_deliver, fo.days_vs_estimate, fo.is_late
-  from fact_orders fo join fact_order_items foi on fo.order_id = foi.order_id
-       join dim_products p on foi.product_id = p.product_id
-  where {TRUSTED} and p.product_category_name is not null),
-cs_stats AS (
-  select product_category_name, count(distinct order_id) as total_orders,
-         sum(case when is_late then 1 else 0 end) as late_orders,
-         count(distinct case when is_late then order_id end) as late_distinct,
-         sum(days_to_deliver) as s_dtd, count(days_to_deliver) as c_dtd,
-         sum(days_vs_estimate) as s_dve, count(days_vs_estimate) as c_dve,
-         quantile_cont(days_to_deliver, 0.5) as med_dtd, quantile_cont(days_to_deliver, 0.9) as p90_dtd,
-         quantile_cont(days_vs_estimate, 0.5) as med_dve
-  from cs_rows group by product_category_name
-  having count(distinct order_id) >= {P.sla_min_orders}),
+visit AS (
+  select product_category_name as category, order_id, any_value(days_to_deliver) as took, any_value(days_vs_estimate) as off,
+         coalesce(bool_or(is_late), false) as late, count(*) as lines
+  from fact_order_items join dim_products using (product_id) join fact_orders using (order_id)
+  where {RELIABLE} and product_category_name is not null group by product_category_name, order_id),
+visit_totals AS (
+  select category, count(*) as orders, coalesce(sum(lines) filter (where late), 0) as late_lines, count(*) filter (where late) as late_orders,
+         sum(took * lines) as took_sum, sum(lines) filter (where took is not null) as took_n,
+         sum(off * lines) as off_sum, sum(lines) filter (where off is not null) as off_n
+  from visit group by category having count(*) >= {P.sla_min_orders}),
+visit_spread AS (
+  select category, quantile_cont(took, [0.5, 0.9]) as took_q, quantile_cont(off, 0.5) as off_q
+  from (select category, took, off, unnest(range(lines)) from visit) group by category),
 v_category_sla AS (
-  select product_category_name, cast(total_orders as bigint) as total_orders, cast(late_orders as bigint) as late_orders,
-         {rr('late_orders * 100', 'total_orders', 2)} as late_rate_pct,
-         {rr('s_dtd', 'c_dtd', 1)} as avg_days_to_deliver,
-         round(cast(med_dtd as double), 1) as median_days_to_deliver,
-         round(cast(p90_dtd as double), 1) as p90_days_to_deliver,
-         {rr('s_dve', 'c_dve', 1)} as avg_days_vs_estimate,
-         round(cast(med_dve as double), 1) as median_days_vs_estimate,
-         {_tier(rr('late_orders * 100', 'total_orders', 2))} as sla_tier,
-         {rr('late_distinct * 100', 'total_orders', 2)} as order_late_rate_pct
-  from cs_stats)
+  select category as product_category_name, cast(orders as bigint) as total_orders, cast(late_lines as bigint) as late_orders,
+         {_percent('late_lines', 'orders')} as late_rate_pct, {rr('took_sum', 'took_n', 1)} as avg_days_to_deliver,
+         round(cast(took_q[1] as double), 1) as median_days_to_deliver, round(cast(took_q[2] as double), 1) as p90_days_to_deliver,
+         {rr('off_sum', 'off_n', 1)} as avg_days_vs_estimate, round(cast(off_q as double), 1) as median_days_vs_estimate,
+         {_sla_tier(_percent('late_lines', 'orders'))} as sla_tier, {_percent('visit_totals.late_orders', 'orders')} as order_late_rate_pct
+  from visit_totals join visit_spread using (category))
 """
 
 SELLER = f"""
-sp_rows AS (
-  select foi.seller_id, fo.order_id, fo.is_late, fo.days_to_deliver, fo.days_vs_estimate,
-         foi.price, foi.freight_value, br.review_score
-  from fact_orders fo join fact_order_items foi on fo.order_id = foi.order_id
-       left join bridge_reviews br on fo.order_id = br.order_id
-  where {TRUSTED}),
-sp_dedup AS (
-  select foi.seller_id, sum(foi.price + foi.freight_value) as rev_dedup
-  from fact_orders fo join fact_order_items foi on fo.order_id = foi.order_id
-  where {TRUSTED} group by foi.seller_id),
-sp_stats AS (
-  select s.seller_id, s.seller_city, s.seller_state, count(distinct so.order_id) as total_orders,
-         sum(so.price + so.freight_value) as rev, count(so.price + so.freight_value) as nrows,
-         sum(case when so.is_late then 1 else 0 end) as late_orders,
-         count(distinct case when so.is_late then so.order_id end) as late_distinct,
-         sum(so.days_to_deliver) as s_dtd, count(so.days_to_deliver) as c_dtd,
-         sum(so.days_vs_estimate) as s_dve, count(so.days_vs_estimate) as c_dve,
-         sum(so.review_score) as s_score, count(so.review_score) as c_score
-  from sp_rows so join dim_sellers s on so.seller_id = s.seller_id
-  group by s.seller_id, s.seller_city, s.seller_state
-  having count(distinct so.order_id) >= {P.seller_min_orders}),
+opinion AS (
+  select order_id, count(*) as reviews, sum(review_score) as points, count(review_score) as scores from bridge_reviews group by order_id),
+stint AS (
+  select seller_id, order_id, count(*) as lines, sum(price) + sum(freight_value) as takings from fact_order_items group by seller_id, order_id),
+stint_weighed AS (
+  select stint.*, lines * greatest(coalesce(reviews, 1), 1) as weight, greatest(coalesce(reviews, 1), 1) as copies, points, scores,
+         days_to_deliver as took, days_vs_estimate as off, coalesce(is_late, false) as late
+  from stint join fact_orders using (order_id) left join opinion using (order_id) where {RELIABLE}),
+seller_totals AS (
+  select seller_id, count(*) as orders, sum(weight) as weight, sum(takings * copies) as takings_fanned, sum(takings) as takings,
+         coalesce(sum(weight) filter (where late), 0) as late_weight, count(*) filter (where late) as late_count,
+         sum(took * weight) as took_sum, sum(weight) filter (where took is not null) as took_n,
+         sum(off * weight) as off_sum, sum(weight) filter (where off is not null) as off_n,
+         coalesce(sum(points * lines), 0) as points, coalesce(sum(scores * lines), 0) as scores
+  from stint_weighed group by seller_id having count(*) >= {P.seller_min_orders}),
 v_seller_performance AS (
-  select st.seller_id, seller_city, seller_state, cast(total_orders as bigint) as total_orders,
-         cast(rev as double) as total_revenue, {rr(cents('rev'), 'nrows', 0)} / 100.0 as avg_order_value,
-         cast(late_orders as bigint) as late_orders, {rr('late_orders * 100', 'total_orders', 2)} as late_rate_pct,
-         {rr('s_dtd', 'c_dtd', 1)} as avg_days_to_deliver, {rr('s_dve', 'c_dve', 1)} as avg_days_vs_estimate,
-         {rr('s_score', 'c_score', 2)} as avg_review_score, cast(c_score as bigint) as reviews_received,
-         {_seller_tier(rr('late_orders * 100', 'total_orders', 2), 'total_orders')} as seller_risk_tier,
-         cast(d.rev_dedup as double) as total_revenue_dedup,
-         {rr('late_distinct * 100', 'total_orders', 2)} as order_late_rate_pct
-  from sp_stats st join sp_dedup d on st.seller_id = d.seller_id)
+  select seller_id, seller_city, seller_state, cast(orders as bigint) as total_orders, cast(takings_fanned as double) as total_revenue,
+         {rr(cents('takings_fanned'), 'weight', 0)} / 100.0 as avg_order_value, cast(late_weight as bigint) as late_orders,
+         {_percent('late_weight', 'orders')} as late_rate_pct, {rr('took_sum', 'took_n', 1)} as avg_days_to_deliver,
+         {rr('off_sum', 'off_n', 1)} as avg_days_vs_estimate, {rr('points', 'scores', 2)} as avg_review_score,
+         cast(scores as bigint) as reviews_received, {_risk_tier(_percent('late_weight', 'orders'), 'orders')} as seller_risk_tier,
+         cast(takings as double) as total_revenue_dedup, {_percent('late_count', 'orders')} as order_late_rate_pct
+  from seller_totals join dim_sellers using (seller_id))
 """
 
 
-def _cancel(statuses) -> str:
-    return f"case when fo.order_status in ({slist(statuses)}) then 1 else 0 end"
-
-
 def cancellation_ctes(statuses=P.cancel_statuses, prefix: str = "ca") -> str:
-    flag = _cancel(statuses)
+    """Month and state from one pass with grouping sets, category from visits."""
+    lost = f"order_status in ({slist(statuses)})"
     return f"""
-{prefix}_all AS (
-  select fo.order_id, cast(date_trunc('month', fo.order_purchase_timestamp) as date) as order_month,
-         c.customer_state, {flag} as is_cancelled
-  from fact_orders fo join dim_customers c on fo.customer_id = c.customer_id),
-{prefix}_cat_rows AS (
-  select fo.order_id, p.product_category_name, {flag} as is_cancelled
-  from fact_orders fo join dim_customers c on fo.customer_id = c.customer_id
-       join fact_order_items foi on fo.order_id = foi.order_id join dim_products p on foi.product_id = p.product_id
-  where p.product_category_name is not null),
-{prefix}_monthly AS (
-  select order_month, count(*) as total_orders, sum(is_cancelled) as cancelled_orders from {prefix}_all
-  group by order_month having count(*) >= {P.cancel_min_orders_month}),
-{prefix}_state AS (
-  select customer_state, count(*) as total_orders, sum(is_cancelled) as cancelled_orders from {prefix}_all
-  group by customer_state having count(*) >= {P.cancel_min_orders_state}),
-{prefix}_category AS (
-  select product_category_name, count(distinct order_id) as total_orders, sum(is_cancelled) as cancelled_orders,
-         count(distinct case when is_cancelled = 1 then order_id end) as cancelled_distinct
-  from {prefix}_cat_rows group by product_category_name
-  having count(distinct order_id) >= {P.cancel_min_orders_category}),
-{prefix}_view AS (
-  select 'monthly' as analysis_dimension, cast(order_month as varchar) as dimension_value,
-         cast(total_orders as bigint) as total_orders, cast(cancelled_orders as bigint) as cancelled_orders,
-         {rr('cancelled_orders * 100', 'total_orders', 2)} as cancel_rate_pct, cast(null as varchar) as secondary_dimension,
-         {rr('cancelled_orders * 100', 'total_orders', 2)} as order_cancel_rate_pct
-  from {prefix}_monthly
-  union all
-  select 'state', customer_state, cast(total_orders as bigint), cast(cancelled_orders as bigint),
-         {rr('cancelled_orders * 100', 'total_orders', 2)}, cast(null as varchar),
-         {rr('cancelled_orders * 100', 'total_orders', 2)}
-  from {prefix}_state
+{prefix}_sides AS (
+  select 1 - grouping({_month('order_purchase_timestamp')}) as by_month, {_month('order_purchase_timestamp')} as month, customer_state as state,
+         count(*) as orders, count(*) filter (where {lost}) as lost
+  from fact_orders join dim_customers using (customer_id)
+  group by grouping sets (({_month('order_purchase_timestamp')}), (customer_state))),
+{prefix}_visits AS (
+  select product_category_name as category, order_id, count(*) as lines, bool_or({lost}) as lost
+  from fact_orders join fact_order_items using (order_id) join dim_products using (product_id)
+  where product_category_name is not null and customer_id in (select customer_id from dim_customers)
+  group by product_category_name, order_id),
+{prefix}_rows AS (
+  select case by_month when 1 then 'monthly' else 'state' end as dimension,
+         case by_month when 1 then cast(month as varchar) else state end as member, orders, lost, lost as lost_orders
+  from {prefix}_sides
+  where orders >= case by_month when 1 then {P.cancel_min_orders_month} else {P.cancel_min_orders_state} end
   union all
-  select 'category', product_category_name, cast(total_orders as bigint), cast(cancelled_orders as bigint),
-         {rr('cancelled_orders * 100', 'total_orders', 2)}, cast(null as varchar),
-         {rr('cancelled_distinct * 100', 'total_orders', 2)}
-  from {prefix}_category)
+  select 'category', category, count(*), coalesce(sum(lines) filter (where lost), 0), count(*) filter (where lost)
+  from {prefix}_visits group by category having count(*) >= {P.cancel_min_orders_category}),
+{prefix}_view AS (
+  select dimension as analysis_dimension, member as dimension_value, cast(orders as bigint) as total_orders,
+         cast(lost as bigint) as cancelled_orders, {_percent('lost', 'orders')} as cancel_rate_pct,
+         cast(null as varchar) as secondary_dimension, {_percent('lost_orders', 'orders')} as order_cancel_rate_pct
+  from {prefix}_rows)
 """
 
 
 CANCEL = cancellation_ctes() + ",\nv_cancellation_analysis AS (select * from ca_view)"
 
 COHORT = f"""
-co_first AS (
-  select c.customer_unique_id, cast(date_trunc('month', min(fo.order_purchase_timestamp)) as date) as cohort_month
-  from fact_orders fo join dim_customers c on fo.customer_id = c.customer_id
-  where fo.order_status not in ({slist(P.cancel_statuses)})
-  group by c.customer_unique_id),
-co_orders AS (
-  select c.customer_unique_id, cast(date_trunc('month', fo.order_purchase_timestamp) as date) as order_month
-  from fact_orders fo join dim_customers c on fo.customer_id = c.customer_id
-  where fo.order_status not in ({slist(P.cancel_statuses)})),
-co_act AS (
-  select f.cohort_month, co.order_month, co.customer_unique_id,
-         (extract(year from co.order_month) - extract(year from f.cohort_month)) * 12
-         + (extract(month from co.order_month) - extract(month from f.cohort_month)) as period_number
-  from co_orders co join co_first f on co.customer_unique_id = f.customer_unique_id),
-co_size AS (
-  select cohort_month, count(distinct customer_unique_id) as cohort_size from co_act
-  where period_number = 0 group by cohort_month),
-co_active AS (
-  select cohort_month, period_number, count(distinct customer_unique_id) as active_customers
-  from co_act group by cohort_month, period_number),
+active_month AS (
+  select distinct customer_unique_id as person, {_month('order_purchase_timestamp')} as month
+  from fact_orders join dim_customers using (customer_id)
+  where order_status not in ({slist(P.cancel_statuses)})),
+aged_month AS (
+  select person, min(month) over (partition by person) as cohort_month, month from active_month),
+cohort_cell AS (
+  select cohort_month, cast(date_diff('month', cohort_month, month) as integer) as period_number, count(*) as people
+  from aged_month group by all),
 v_cohort_retention AS (
-  select a.cohort_month, cast(s.cohort_size as bigint) as cohort_size, cast(a.period_number as integer) as period_number,
-         cast(a.active_customers as bigint) as active_customers,
-         {rr('a.active_customers * 100', 's.cohort_size', 2)} as retention_rate_pct,
-         {rr('a.active_customers', 's.cohort_size', 4)} as retention_rate
-  from co_active a join co_size s on a.cohort_month = s.cohort_month
-  where a.cohort_month >= {dlit(P.cohort_start)} and a.cohort_month <= {dlit(P.cohort_end)})
+  select cohort_month, cast(size as bigint) as cohort_size, period_number, cast(people as bigint) as active_customers,
+         {_percent('people', 'size')} as retention_rate_pct, {rr('people', 'size', 4)} as retention_rate
+  from (select *, first_value(people) over (partition by cohort_month order by period_number) as size from cohort_cell)
+  where cohort_month between {dlit(P.cohort_start)} and {dlit(P.cohort_end)})
 """
 
-_TIE = "customer_unique_id asc, customer_city asc nulls first, customer_state asc nulls first"
+_TIE = "customer_unique_id, customer_city nulls first, customer_state nulls first"
+
+
+def _quarter(place: str) -> str:
+    """Quartile of a 1-based place among ``n``: the first n % 4 quartiles hold one more."""
+    return (f"cast(case when {place} <= (n % 4) * (n // 4 + 1) then ({place} + n // 4) // (n // 4 + 1) "
+            f"else n % 4 + ({place} - (n % 4) * (n // 4 + 1) + n // 4 - 1) // (n // 4) end as integer)")
+
+
+# fixed values: the segment ladder, first match wins
+_SEGMENT = _ladder([
+    ("least(r_score, f_score, m_score) >= 3", "Champions"),
+    ("r_score >= 3 and f_score >= 2", "Loyal Customers"),
+    ("r_score >= 3 and f_score = 1", "Potential Loyalists"),
+    ("r_score = 2 and f_score >= 3", "At Risk"),
+    ("r_score = 1 and f_score >= 3", "Cannot Lose Them"),
+    ("r_score = 2 and f_score = 2", "Needs Attention"),
+    ("r_score = 1 and f_score = 2", "Hibernating"),
+], "Lost")
 
 RFM = f"""
-rfm_raw AS (
-  select c.customer_unique_id, c.customer_city, c.customer_state,
-         count(distinct fo.order_id) as frequency, sum(bp.payment_value) as monetary,
-         max(cast(fo.order_purchase_timestamp as date)) as last_order_date,
-         {dlit(P.rfm_reference_date)} - max(cast(fo.order_purchase_timestamp as date)) as recency_days
-  from fact_orders fo join dim_customers c on fo.customer_id = c.customer_id
-       join bridge_payments bp on fo.order_id = bp.order_id
-  where {DELIV}
-  group by c.customer_unique_id, c.customer_city, c.customer_state),
-rfm_pct AS (
-  select *,
-         ntile(4) over (order by recency_days desc nulls last, {_TIE}) as r_score,
-         ntile(4) over (order by frequency asc nulls first, {_TIE}) as f_score,
-         ntile(4) over (order by monetary asc nulls first, {_TIE}) as m_score
-  from rfm_raw),
+spending AS (
+  select customer_unique_id, customer_city, customer_state, count(*) as frequency, sum(payment_value) as monetary,
+         max(cast(order_purchase_timestamp as date)) as last_order_date
+  from bridge_payments join fact_orders using (order_id) join dim_customers using (customer_id)
+  where {DELIVERED} group by customer_unique_id, customer_city, customer_state),
+spending_places AS (
+  select *, count(*) over () as n, row_number() over (order by last_order_date nulls first, {_TIE}) as r_place,
+         row_number() over (order by frequency, {_TIE}) as f_place,
+         row_number() over (order by monetary nulls first, {_TIE}) as m_place
+  from spending),
+spending_scores AS (
+  select *, {_quarter('r_place')} as r_score, {_quarter('f_place')} as f_score, {_quarter('m_place')} as m_score from spending_places),
 v_rfm_scores AS (
-  select customer_unique_id, customer_city, customer_state, cast(recency_days as integer) as recency_days,
+  select customer_unique_id, customer_city, customer_state,
+         cast(date_diff('day', last_order_date, {dlit(P.rfm_reference_date)}) as integer) as recency_days,
          cast(frequency as bigint) as frequency, cast(monetary as double) as monetary, last_order_date,
-         cast(r_score as integer) as r_score, cast(f_score as integer) as f_score, cast(m_score as integer) as m_score,
-         cast(r_score + f_score + m_score as integer) as rfm_total,
-         case when r_score >= 3 and f_score >= 3 and m_score >= 3 then 'Champions'
-              when r_score >= 3 and f_score >= 2 then 'Loyal Customers'
-              when r_score >= 3 and f_score = 1 then 'Potential Loyalists'
-              when r_score = 2 and f_score >= 3 then 'At Risk'
-              when r_score = 1 and f_score >= 3 then 'Cannot Lose Them'
-              when r_score = 2 and f_score = 2 then 'Needs Attention'
-              when r_score = 1 and f_score = 2 then 'Hibernating'
-              else 'Lost' end as segment
-  from rfm_pct)
+         r_score, f_score, m_score, cast(r_score + f_score + m_score as integer) as rfm_total, {_SEGMENT} as segment
+  from spending_scores)
 """
 
 DELAY = f"""
-dd_base AS (
-  select fo.order_id, fo.customer_id, fo.is_late, fo.approval_lag_hours,
-         cast(extract(dow from fo.order_purchase_timestamp) as integer) as order_day_of_week,
-         cast(extract(hour from fo.order_purchase_timestamp) as integer) as order_hour,
-         cast(extract(month from fo.order_purchase_timestamp) as integer) as order_month_num
-  from fact_orders fo
-  where {TRUSTED} and fo.has_items = true and fo.has_payment = true),
-dd_items AS (
-  select order_id, cast(count(order_item_id) as bigint) as item_count, cast(count(distinct seller_id) as bigint) as seller_count,
-         cast(sum(price) as double) as order_value, cast(sum(freight_value) as double) as freight_value,
-         {rr(cents('sum(price)'), 'count(price)', 0)} / 100.0 as avg_item_price,
-         {rr(cents('sum(freight_value)') + ' * 100', cents('sum(price)'), 2)} as freight_ratio_pct
-  from fact_order_items group by order_id),
-dd_mode AS (
-  select foi.order_id, p.product_category_name as cat,
-         row_number() over (partition by foi.order_id order by count(*) desc, p.product_category_name asc) as rn
-  from fact_order_items foi join dim_products p on foi.product_id = p.product_id
-  where p.product_category_name is not null group by foi.order_id, p.product_category_name),
-dd_prod AS (
-  select foi.order_id,
-         {rr(cents('sum(p.product_weight_g)'), 'count(p.product_weight_g) * 100', 1)} as avg_product_weight_g,
-         {rr(cents('sum(coalesce(p.product_length_cm, 0) * coalesce(p.product_height_cm, 0) * coalesce(p.product_width_cm, 0))', 6),
-             'count(*) * 1000000', 1)} as avg_product_volume_cm3
-  from fact_order_items foi join dim_products p on foi.product_id = p.product_id group by foi.order_id),
-dd_seller AS (
-  select foi.seller_id, cast(count(distinct fo.order_id) as bigint) as seller_total_orders,
-         {rr('sum(case when fo.is_late then 1 else 0 end) * 100', 'count(*)', 2)} as seller_hist_late_rate,
-         {rr('sum(fo.days_to_deliver)', 'count(fo.days_to_deliver)', 1)} as seller_avg_days_to_deliver
-  from fact_orders fo join fact_order_items foi on fo.order_id = foi.order_id
-  where {TRUSTED} group by foi.seller_id),
+cart AS (
+  select order_id, count(*) as lines, count(distinct seller_id) as sellers, sum(price) as goods, sum(freight_value) as carriage,
+         count(price) as priced, min(seller_id) filter (where order_item_id = 1) as lead_seller,
+         sum(product_weight_g) as weight, count(product_weight_g) as weighed,
+         sum(coalesce(product_length_cm, 0) * coalesce(product_height_cm, 0) * coalesce(product_width_cm, 0)) as volume
+  from fact_order_items join dim_products using (product_id) group by order_id),
+cart_share AS (
+  select order_id, product_category_name as category, count(*) as lines, max(count(*)) over (partition by order_id) as most
+  from fact_order_items join dim_products using (product_id)
+  where product_category_name is not null group by order_id, product_category_name),
+cart_theme AS (select order_id, min(category) as category from cart_share where lines = most group by order_id),
+record_stint AS (
+  select seller_id, order_id, count(*) as lines, bool_or(is_late) as late, any_value(days_to_deliver) as took
+  from fact_order_items join fact_orders using (order_id) where {RELIABLE} group by seller_id, order_id),
+record AS (
+  select seller_id, cast(count(*) as bigint) as orders, {_percent('coalesce(sum(lines) filter (where late), 0)', 'sum(lines)')} as late_rate,
+         {rr('sum(took * lines)', 'sum(lines) filter (where took is not null)', 1)} as took
+  from record_stint group by seller_id),
 v_delivery_delay_drivers AS (
-  select ob.order_id, ob.is_late, ob.order_day_of_week, ob.order_hour, ob.order_month_num,
-         oia.item_count, oia.seller_count, oia.order_value, oia.freight_value, oia.avg_item_price, oia.freight_ratio_pct,
-         pf.avg_product_weight_g, pf.avg_product_volume_cm3, m.cat as primary_category,
-         sf.seller_hist_late_rate, sf.seller_avg_days_to_deliver, sf.seller_total_orders,
-         c.customer_state, cast(ob.approval_lag_hours as double) as approval_lag_hours
-  from dd_base ob join dd_items oia on ob.order_id = oia.order_id
-       join dd_prod pf on ob.order_id = pf.order_id
-       left join dd_mode m on m.order_id = ob.order_id and m.rn = 1
-       join dim_customers c on ob.customer_id = c.customer_id
-       join fact_order_items fp on ob.order_id = fp.order_id and fp.order_item_id = 1
-       join dd_seller sf on fp.seller_id = sf.seller_id)
+  select order_id, is_late, cast(extract(dow from order_purchase_timestamp) as integer) as order_day_of_week,
+         cast(extract(hour from order_purchase_timestamp) as integer) as order_hour,
+         cast(extract(month from order_purchase_timestamp) as integer) as order_month_num,
+         cast(cart.lines as bigint) as item_count, cast(sellers as bigint) as seller_count, cast(goods as double) as order_value,
+         cast(carriage as double) as freight_value, {rr(cents('goods'), 'priced', 0)} / 100.0 as avg_item_price,
+         {_percent(cents('carriage'), cents('goods'))} as freight_ratio_pct,
+         {rr(cents('weight'), 'weighed * 100', 1)} as avg_product_weight_g,
+         {rr(cents('volume', 6), 'cart.lines * 1000000', 1)} as avg_product_volume_cm3, cart_theme.category as primary_category,
+         record.late_rate as seller_hist_late_rate, record.took as seller_avg_days_to_deliver, record.orders as seller_total_orders,
+         customer_state, cast(approval_lag_hours as double) as approval_lag_hours
+  from fact_orders join cart using (order_id) join record on seller_id = lead_seller join dim_customers using (customer_id)
+       left join cart_theme using (order_id)
+  where {RELIABLE} and has_items and has_payment)
 """
 
 UNIFIED = f"""
-rfm_one AS (
-  select * from (
-    select *, row_number() over (partition by customer_unique_id
-                                 order by last_order_date desc, monetary desc, customer_city, customer_state) as rn
-    from v_rfm_scores) where rn = 1),
+person_score AS (
+  select distinct on (customer_unique_id) * from v_rfm_scores
+  order by customer_unique_id, last_order_date desc, monetary desc, customer_city, customer_state),
+purchase AS (
+  select fact_orders.*, dim_customers.customer_unique_id, dim_customers.customer_city, dim_customers.customer_state,
+         segment, r_score, f_score, m_score, rfm_total, recency_days, frequency, monetary
+  from fact_orders join dim_customers using (customer_id)
+       left join person_score on person_score.customer_unique_id = dim_customers.customer_unique_id
+  where {DELIVERED}),
 v_unified_orders AS (
-  select c.customer_unique_id, c.customer_city, c.customer_state, rfm.segment, rfm.r_score, rfm.f_score, rfm.m_score,
-         rfm.rfm_total, rfm.recency_days, rfm.frequency, rfm.monetary, o.order_id,
-         cast(date_trunc('month', o.order_purchase_timestamp) as date) as order_month,
-         cast(extract(year from o.order_purchase_timestamp) as integer) as order_year,
-         cast(extract(month from o.order_purchase_timestamp) as integer) as order_month_num,
-         o.order_status, o.is_late, cast(o.days_to_deliver as double) as days_to_deliver,
-         cast(o.days_vs_estimate as double) as days_vs_estimate, oi.order_item_id,
-         cast(oi.price as double) as price, cast(oi.freight_value as double) as freight_value,
-         p.product_category_name, p.product_category_name_english,
-         sla.late_rate_pct as category_late_rate_pct, sla.avg_days_to_deliver as category_avg_days_to_deliver,
-         sla.p90_days_to_deliver as category_p90_days_to_deliver, sla.sla_tier as category_sla_tier,
-         sla.avg_days_vs_estimate as category_avg_days_vs_estimate
-  from fact_orders o join dim_customers c on o.customer_id = c.customer_id
-       join fact_order_items oi on o.order_id = oi.order_id
-       join dim_products p on oi.product_id = p.product_id
-       left join rfm_one rfm on c.customer_unique_id = rfm.customer_unique_id
-       left join v_category_sla sla on p.product_category_name = sla.product_category_name
-  where o.order_status = '{P.delivered_status}')
+  select customer_unique_id, customer_city, customer_state, segment, r_score, f_score, m_score, rfm_total, recency_days, frequency, monetary,
+         order_id, {_month('order_purchase_timestamp')} as order_month,
+         cast(extract(year from order_purchase_timestamp) as integer) as order_year,
+         cast(extract(month from order_purchase_timestamp) as integer) as order_month_num, order_status, is_late,
+         cast(days_to_deliver as double) as days_to_deliver, cast(days_vs_estimate as double) as days_vs_estimate, order_item_id,
+         cast(price as double) as price, cast(freight_value as double) as freight_value,
+         dim_products.product_category_name, product_category_name_english, late_rate_pct as category_late_rate_pct,
+         avg_days_to_deliver as category_avg_days_to_deliver, p90_days_to_deliver as category_p90_days_to_deliver,
+         sla_tier as category_sla_tier, avg_days_vs_estimate as category_avg_days_vs_estimate
+  from fact_order_items join purchase using (order_id) join dim_products using (product_id)
+       left join v_category_sla on v_category_sla.product_category_name = dim_products.product_category_name)
 """
