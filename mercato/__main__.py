@@ -4,6 +4,8 @@
     python -m mercato run category_sla --sf-dir /root/testdata/sf0.01 [--out out/ --format parquet|csv]
     python -m mercato build-star --raw-dir /data/raw --out /warehouse/star          (raw CSV export)
     python -m mercato build-star --sf-dir /root/testdata/sf0.1 --out /warehouse/star (test tables)
+    python -m mercato train --star /warehouse/star --model /models/late            (fit and save)
+    python -m mercato score --star /warehouse/star --model /models/late --out /scores
     python -m mercato export --star /warehouse/star --out /exports
 
 On a cluster the session comes from spark-submit; locally a local session is
@@ -49,6 +51,15 @@ def main(argv=None) -> int:
     b.add_argument("--sf-dir")
     b.add_argument("--out", required=True)
     b.add_argument("--fixtures", action="store_true")
+    t = sub.add_parser("train")
+    t.add_argument("--star", required=True)
+    t.add_argument("--model", required=True)
+    t.add_argument("--fixtures", action="store_true")
+    sc = sub.add_parser("score")
+    sc.add_argument("--star", required=True)
+    sc.add_argument("--model", required=True)
+    sc.add_argument("--out", required=True)
+    sc.add_argument("--fixtures", action="store_true")
     e = sub.add_parser("export")
     e.add_argument("--star", required=True)
     e.add_argument("--out", required=True)
@@ -78,6 +89,16 @@ def main(argv=None) -> int:
 
         export_extracts(spark, Star.load(spark, a.star), p, a.out).show(truncate=False)
         return 0
+    if a.cmd in ("train", "score"):
+        from mercato.ml import jobs
+
+        star = Star.load(spark, a.star)
+        if a.cmd == "train":
+            jobs.training(star, p, path=a.model)
+            jobs.forest_report(star, p, path=a.model).show(truncate=False)
+        else:
+            jobs.score_saved(star, p, a.model).write.mode("overwrite").parquet(a.out)
+        return 0
     # run
     if a.star:
         star = Star.load(spark, a.star)

@@ -17,10 +17,16 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Integers of sums and ratios: 38 digits, as wide as any table needs.
+WIDE = "decimal(38,0)"
+
+
 def idiv(a, b) -> Column:
-    """Integral division of longs, truncating (SQL `div`); NULL when b = 0."""
-    a, b = _col(a).cast("long"), _col(b).cast("long")
-    return F.when(b != 0, F.call_function("div", a, b))
+    """Integral division of wide integers, truncating; NULL when b = 0.
+
+    (a - a mod b) / b is exact in decimals, whose remainder has a's sign."""
+    a, b = _col(a).cast(WIDE), _col(b).cast(WIDE)
+    return F.when(b != 0, ((a - a % b).cast(WIDE) / b).cast(WIDE))
 
 
 def round_ratio(num, den, digits: int) -> Column:
@@ -29,25 +35,24 @@ def round_ratio(num, den, digits: int) -> Column:
     Returns a double (the nearest double to the exact decimal result); NULL
     when den is NULL or 0, which is the NULLIF guard of the SQL.
     """
-    n = _col(num).cast("long")
-    d = _col(den).cast("long")
+    n = _col(num).cast(WIDE)
+    d = _col(den).cast(WIDE)
     scale = 10**digits
-    q = idiv(F.abs(n) * (2 * scale) + d, d * 2)
+    q = idiv((F.abs(n) * F.lit(2 * scale).cast("decimal(12,0)")).cast(WIDE) + d, (d * 2).cast(WIDE))
     signed = F.when(n < 0, -q).otherwise(q)
-    return F.when(d != 0, signed / F.lit(float(scale)))
+    # the quotient by a power of ten is exact in decimals (digits <= 6), so the double is the nearest one
+    return F.when(d != 0, (signed / F.lit(scale).cast("decimal(7,0)")).cast("double"))
 
 
 def unscaled(col, scale: int) -> Column:
-    """Value with `scale` digits as an exact long (value * 10^scale).
+    """Value with `scale` digits as an exact integer (value * 10^scale), wide
+    enough to be summed over any table.
 
     Rounded before the cast: doubles such as 3.45 are 344.99999... * 100."""
-    return F.round(_col(col) * F.lit(10**scale)).cast("long")
+    return F.round(_col(col) * F.lit(10**scale)).cast(WIDE)
 
 
 def money(col) -> Column:
     """Money as DECIMAL(12,2)."""
     return _col(col).cast("decimal(12,2)")
 
-
-def to_double(col) -> Column:
-    return _col(col).cast("double")

@@ -1,78 +1,140 @@
-"""Registered ML jobs.  A fitted model is kept per (Spark context, input,
-split) so the report, curve, importance and scoring jobs of one run share one
-training instead of refitting the forest for each output."""
+"""Registered ML jobs.
+
+A training is a folder of artefacts in the shared checkpoint folder: the
+models and the scores of the holdout.  Its name is a digest of the parameters
+that fitting uses and of the input rows, so another parameter or changed data
+never meets an old model, and nothing is kept in this module.  Thresholds are
+applied to the stored probabilities.
+"""
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import dataclass
+
+from pyspark.errors import AnalysisException
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mercato.functions.hashing import id_unit
 from mercato.ml import pipeline as M
 from mercato.params import Params
 from mercato.plans import views as V
+from mercato.session import ensure_checkpoint_dir
 from mercato.sources.star import Star
 
-_MODELS: dict = {}
-
 
 def features(s: Star, p: Params) -> DataFrame:
     return M.model_frame(V.delivery_delay_drivers(s, p), p)
 
 
-def _key(s: Star, tag: str):
-    df = s.fact_orders
-    return (id(df.sparkSession.sparkContext), df.inputFiles()[0] if df.inputFiles() else "", tag)
+def features_asof(s: Star, p: Params) -> DataFrame:
+    """The model frame with the seller's record as it stood before the order
+    was placed, instead of its record over all time."""
+    dd = V.delivery_delay_drivers(s, p)
+    lead = s.fact_order_items.filter(F.col("order_item_id") == 1).select("order_id", "seller_id")
+    past = V.seller_history_asof(s, p)
+    x = dd.join(lead, "order_id").join(past, ["order_id", "seller_id"], "left")
+    x = x.withColumns({
+        # a seller without earlier orders has rate and days 0 and 0 orders, which tells it from a good one
+        "seller_hist_late_rate": F.coalesce("seller_prior_late_rate", F.lit(0.0)),
+        "seller_avg_days_to_deliver": F.coalesce("seller_prior_avg_days_to_deliver", F.lit(0.0)),
+        "seller_total_orders": F.coalesce(F.col("seller_prior_orders"), F.lit(0)).cast("long"),
+    })
+    return M.model_frame(x, p)
+
+
+@dataclass
+class Training:
+    """Paths of one training's artefacts."""
+
+    path: str
+    logistic: bool
+    seconds: dict | None = None  # of the fits, if this call made them
+
+    def forest(self) -> PipelineModel:
+        return M.load_model(f"{self.path}/forest")
+
+    def scores(self, spark, threshold: float, model: str = "p_forest") -> DataFrame:
+        x = spark.read.parquet(f"{self.path}/scores").withColumnRenamed(model, "p_late")
+        return M.flagged(x.select("order_id", "label", "p_late"), threshold)
+
+
+def _digest(s: Star, p: Params, tag: str) -> str:
+    """Name of a training: what it is fitted with and on."""
+    rows = []
+    for df in (s.fact_orders, s.fact_order_items, s.dim_products):
+        got = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+        rows.append(tuple(map(str, got)))
+    same_fit = p.with_(threshold=0.5, risk_top_k=10, cold_start_orders=10, segment_filter=None)
+    return hashlib.sha256(repr((tag, same_fit, rows)).encode()).hexdigest()[:24]
+
+
+def training(s: Star, p: Params, temporal: bool = False, path: str | None = None) -> Training:
+    """The training of these rows and parameters, fitted if it is not there."""
+    spark = s.fact_orders.sparkSession
+    path = path or (f"{ensure_checkpoint_dir(spark).rstrip('/')}/training-"
+                    f"{_digest(s, p, 'temporal' if temporal else 'split')}")
+    done = Training(path, not temporal)
+    try:
+        spark.read.parquet(f"{path}/scores").schema  # written last
+        return done
+    except AnalysisException:
+        pass
+    frame = features_asof(s, p) if temporal else features(s, p)
+    frame.write.mode("overwrite").parquet(f"{path}/frame")
+    frame = spark.read.parquet(f"{path}/frame")
+    split = M.temporal_split(frame, s.fact_orders, p.temporal_cutoff) if temporal else None
+    f = M.fit(frame, p, logistic=not temporal, num_trees=p.num_trees, split=split)
+    M.save_model(f.forest, f"{path}/forest")
+    scored = M.probabilities(f.forest, f.test).withColumnRenamed("p_late", "p_forest")
+    if f.logistic is not None:
+        M.save_model(f.logistic, f"{path}/logistic")
+        scored = M.probabilities(f.logistic, scored).withColumnRenamed("p_late", "p_logistic")
+    keep = ["order_id", "label", "p_forest"] + (["p_logistic"] if f.logistic is not None else [])
+    scored.select(*keep).write.mode("overwrite").parquet(f"{path}/scores")
+    done.seconds = f.seconds
+    return done
 
 
-def fitted(s: Star, p: Params, temporal: bool = False) -> M.Fitted:
-    """Fit once per run.  The feature frame is persisted (MLlib passes over it
-    many times anyway) and the holdout is scored once; every evaluation job
-    derives its table from those scores."""
-    key = _key(s, f"temporal={temporal}:{p.num_trees}:{p.seed}")
-    if key not in _MODELS:
-        df = features(s, p).persist()
-        split = M.temporal_split(df, s.fact_orders, p.temporal_cutoff) if temporal else None
-        f = M.fit(df, p, logistic=not temporal, num_trees=p.num_trees, split=split)
-        f.frame = df
-        f.scored_test = M.score(f.forest, f.test, p.threshold).persist()
-        f.lr_scored_test = M.score(f.logistic, f.test, p.threshold).persist() if f.logistic is not None else None
-        _MODELS[key] = f
-    return _MODELS[key]
+def split_summary(s: Star, p: Params) -> DataFrame:
+    x = M.with_split(features(s, p).select("order_id", "label"), p)
+    part = F.when(F.col("is_test"), "test").otherwise("train")
+    return x.groupBy(part.alias("split"), "label").agg(F.count(F.lit(1)).cast("long").alias("rows"))
 
 
-def split_summary(s: Star, p: Params) -> DataFrame:
-    df = features(s, p)
-    part = F.when(M.split_key("order_id", p.seed) < p.test_fraction, "test").otherwise("train")
-    return df.groupBy(part.alias("split"), "label").agg(F.count(F.lit(1)).cast("long").alias("rows"))
+def _report(scored: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+    area = M.auc(scored).first()[0]
+    base = M.auc(baseline).first()[0] if baseline is not None else None
+    return M.classification_report(scored).withColumn("auc", F.lit(area).cast("double")).withColumn(
+        "gate", F.lit(M.gate_status(area, base)))
 
 
-def _report(scored: DataFrame, baseline: float | None = None) -> DataFrame:
-    a = M.auc(scored)
-    rep = M.classification_report(scored)
-    out = rep.withColumn("auc", F.lit(a)).withColumn("gate", F.lit(M.gate_status(a, baseline)))
-    return out
+def _spark(s: Star):
+    return s.fact_orders.sparkSession
 
 
-def forest_report(s: Star, p: Params) -> DataFrame:
-    f = fitted(s, p)
-    base = M.auc(f.lr_scored_test) if f.lr_scored_test is not None else None
-    return _report(f.scored_test, base)
+def forest_report(s: Star, p: Params, path: str | None = None) -> DataFrame:
+    t = training(s, p, path=path)
+    return _report(t.scores(_spark(s), p.threshold), t.scores(_spark(s), p.threshold, "p_logistic"))
 
 
 def logistic_report(s: Star, p: Params) -> DataFrame:
-    return _report(fitted(s, p).lr_scored_test)
+    return _report(training(s, p).scores(_spark(s), p.threshold, "p_logistic"))
 
 
 def temporal_report(s: Star, p: Params) -> DataFrame:
-    return _report(fitted(s, p, temporal=True).scored_test)
+    """Trained before the cutoff on point-in-time seller records, tested after it."""
+    return _report(training(s, p, temporal=True).scores(_spark(s), p.threshold))
 
 
 def confusion(s: Star, p: Params) -> DataFrame:
-    return M.confusion_matrix(fitted(s, p).scored_test)
+    return M.confusion_matrix(training(s, p).scores(_spark(s), p.threshold))
 
 
 def pr_curve(s: Star, p: Params) -> DataFrame:
-    return M.curve_table(fitted(s, p).scored_test)
+    return M.curve_table(training(s, p).scores(_spark(s), p.threshold))
 
 
 def best_threshold(s: Star, p: Params) -> DataFrame:
@@ -80,16 +142,19 @@ def best_threshold(s: Star, p: Params) -> DataFrame:
 
 
 def importance(s: Star, p: Params) -> DataFrame:
-    return M.feature_importance(fitted(s, p).forest)
+    return M.feature_importance(training(s, p).forest())
 
 
 def batch_scores(s: Star, p: Params) -> DataFrame:
-    """All orders scored once per fitted model (persisted), shared with the
-    daily ranking job."""
-    f = fitted(s, p)
-    if getattr(f, "scored_all", None) is None:
-        f.scored_all = M.cold_start(M.score(f.forest, f.frame, p.threshold), p).persist()
-    return f.scored_all
+    """All orders scored with the trained forest."""
+    t = training(s, p)
+    frame = _spark(s).read.parquet(f"{t.path}/frame")
+    return M.cold_start(M.score(t.forest(), frame, p.threshold), p)
+
+
+def score_saved(s: Star, p: Params, path: str) -> DataFrame:
+    """The orders of ``s``, whatever the saved model was fitted on, scored with it."""
+    return M.cold_start(M.score(M.load_model(f"{path}/forest"), features(s, p), p.threshold), p)
 
 
 def daily_top_risk(s: Star, p: Params) -> DataFrame:
@@ -104,13 +169,43 @@ def seller_rate_psi(s: Star, p: Params) -> DataFrame:
         F.round("psi", 6).alias("psi"))
 
 
+def halves(scored: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
+    """(validation, evaluation) halves of the holdout, by a hash that is
+    independent of the one that drew the holdout."""
+    u = id_unit("order_id", f"halves{p.seed}")
+    return scored.filter(u < 0.5), scored.filter(u >= 0.5)
+
+
 def validated_threshold(s: Star, p: Params) -> DataFrame:
     """T18 fix: choose the max-F1 threshold on one half of the holdout
     (validation) and report precision / recall / F1 at that threshold on the
     other half (evaluation), instead of tuning and reporting on the same rows."""
-    scored = fitted(s, p).scored_test
-    u = M.split_key("order_id", p.seed + 1)
-    validation, evaluation = scored.filter(u < 0.5), scored.filter(u >= 0.5)
-    t = M.best_threshold(M.curve_table(validation)).select("threshold").scalar()
-    ev = evaluation.withColumn("flag", (F.col("p_late") >= t).cast("int"))
-    return M.classification_report(ev).withColumn("threshold", t)
+    validation, evaluation = halves(training(s, p).scores(_spark(s), p.threshold), p)
+    t = M.best_threshold(M.curve_table(validation)).first()["threshold"]
+    return M.classification_report(M.flagged(evaluation, t)).withColumn("threshold", F.lit(t))
+
+
+# ------------------------------------------------------------ evaluation of a fixed score
+def rate_scores(s: Star, p: Params) -> DataFrame:
+    """The seller's late rate as a score: the evaluation on values that any engine can repeat."""
+    x = features(s, p).where(F.col("seller_hist_late_rate").isNotNull())
+    return M.flagged(x.select("order_id", "label", (F.col("seller_hist_late_rate") / 100).alias("p_late")),
+                     p.rate_threshold)
+
+
+def rate_report(s: Star, p: Params) -> DataFrame:
+    scored = rate_scores(s, p)
+    return M.classification_report(scored).crossJoin(F.broadcast(M.auc(scored))).select(  # one row beside two
+        "class", "precision", "recall", "f1", "support", "accuracy", F.round("auc", 9).alias("auc"))
+
+
+def rate_curve(s: Star, p: Params) -> DataFrame:
+    return M.curve_table(rate_scores(s, p))
+
+
+def rate_best_threshold(s: Star, p: Params) -> DataFrame:
+    return M.best_threshold(rate_curve(s, p))
+
+
+def rate_confusion(s: Star, p: Params) -> DataFrame:
+    return M.confusion_matrix(rate_scores(s, p))

@@ -3,7 +3,8 @@
 Distributed end to end: the feature frame comes from the delay-driver view,
 the split is a per-row hash (no global sort), trees are grown by MLlib from
 split statistics aggregated across executors, and every evaluation table
-(report, confusion matrix, PR/ROC points, drift) is an aggregate.  Only
+(report, confusion matrix, PR/ROC points, drift) is an aggregate or a
+range-partitioned running total.  Only
 fixed-size things reach the driver: class counts (2 numbers) and the model.
 """
 
@@ -13,14 +14,16 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mercato.functions.hashing import BITS, id_bits
+from mercato.operators.prefix import running_totals
 from mercato.params import Params
 
+# fixed values: the numeric features
 NUMERIC = [
     "order_day_of_week", "order_hour", "order_month_num", "item_count", "seller_count", "order_value",
     "freight_value", "freight_ratio_pct", "avg_product_weight_g", "avg_product_volume_cm3",
@@ -44,18 +47,36 @@ def model_frame(dd: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def split_key(col: str, seed: int) -> Column:
-    """Uniform [0, 1) per key, repeatable and engine-independent (31-bit LCG step)."""
-    k = F.pmod(F.pmod(F.col(col), F.lit(2147483648)) * 1103515245 + seed, F.lit(2147483648))
-    return k / F.lit(2147483648.0)
+SPLIT_BUCKETS = 16  # bits of the hash that the split counts
+
+
+def split_bucket(p: Params, key: str = "order_id") -> Column:
+    """Leading bits of the id's salted hash: the place of a row in the split."""
+    return F.shiftright(id_bits(key, f"split{p.seed}"), BITS - SPLIT_BUCKETS)
+
+
+def split_cuts(df: DataFrame, p: Params) -> DataFrame:
+    """Per class, the last bucket of the test side: as many whole buckets as
+    hold at most the test fraction of that class.  At most 2^16 counts per
+    class are ordered, whatever the number of rows."""
+    counts = df.groupBy("label", split_bucket(p).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("label").orderBy("bucket"))
+    total = F.sum("n").over(Window.partitionBy("label"))
+    return counts.select("label", "bucket", upto.alias("upto"), total.alias("total")).groupBy("label").agg(
+        F.coalesce(F.max(F.when(F.col("upto") <= F.round(F.col("total") * p.test_fraction), F.col("bucket"))),
+                   F.lit(-1)).alias("cut"))
+
+
+def with_split(df: DataFrame, p: Params) -> DataFrame:
+    """M4: ``df`` with is_test, drawn within each class by the id's hash."""
+    cuts = F.broadcast(split_cuts(df, p))  # one row per class
+    return df.join(cuts, "label").withColumn("is_test", split_bucket(p) <= F.col("cut")).drop("cut")
 
 
 def stratified_split(df: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
-    """M4: per-row hash threshold.  Applied to every row of both classes, so each
-    class is split in the same proportion (within sampling error), without the
-    global sort an exact-count split needs."""
-    u = split_key("order_id", p.seed)
-    return df.filter(u >= p.test_fraction), df.filter(u < p.test_fraction)
+    """M4: (train, test), the test fraction of each class."""
+    x = with_split(df, p)
+    return x.filter(~F.col("is_test")).drop("is_test"), x.filter("is_test").drop("is_test")
 
 
 def temporal_split(df: DataFrame, ts: DataFrame, cutoff) -> tuple[DataFrame, DataFrame]:
@@ -90,7 +111,7 @@ def _encoders() -> list:
 def forest_pipeline(p: Params, num_trees: int = 300) -> Pipeline:
     rf = RandomForestClassifier(
         labelCol="label", featuresCol="features", weightCol="weight", numTrees=num_trees, maxDepth=12,
-        minInstancesPerNode=20, featureSubsetStrategy="sqrt", impurity="gini", seed=p.seed,
+        minInstancesPerNode=20, featureSubsetStrategy="sqrt", impurity="gini", seed=p.seed, maxBins=p.forest_max_bins,
         # fewer passes over the data: more tree nodes are split per pass, and
         # each row's node id is cached instead of re-derived from the trees
         maxMemoryInMB=p.forest_node_memory_mb, cacheNodeIds=True, checkpointInterval=10,
@@ -115,10 +136,6 @@ class Fitted:
     logistic: PipelineModel | None
     train: DataFrame
     test: DataFrame
-    frame: DataFrame | None = None
-    scored_test: DataFrame | None = None
-    lr_scored_test: DataFrame | None = None
-    scored_all: DataFrame | None = None
     seconds: dict | None = None
 
 
@@ -141,18 +158,29 @@ def fit(df: DataFrame, p: Params, logistic: bool = True, num_trees: int = 300, s
 
 
 # ------------------------------------------------------------ M10-M17 evaluation and scoring
-def score(model: PipelineModel, df: DataFrame, threshold: float) -> DataFrame:
-    """Probabilities and the 0/1 flag at `threshold`."""
+def probabilities(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """``df`` with p_late, the probability of the late class."""
     out = model.transform(df)
-    prob = vector_to_array("probability")[1]
-    keep = [c for c in df.columns] + ["probability"]
-    return out.select(*keep).withColumn("p_late", prob).withColumn(
-        "flag", (F.col("p_late") >= threshold).cast("int")).drop("probability")
+    return out.select(*df.columns, vector_to_array("probability")[1].alias("p_late"))
 
 
-def auc(scored: DataFrame) -> float:
-    ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="p_late", metricName="areaUnderROC")
-    return ev.evaluate(scored)
+def flagged(scored: DataFrame, threshold: float) -> DataFrame:
+    """The 0/1 flag of each score at ``threshold``."""
+    return scored.withColumn("flag", (F.col("p_late") >= threshold).cast("int"))
+
+
+def score(model: PipelineModel, df: DataFrame, threshold: float) -> DataFrame:
+    """Probabilities and the 0/1 flag at `threshold`."""
+    return flagged(probabilities(model, df), threshold)
+
+
+def auc(scored: DataFrame) -> DataFrame:
+    """Exact area under the ROC curve, one row, from the curve's counts:
+    each negative counts the positives above it, and half of those beside it."""
+    c = curve_counts(scored)
+    neg = F.col("n") - F.col("pos")
+    area = F.sum(neg * (F.col("tp") - F.col("pos") / F.lit(2.0)))
+    return c.agg(F.try_divide(area, F.sum("pos").cast("double") * F.sum(neg)).alias("auc"))
 
 
 def confusion_matrix(scored: DataFrame) -> DataFrame:
@@ -184,27 +212,27 @@ def classification_report(scored: DataFrame) -> DataFrame:
     return prf(tn, fn, fp, "On Time", tn + fp).unionByName(prf(tp, fp, fn, "Late", tp + fn))
 
 
-def curve_table(scored: DataFrame, digits: int = 4) -> DataFrame:
-    """Scores binned to `digits` decimals (at most 10^digits + 1 rows),
-    then cumulative counts from the highest threshold down.  The window runs on
-    the binned table only, never on the scored rows."""
-    b = scored.groupBy(F.round("p_late", digits).alias("threshold")).agg(
+def curve_counts(scored: DataFrame) -> DataFrame:
+    """One row per distinct score: its rows (n, pos) and the positives and rows
+    at or above it (tp, flagged)."""
+    by_score = scored.groupBy(F.col("p_late").alias("threshold")).agg(
         F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = Window.partitionBy()
-    x = b.select(
-        "threshold",
-        F.sum("pos").over(w).alias("tp"),
-        (F.sum("n").over(w) - F.sum("pos").over(w)).alias("fp"),
-        F.sum("pos").over(totals).alias("P"),
-        (F.sum("n").over(totals) - F.sum("pos").over(totals)).alias("N"),
-    )
-    prec = F.col("tp") / (F.col("tp") + F.col("fp"))
-    rec = F.when(F.col("P") > 0, F.col("tp") / F.col("P"))
+    return running_totals(by_score, [F.col("threshold").desc()], {"tp": "pos", "flagged": "n"})
+
+
+def curve_table(scored: DataFrame) -> DataFrame:
+    """Precision, recall, F1, TPR and FPR with every distinct score as
+    the threshold, exactly as scoring applies it (p_late >= threshold)."""
+    c = curve_counts(scored)
+    totals = scored.agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("all"))
+    x = c.select("*", totals.select("p").scalar().alias("p"), totals.select("all").scalar().alias("all"))
+    prec = F.col("tp") / F.col("flagged")
+    rec = F.when(F.col("p") > 0, F.col("tp") / F.col("p"))
+    negatives = F.col("all") - F.col("p")
     return x.select(
         "threshold", prec.alias("precision"), rec.alias("recall"),
         (2 * prec * rec / (prec + rec + F.lit(1e-9))).alias("f1"),
-        rec.alias("tpr"), F.when(F.col("N") > 0, F.col("fp") / F.col("N")).alias("fpr"),
+        rec.alias("tpr"), F.when(negatives > 0, (F.col("flagged") - F.col("tp")) / negatives).alias("fpr"),
     )
 
 
@@ -224,9 +252,9 @@ def feature_importance(model: PipelineModel) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc())
 
 
-def gate_status(auc_value: float, baseline_auc: float | None = None) -> str:
+def gate_status(auc_value: float | None, baseline_auc: float | None = None) -> str:
     """Quality gates as a status value (no exception)."""
-    if auc_value < 0.60:
+    if auc_value is None or auc_value < 0.60:
         return "STOP"
     if baseline_auc is not None and auc_value <= baseline_auc:
         return "NOT_BETTER_THAN_BASELINE"

@@ -1,9 +1,9 @@
 """Column statistics operators (A13 describe, A14 value_counts).
 
 `describe` computes count, mean, sample std, min, exact quartiles (linear
-interpolation, like pandas) and max of several columns in one aggregate; the
-quartiles come from `percentile`, which merges per-partition value counts
-(map-side) -- exact, unlike `summary()`, whose quartiles are approximate.
+interpolation, like pandas) and max of several columns.  The quartiles come
+from counted values in range partitions (`exact_quantiles`): exact, unlike
+`summary()`, and no task holds all distinct values of a column.
 """
 
 from __future__ import annotations
@@ -13,21 +13,20 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mercato.operators.prefix import exact_quantiles
+
 
 def describe(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
     parts = []
     for c in cols:
         x = F.col(c).cast("double")
-        q = F.percentile(x, [0.25, 0.5, 0.75])
-        parts.append(df.agg(
-            F.count(x).cast("long").alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-            F.min(x).alias("min"), q.alias("q"), F.max(x).alias("max"),
-        ).select(
+        q = exact_quantiles(df.select(x.alias("v")), "v", [0.25, 0.5, 0.75])
+        stats = df.agg(F.count(x).cast("long").alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+                       F.min(x).alias("min"), F.max(x).alias("max"))
+        parts.append(stats.select(
             F.lit(c).alias("column_name"), "count", F.round("mean", digits).alias("mean"),
             F.round("std", digits).alias("std"), "min",
-            F.round(F.col("q")[0], digits).alias("p25"), F.round(F.col("q")[1], digits).alias("p50"),
-            F.round(F.col("q")[2], digits).alias("p75"), "max",
-        ))
+            *[F.round(q.select(f"q{k}").scalar(), digits).alias(n) for k, n in enumerate(("p25", "p50", "p75"))], "max"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -7,7 +7,7 @@ production star and on the test fixtures (which only differ in dates).
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
@@ -73,16 +73,24 @@ class Params:
     seed: int = 42
     test_fraction: float = 0.2
     threshold: float = 0.5
+    # Threshold of the evaluation of the seller's late rate as a score.
+    rate_threshold: float = 0.10
     cold_start_orders: int = 10
     num_trees: int = 300
     forest_node_memory_mb: int = 1024
+    # Split candidates per feature; at least the number of categories, whose codes are numbers.
+    forest_max_bins: int = 256
     # Temporal split / drift: orders before the cutoff are the earlier period.
     temporal_cutoff: dt.date = dt.date(2018, 4, 1)
     drift_edges: tuple[float, ...] = (5.0, 10.0, 15.0, 20.0, 30.0, 50.0)
     risk_top_k: int = 10
     # Number of range partitions for the scalable NTILE (None: from the session).
     ntile_partitions: int | None = None
-    extra: dict = field(default_factory=dict)
+
+    def cohort_periods(self) -> int:
+        """Months from the first cohort to the reference date, both included."""
+        a, b = self.cohort_start, self.rfm_reference_date
+        return (b.year - a.year) * 12 + b.month - a.month + 1
 
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)

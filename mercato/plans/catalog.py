@@ -13,7 +13,7 @@ from mercato.plans import quality as Q
 from mercato.plans import reports as R
 from mercato.plans import views as V
 from mercato.plans.registry import register
-from mercato.sources.star import Star
+from mercato.sources.star import MONTH, Star, stored
 
 
 # ------------------------------------------------------------ star tables
@@ -40,7 +40,7 @@ def q_clean_products(s: Star, p: Params):
 @register("fact_orders")
 def q_fact_orders(s: Star, p: Params):
     # day measures are NUMERIC(8,2) in the star contract: emitted as double
-    return s.fact_orders.withColumns(
+    return s.fact_orders.drop(MONTH).withColumns(
         {c: F.col(c).cast("double") for c in ("days_to_deliver", "days_vs_estimate")}
     )
 
@@ -147,7 +147,7 @@ _reg("delay_feature_sanity", lambda s, p: R.delay_feature_sanity(V.delivery_dela
 _reg("class_split", lambda s, p: R.class_split(V.delivery_delay_drivers(s, p)))
 _reg("delay_outcome_means", lambda s, p: R.delay_outcome_means(V.delivery_delay_drivers(s, p)))
 _reg("delay_driver_sample", lambda s, p: R.delay_driver_sample(V.delivery_delay_drivers(s, p), p))
-_reg("delay_by_outcome", lambda s, p: R.delay_by_outcome(R.delay_driver_sample(V.delivery_delay_drivers(s, p), p)))
+_reg("delay_by_outcome", lambda s, p: R.delay_by_outcome(R.delay_driver_rows(V.delivery_delay_drivers(s, p), p)))
 _reg("feature_correlation", lambda s, p: R.feature_correlation(V.delivery_delay_drivers(s, p)))
 _reg("high_correlation_pairs",
      lambda s, p: R.high_correlation_pairs(R.feature_correlation(V.delivery_delay_drivers(s, p)), p))
@@ -178,7 +178,7 @@ _reg("key_integrity", lambda s, p: Q.key_integrity(s.raw))
 _reg("ghost_orders", lambda s, p: Q.ghost_orders(s.raw))
 _reg("unmapped_categories", lambda s, p: Q.unmapped_categories(s.raw))
 _reg("constraint_violations", lambda s, p: Q.constraint_violations(s))
-_reg("row_count_report", lambda s, p: Q.row_count_report(s, s))
+_reg("row_count_report", lambda s, p: Q.row_count_report(s, stored(s)))
 _reg("duplicate_review_ids", lambda s, p: Q.duplicate_review_ids(s.raw))
 _reg("zip_prefix_stats", lambda s, p: Q.zip_prefix_stats(s.raw))
 _reg("items_per_order", lambda s, p: Q.items_per_order(s.raw))
@@ -198,7 +198,12 @@ _reg("eda_sanity", lambda s, p: R.eda_sanity(
 from mercato.ml import jobs as ML  # noqa: E402
 
 _reg("ml_features", ML.features)
+_reg("ml_features_asof", ML.features_asof)
 _reg("ml_split_summary", ML.split_summary)
+_reg("ml_rate_report", ML.rate_report)
+_reg("ml_rate_curve", ML.rate_curve)
+_reg("ml_rate_best_threshold", ML.rate_best_threshold)
+_reg("ml_rate_confusion", ML.rate_confusion)
 _reg("ml_seller_rate_psi", ML.seller_rate_psi)
 _reg("ml_forest_report", ML.forest_report)
 _reg("ml_logistic_report", ML.logistic_report)

@@ -12,6 +12,10 @@ from mercato.sources import raw_io
 from mercato.sources.star import Star
 
 
+#: Extracts whose rows are months, categories or states: one file each.
+SMALL = {"cohort_retention", "revenue_by_category", "category_sla", "cancellation_analysis"}
+
+
 def extracts(s: Star, p: Params) -> dict[str, tuple[str, DataFrame]]:
     """name -> (target folder, DataFrame), in the order of the export notebook.
     Sorted only here, at the sink (the views themselves promise no order)."""
@@ -33,15 +37,15 @@ def extracts(s: Star, p: Params) -> dict[str, tuple[str, DataFrame]]:
 
 
 def export_extracts(spark: SparkSession, s: Star, p: Params, out_dir: str, bom: bool = True) -> DataFrame:
-    """Write every extract, then verify it by reading it back.  The unified table
-    is item-grain (large): it is written as a parallel CSV folder, the others as
-    single BOM files for the dashboard tools."""
+    """Write every extract, then verify it by reading it back.  Extracts with a
+    row per person, seller or item grow with the data and become CSV folders;
+    those per month, category and state become single BOM files."""
     from mercato.session import run_concurrently
 
     def one(item):
         name, (target, df) = item
         path = f"{out_dir.rstrip('/')}/{target}/{name}"
-        small = name != "unified_tableau"
+        small = name in SMALL
         stats = raw_io.observed_write(df, path, bom=bom and small)
         back = raw_io.read_back_check(spark, path, stats["rows"], df.columns)
         return (name, target, stats["rows"], stats["cols"], back["ok"])

@@ -74,10 +74,6 @@ def profile_schema(raw: Raw) -> DataFrame:
 
 
 # ------------------------------------------------------------ Q2 key integrity, Q4 ghost orders
-def _orphans(child: DataFrame, parent: DataFrame, ck: str, pk: str) -> Column:
-    return child.join(parent, child[ck] == parent[pk], "left_anti")
-
-
 def key_integrity(raw: Raw) -> DataFrame:
     o, i, pay, rev = raw.orders, raw.items, raw.payments, raw.reviews
     c, s, pr, tr = raw.customers, raw.sellers, raw.products, raw.translation

@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mercato.functions.hashing import id_bits
 from mercato.functions.numeric import round_ratio, unscaled
+from mercato.operators.prefix import exact_quantiles
 from mercato.operators.ranking import top_n
 from mercato.params import Params
 
@@ -58,13 +60,13 @@ def _cohort_kept(cr: DataFrame, p: Params) -> DataFrame:
 
 
 def cohort_matrix(cr: DataFrame, p: Params) -> DataFrame:
-    """Wide cohort x period matrix (pivot), labelled 'Mon yyyy'.  Values are the
-    periods present in the data: a bounded list (months)."""
+    """Wide cohort x period matrix (pivot), labelled 'Mon yyyy', with a column
+    for every month that a cohort can have reached by the reference date."""
     kept = _cohort_kept(cr, p)
     return (
         kept.groupBy("cohort_month", F.date_format("cohort_month", "MMM yyyy").alias("cohort_label"))
-        .pivot("period_number")
-        .agg(F.first("retention_rate_pct"))
+        .pivot("period_number", list(range(p.cohort_periods())))
+        .agg(F.max("retention_rate_pct"))
     )
 
 
@@ -330,35 +332,33 @@ def delay_outcome_means(dd: DataFrame) -> DataFrame:
     )
 
 
-def sample_key(col: str, seed: int) -> Column:
-    """Repeatable pseudo-random rank of a key (31-bit LCG step), the same in any SQL engine."""
-    return F.pmod(F.pmod(F.col(col), F.lit(2147483648)) * 1103515245 + seed, F.lit(2147483648))
-
-
-def delay_driver_sample(dd: DataFrame, p: Params) -> DataFrame:
-    x = dd.filter(
+def delay_driver_rows(dd: DataFrame, p: Params) -> DataFrame:
+    """The orders that chart 8 is about."""
+    return dd.filter(
         F.col("approval_lag_hours").isNotNull()
         & (F.col("approval_lag_hours") <= p.sample_max_lag_hours)
         & F.col("seller_hist_late_rate").isNotNull()
     ).select("order_id", "is_late", "approval_lag_hours", "item_count", "order_value", "freight_ratio_pct",
              "seller_hist_late_rate", "seller_avg_days_to_deliver", "customer_state")
-    return x.withColumn("_k", sample_key("order_id", p.sample_seed)).orderBy("_k", "order_id").limit(
-        p.sample_size).drop("_k")
 
 
-def delay_by_outcome(sample: DataFrame) -> DataFrame:
-    """Chart 8 box statistics per outcome for the two features (long format)."""
+def delay_driver_sample(dd: DataFrame, p: Params) -> DataFrame:
+    """A repeatable uniform sample, the orders with the smallest salted hash."""
+    key = id_bits("order_id", f"sample{p.sample_seed}")
+    return delay_driver_rows(dd, p).withColumn("_k", key).orderBy("_k", "order_id").limit(p.sample_size).drop("_k")
+
+
+def delay_by_outcome(rows: DataFrame) -> DataFrame:
+    """Chart 8 box statistics per outcome for the two features (long format),
+    over all of ``rows``."""
     outcome = F.when(F.col("is_late"), "Late").otherwise("On Time")
     parts = []
     for feat in ("approval_lag_hours", "seller_hist_late_rate"):
-        x = sample.select(outcome.alias("outcome"), F.col(feat).alias("v"))
-        q = x.groupBy("outcome").agg(
-            F.count("v").cast("long").alias("n"),
-            avg_round("v", 2, 2).alias("mean"),
-            F.percentile("v", 0.25).alias("q1"),
-            F.percentile("v", 0.5).alias("median"),
-            F.percentile("v", 0.75).alias("q3"),
-        )
+        x = rows.select(outcome.alias("outcome"), F.col(feat).alias("v"))
+        q = exact_quantiles(x, "v", [0.25, 0.5, 0.75], ["outcome"]).select(
+            "outcome", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
+        q = q.join(x.groupBy("outcome").agg(F.count("v").cast("long").alias("n"), avg_round("v", 2, 2).alias("mean")),
+                   "outcome")
         iqr = F.col("q3") - F.col("q1")
         lo, hi = F.col("q1") - iqr * 1.5, F.col("q3") + iqr * 1.5
         w = x.join(q.select("outcome", "q1", "q3"), "outcome").groupBy("outcome").agg(
@@ -373,6 +373,7 @@ def delay_by_outcome(sample: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+# fixed values: the features of the matrix, whose order makes the lower triangle
 CORR_FEATURES = [
     "is_late", "item_count", "seller_count", "order_value", "freight_value", "avg_item_price",
     "freight_ratio_pct", "avg_product_weight_g", "avg_product_volume_cm3", "seller_hist_late_rate",

@@ -296,13 +296,7 @@ def cohort_retention(s: Star, p: Params) -> DataFrame:
 
 
 # ---------------------------------------------------------------- RFM
-SEGMENTS = [
-    # fixed values: segment ladder, first match wins
-    "Champions", "Loyal Customers", "Potential Loyalists", "At Risk",
-    "Cannot Lose Them", "Needs Attention", "Hibernating", "Lost",
-]
-
-
+# fixed values: the segment ladder, first match wins
 def rfm_segment(r: Column, f: Column, m: Column) -> Column:
     return (
         F.when((r >= 3) & (f >= 3) & (m >= 3), "Champions")
@@ -526,36 +520,37 @@ def seller_history_asof(s: Star, p: Params) -> DataFrame:
     """Seller features over strictly earlier orders (the point-in-time version of
     seller_history that the model card asks for).
 
-    Grain: one row per (seller, delivered trusted order).  Prefix sums run in
-    two levels so a seller with a huge share of the orders never puts all its
-    rows in one window partition: (seller, day) totals are accumulated over the
-    seller's days (at most one row per day), and only the orders of one seller
-    on one day are ordered inside a (seller, day) partition.
+    Grain: one row per (seller, delivered trusted order).  Orders are first
+    added up per (seller, timestamp); running sums then go by day, by hour of a
+    day and by timestamp of an hour, so no window partition holds more than a
+    seller's days, 24 hours, or the timestamps of one hour, however many orders
+    a seller has.
     """
     base = _delivered_trusted(s, p).select("order_id", "order_purchase_timestamp", "is_late", "days_to_deliver")
     rows = s.fact_order_items.select("order_id", "seller_id").join(base, "order_id")
     per_order = rows.groupBy("seller_id", "order_id", "order_purchase_timestamp", "is_late", "days_to_deliver").agg(
         F.count(F.lit(1)).alias("n"))
     n, dtd = F.col("n"), F.col("days_to_deliver")
-    x = per_order.select(
-        "seller_id", "order_id", "order_purchase_timestamp",
-        F.to_date("order_purchase_timestamp").alias("day"),
-        F.lit(1).alias("o"), n.alias("r"), F.when(F.col("is_late"), n).otherwise(0).alias("l"),
-        F.coalesce(dtd * n, F.lit(0)).alias("sd"), _n(dtd, n).alias("cd"),
-    )
-    meas = ["o", "r", "l", "sd", "cd"]
-    # level 1: totals of all earlier days
-    days = x.groupBy("seller_id", "day").agg(*[F.sum(m).alias(m) for m in meas])
-    w_days = Window.partitionBy("seller_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select("seller_id", "day", *[F.coalesce(F.sum(m).over(w_days), F.lit(0)).alias(f"d_{m}")
-                                               for m in meas])
-    # level 2: earlier orders of the same day (strictly earlier timestamp)
-    w_same = Window.partitionBy("seller_id", "day").orderBy("order_purchase_timestamp")
-    w_tie = Window.partitionBy("seller_id", "day", "order_purchase_timestamp")
-    x = x.select("seller_id", "order_id", "order_purchase_timestamp", "day",
-                 *[(F.sum(m).over(w_same) - F.sum(m).over(w_tie)).alias(f"t_{m}") for m in meas])
-    j = x.join(days, ["seller_id", "day"])
-    tot = {m: F.col(f"d_{m}") + F.col(f"t_{m}") for m in meas}
+    meas = {"o": F.lit(1), "r": n, "l": F.when(F.col("is_late"), n).otherwise(0),
+            "sd": F.coalesce(dtd * n, F.lit(0)), "cd": _n(dtd, n)}
+    keys = ["seller_id", "order_purchase_timestamp"]
+    moments = per_order.groupBy(*keys).agg(*[F.sum(v).alias(m) for m, v in meas.items()]).withColumns({
+        "day": F.to_date("order_purchase_timestamp"), "hour": F.hour("order_purchase_timestamp")})
+
+    def earlier(df: DataFrame, part: list[str], order: str, out: str) -> DataFrame:
+        """Sums of the rows before each one, under the prefix ``out``."""
+        w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select(*part, order, *[F.coalesce(F.sum(m).over(w), F.lit(0)).alias(f"{out}_{m}") for m in meas])
+
+    def totals(by: list[str]) -> DataFrame:
+        return moments.groupBy(*by).agg(*[F.sum(m).alias(m) for m in meas])
+
+    days = earlier(totals(["seller_id", "day"]), ["seller_id"], "day", "d")
+    hours = earlier(totals(["seller_id", "day", "hour"]), ["seller_id", "day"], "hour", "h")
+    times = earlier(moments, ["seller_id", "day", "hour"], "order_purchase_timestamp", "t")
+    before = times.join(hours, ["seller_id", "day", "hour"]).join(days, ["seller_id", "day"])
+    j = per_order.select("seller_id", "order_id", "order_purchase_timestamp").join(before, keys)
+    tot = {m: F.col(f"d_{m}") + F.col(f"h_{m}") + F.col(f"t_{m}") for m in meas}
     return j.select(
         "seller_id", "order_id", "order_purchase_timestamp",
         tot["o"].cast("long").alias("seller_prior_orders"),

@@ -155,7 +155,8 @@ def orders(spark, sf_dir) -> DataFrame:
     )
     oid, purchase = F.col("order_id"), F.col("order_purchase_timestamp")
     delivered = _hours(
-        _days(purchase, F.dayofyear("last_ship") % 45 + F.col("bulk_days") + F.col("slow_days")), oid % 13
+        _days(purchase, F.dayofyear("last_ship") % 45 + F.col("bulk_days") + F.col("slow_days")
+              + F.when(oid % 701 == 9, 190).otherwise(0)), oid % 13
     )
     return b.select(
         "order_id",

@@ -66,14 +66,17 @@ def parse_ts(col: str):
     return F.try_to_timestamp(F.col(col), F.lit(TS_FORMAT)).cast("timestamp_ntz")
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    # free-text review fields contain quoted newlines and quotes
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
+#: Tables with free text, whose quoted fields hold line breaks; only their files cannot be split.
+FREE_TEXT = {"reviews"}
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType, multi_line: bool = False) -> DataFrame:
+    return (spark.read.schema(schema).option("header", True).option("multiLine", multi_line)
             .option("escape", '"').option("mode", "PERMISSIVE").csv(path))
 
 
 def read_table(spark: SparkSession, raw_dir: str, name: str, files: dict | None = None) -> DataFrame:
-    df = read_csv(spark, os.path.join(raw_dir, (files or RAW_FILES)[name]), RAW_SCHEMAS[name])
+    df = read_csv(spark, os.path.join(raw_dir, (files or RAW_FILES)[name]), RAW_SCHEMAS[name], name in FREE_TEXT)
     df = df.withColumns({c: parse_ts(c) for c in TIMESTAMPS.get(name, [])})
     df = df.withColumns({c: money(F.col(c).try_cast("decimal(12,2)")) for c in MONEY.get(name, [])})
     if name in RENAMES:
@@ -111,19 +114,10 @@ def write_csv_bom(df: DataFrame, path: str) -> None:
 
 
 def observed_write(df: DataFrame, path: str, bom: bool = False) -> dict:
-    """Write an extract and report its shape.
-
-    The frame is persisted, counted and written from the persisted copy, so the
-    extract is computed once.  (`df.observe` with an `Observation` would count
-    during the write, but in Spark 4.1 a registered Observation makes later
-    RDD-based jobs of the session -- MLlib's evaluators -- fail to serialize.)"""
-    x = df.persist()
-    try:
-        rows = x.count()
-        (write_csv_bom if bom else write_csv)(x, path)
-    finally:
-        x.unpersist()
-    return {"rows": int(rows), "cols": len(df.columns)}
+    """Write an extract and report its shape, counted independently of the
+    file that the read-back check counts.  Nothing is persisted on executors."""
+    (write_csv_bom if bom else write_csv)(df, path)
+    return {"rows": df.count(), "cols": len(df.columns)}
 
 
 def read_back_check(spark: SparkSession, path: str, expected_rows: int, expected_cols: list[str],

@@ -8,6 +8,8 @@ instead of re-cleaning the raw files.
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +17,12 @@ from pyspark.sql import functions as F
 
 from mercato.params import Params
 from mercato.plans import clean
+from mercato.session import ensure_checkpoint_dir, run_concurrently
 from mercato.sources.lens import Raw
 
+#: Partition column of the stored fact_orders.
+MONTH = "purchase_month"
+
 
 @dataclass
 class Star:
@@ -49,12 +55,12 @@ class Star:
             name, df = item
             w = df.write.mode(mode)
             if name == "fact_orders":
-                df = df.withColumn("purchase_month", F.trunc(F.to_date("order_purchase_timestamp"), "month"))
-                w = df.write.mode(mode).partitionBy("purchase_month")
+                # one folder per month, written by few tasks each: rows meet by month first, and a large
+                # month is split again by adaptive execution
+                df = df.withColumn(MONTH, purchase_month()).hint("rebalance", MONTH)
+                w = df.write.mode(mode).partitionBy(MONTH)
             w.parquet(f"{path.rstrip('/')}/{name}")
 
-        from mercato.session import run_concurrently
-
         items = list(self.tables().items())
         spark = items[0][1].sparkSession
         run_concurrently(spark, [lambda it=it: write(it) for it in items], max_workers=parallel)
@@ -85,11 +91,30 @@ class Star:
             if f.name == "raw":
                 continue
             df = spark.read.parquet(f"{path.rstrip('/')}/{f.name}")
-            if f.name == "fact_orders":
-                df = df.drop("purchase_month")
             t[f.name] = df
         return cls(**t)
 
+    def orders_between(self, start: dt.date, end: dt.date) -> DataFrame:
+        """Orders purchased on [start, end); on a stored star only the folders
+        of these months are read."""
+        t = F.col("order_purchase_timestamp")
+        x = self.fact_orders.filter((t >= F.lit(start).cast("timestamp_ntz")) & (t < F.lit(end).cast("timestamp_ntz")))
+        if MONTH in x.columns:
+            x = x.filter(F.col(MONTH).between(F.lit(start.replace(day=1)), F.lit(end))).drop(MONTH)
+        return x
+
+
+def purchase_month():
+    return F.trunc(F.to_date("order_purchase_timestamp"), "month")
+
+
+def stored(s: Star) -> Star:
+    """``s`` written to the shared checkpoint folder and read again."""
+    spark = s.fact_orders.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/star-{uuid.uuid4().hex}"
+    s.save(path)
+    return Star.load(spark, path)
+
 
 def build(raw: Raw, p: Params) -> Star:
     payments = clean.payments_by_order(raw.payments, p)

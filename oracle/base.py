@@ -24,6 +24,11 @@ def cents(x: str, scale: int = 2) -> str:
     return f"CAST(round(({x}) * {10**scale}) AS HUGEINT)"
 
 
+def id_bits(x: str, salt) -> str:
+    """52 bits of the salted MD5 of an id's text form."""
+    return f"cast('0x' || substr(md5(cast({x} as varchar) || ':{salt}'), 1, 13) as bigint)"
+
+
 def dlit(d) -> str:
     return f"DATE '{d.isoformat()}'"
 
@@ -84,7 +89,7 @@ raw_orders AS (
               else order_purchase_timestamp + interval '1' hour * cast(order_id % 37 as int) end as order_approved_at,
          cast(null as timestamp) as order_delivered_carrier_date,
          case when order_status <> 'delivered' or order_id % 1000 = 3 then null
-              else order_purchase_timestamp + interval '1' day * cast(extract(doy from last_ship) % 45 + bulk_days + slow_days as int)
+              else order_purchase_timestamp + interval '1' day * cast(extract(doy from last_ship) % 45 + bulk_days + slow_days + case when order_id % 701 = 9 then 190 else 0 end as int)
                    + interval '1' hour * cast(order_id % 13 as int) end as order_delivered_customer_date,
          o_orderdate + interval '1' day * cast(42 + order_id % 4 * 2 as int) as order_estimated_delivery_date
   from lens_b),

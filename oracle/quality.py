@@ -4,7 +4,7 @@ EDA sanity table."""
 from __future__ import annotations
 
 from mercato.params import FIXTURE_PARAMS as P
-from oracle.base import cents, dlit, rr
+from oracle.base import cents, dlit, id_bits, rr
 from oracle.reports import CORR_FEATURES, avg_round, sum_round
 
 RAW_COLUMNS = {
@@ -122,8 +122,9 @@ _CV = (
 SQL["constraint_violations"] = ("", "\nunion all\n".join(_CV))
 
 SQL["row_count_report"] = ("", "\nunion all\n".join(
-    f"select '{t}' as table_name, cast(count(*) as bigint) as expected, cast(count(*) as bigint) as loaded, "
-    f"'OK' as status from {t}" for t, _ in _PKS))
+    f"select '{t}' as table_name, expected, loaded, case when expected = loaded then 'OK' else 'MISMATCH' end as status "
+    f"from (select cast(count(*) as bigint) as expected, cast(count({', '.join(k) if len(k) == 1 else '*'}) as bigint) as loaded from {t})"
+    for t, k in _PKS))
 
 SQL["duplicate_review_ids"] = ("", """
 select review_id, cast(count(*) as bigint) as copies from raw_reviews group by review_id having count(*) > 1""")
@@ -272,6 +273,9 @@ es_lag AS (select * from v_delivery_delay_drivers where approval_lag_hours is no
 _NUM = ["order_day_of_week", "order_hour", "order_month_num", "item_count", "seller_count", "order_value",
         "freight_value", "freight_ratio_pct", "avg_product_weight_g", "avg_product_volume_cm3",
         "seller_hist_late_rate", "seller_avg_days_to_deliver", "seller_total_orders", "approval_lag_hours"]
+# the seller's record before the order in place of its record over all time
+_ASOF = {"seller_hist_late_rate": "coalesce(past.rate, 0)", "seller_avg_days_to_deliver": "coalesce(past.took, 0)",
+         "seller_total_orders": "coalesce(past.o, 0)"}
 _MLF = f"""
 , mlf AS (
   select order_id, cast(is_late as integer) as label, {", ".join(f"cast({c} as double) as {c}" for c in _NUM)},
@@ -279,9 +283,45 @@ _MLF = f"""
   from v_delivery_delay_drivers where approval_lag_hours is not null)"""
 SQL["ml_features"] = ("DELAY", _MLF + "\nselect * from mlf")
 SQL["ml_split_summary"] = ("DELAY", _MLF + f"""
-select case when ((order_id % 2147483648) * 1103515245 + {P.seed}) % 2147483648 / 2147483648.0 < {P.test_fraction}
-            then 'test' else 'train' end as split, label, cast(count(*) as bigint) as rows
-from mlf group by 1, 2""")
+, place as (select label, {id_bits('order_id', f'split{P.seed}')} >> 36 as bucket from mlf),
+upto as (select label, bucket, count(*) over (partition by label order by bucket) as upto, count(*) over (partition by label) as total from place),
+cut as (select label, coalesce(max(bucket) filter (where upto <= round(total * {P.test_fraction})), -1) as cut from upto group by label)
+select case when bucket <= cut then 'test' else 'train' end as split, label, cast(count(*) as bigint) as rows
+from place join cut using (label) group by 1, 2""")
+SQL["ml_features_asof"] = ("DELAY", SQL["seller_history_asof"][1].rstrip()[:SQL["seller_history_asof"][1].rindex("select seller_id")] + f"""
+, past as (
+  select seller_id, order_id, {rr('l * 100', 'r', 2)} as rate, {rr('sd', 'cd', 1)} as took, o from ah)
+select d.order_id, cast(d.is_late as integer) as label,
+       {", ".join(f"cast({_ASOF.get(c, 'd.' + c)} as double) as {c}" for c in _NUM)},
+       d.customer_state, coalesce(d.primary_category, '{P.ml_unknown_category}') as primary_category
+from v_delivery_delay_drivers d join fact_order_items i on i.order_id = d.order_id and i.order_item_id = 1
+     left join past on past.order_id = d.order_id and past.seller_id = i.seller_id
+where d.approval_lag_hours is not null""")
+_RATE = _MLF + f"""
+, rs as (select order_id, label, seller_hist_late_rate / 100 as p_late, cast(seller_hist_late_rate / 100 >= {P.rate_threshold} as integer) as flag
+         from mlf where seller_hist_late_rate is not null),
+rc as (select p_late as threshold, sum(label) as pos, count(*) as n from rs group by p_late),
+rt as (select threshold, pos, n, sum(pos) over (order by threshold desc) as tp, sum(n) over (order by threshold desc) as flagged,
+              sum(pos) over () as p, sum(n) over () as a from rc),
+curve as (select threshold, tp / flagged as precision, tp / p as recall,
+                 2 * (tp / flagged) * (tp / p) / (tp / flagged + tp / p + 1e-9) as f1, tp / p as tpr, (flagged - tp) / (a - p) as fpr from rt)"""
+SQL["ml_rate_curve"] = ("DELAY", _RATE + "\nselect * from curve")
+SQL["ml_rate_best_threshold"] = ("DELAY", _RATE + """
+select threshold, precision, recall, f1 from curve order by f1 desc, threshold desc limit 1""")
+SQL["ml_rate_confusion"] = ("DELAY", _RATE + """
+select label, flag as prediction, cast(count(*) as bigint) as count from rs group by label, flag""")
+SQL["ml_rate_report"] = ("DELAY", _RATE + """
+, c as (select count(*) filter (where label = 1 and flag = 1) as tp, count(*) filter (where label = 0 and flag = 1) as fp,
+               count(*) filter (where label = 1 and flag = 0) as fn, count(*) filter (where label = 0 and flag = 0) as tn from rs),
+sides as (select 'Late' as class, tp as hit, fp as wrong, fn as missed, tp, fp, fn, tn from c
+          union all select 'On Time', tn, fn, fp, tp, fp, fn, tn from c),
+pr as (select *, case when hit + wrong > 0 then hit / (hit + wrong) else 0.0 end as precision,
+              case when hit + missed > 0 then hit / (hit + missed) else 0.0 end as recall from sides)
+select class, cast(precision as double) as precision, cast(recall as double) as recall,
+       cast(case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0.0 end as double) as f1,
+       cast(hit + missed as bigint) as support, (tp + tn) / (tp + tn + fp + fn) as accuracy,
+       (select round(sum((n - pos) * (tp - pos / 2)) / (max(p) * max(a - p)), 9) from rt) as auc
+from pr""")
 _BIN = " + ".join(f"cast(seller_hist_late_rate >= {e} as integer)" for e in P.drift_edges)
 SQL["ml_seller_rate_psi"] = ("DELAY", _MLF + f"""
 , psi_h AS (

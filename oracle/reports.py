@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from mercato.params import FIXTURE_PARAMS as P
-from oracle.base import cents, dlist, rr
+from oracle.base import cents, dlist, id_bits, rr
 
 CORR_FEATURES = [
     "is_late", "item_count", "seller_count", "order_value", "freight_value", "avg_item_price",
@@ -45,9 +45,9 @@ select cast(count(*) as bigint) as total_customers, {_cnt('segment is null')} as
        {_cnt('monetary <= 0')} as zero_monetary, min(recency_days) as min_recency, max(recency_days) as max_recency
 from v_rfm_scores"""),
     "cohort_matrix": ("COHORT", f"""
-select * from (pivot (select cohort_month, strftime(cohort_month, '%b %Y') as cohort_label, period_number,
-                             retention_rate_pct from v_cohort_retention where {COHORT_KEPT})
-               on period_number using first(retention_rate_pct) group by cohort_month, cohort_label)"""),
+select cohort_month, strftime(cohort_month, '%b %Y') as cohort_label,
+       {", ".join(f'max(retention_rate_pct) filter (where period_number = {k}) as "{k}"' for k in range(P.cohort_periods()))}
+from v_cohort_retention where {COHORT_KEPT} group by cohort_month"""),
     "cohort_shape": ("COHORT", """
 select cast(count(*) as bigint) as total_rows, cast(count(distinct cohort_month) as bigint) as cohort_count,
        max(period_number) as max_period, min(retention_rate_pct) as min_retention,
@@ -196,9 +196,10 @@ _SAMPLE = f"""
   from v_delivery_delay_drivers
   where approval_lag_hours is not null and approval_lag_hours <= {P.sample_max_lag_hours}
     and seller_hist_late_rate is not null
-  order by ((order_id % 2147483648) * 1103515245 + {P.sample_seed}) % 2147483648, order_id
+  order by {id_bits('order_id', f'sample{P.sample_seed}')}, order_id
   limit {P.sample_size})"""
 
+_ALL = _SAMPLE[:_SAMPLE.index("  order by")].rstrip() + ")"  # all orders of the chart
 SQL["delay_driver_sample"] = ("DELAY", _SAMPLE + "\nselect * from dds")
 
 
@@ -220,7 +221,7 @@ from (
   group by b.outcome, b.n, b.mean, b.q1, b.med, b.q3)"""
 
 
-SQL["delay_by_outcome"] = ("DELAY", _SAMPLE + "\n" + _box("approval_lag_hours") + "\nunion all\n"
+SQL["delay_by_outcome"] = ("DELAY", _ALL + "\n" + _box("approval_lag_hours") + "\nunion all\n"
                            + _box("seller_hist_late_rate"))
 
 _PAIRS = [(a, b) for i, a in enumerate(CORR_FEATURES) for b in CORR_FEATURES[:i]]

@@ -17,8 +17,23 @@ def test_stream_scores_new_files(spark, tmp_path):
     M.save_model(f.forest, str(tmp_path / "model"))
     src = tmp_path / "incoming"
     df.limit(50).write.parquet(str(src / "batch1"))
-    q = score_stream(spark, str(tmp_path / "model"), str(src / "batch1"), str(tmp_path / "scored"), df.schema,
-                     name=f"t{random.randint(0, 10**9)}")
-    q.awaitTermination(120)
-    out = spark.read.parquet(str(tmp_path / "scored"))
+
+    def run():
+        q = score_stream(spark, str(tmp_path / "model"), str(src / "*"), str(tmp_path / "scored"), str(tmp_path / "progress"),
+                         df.schema, name=f"t{random.randint(0, 10**9)}")
+        q.awaitTermination(120)
+        return spark.read.parquet(str(tmp_path / "scored"))
+
+    out = run()
     assert out.count() == 50 and "p_late" in out.columns and "flag" in out.columns
+    # a second run of the query, with another application's checkpoint folder, goes on where the first ended
+    ids = df.select("order_id")
+    df.join(ids.exceptAll(spark.read.parquet(str(src / "batch1")).select("order_id")), "order_id").limit(50).select(
+        *df.columns).write.parquet(str(src / "batch2"))
+    before = spark.sparkContext.getCheckpointDir()
+    try:
+        spark.sparkContext.setCheckpointDir(str(tmp_path / "other-application"))
+        out = run()
+    finally:
+        spark.sparkContext.setCheckpointDir(before)
+    assert out.count() == 100 and out.select("order_id").distinct().count() == 100
