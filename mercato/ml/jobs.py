@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions.hashing import id_unit
+from mercato.functions.numeric import round_ratio
 from mercato.ml import pipeline as M
 from mercato.params import Params
 from mercato.plans import views as V
@@ -45,6 +46,15 @@ def features_asof(s: Star, p: Params) -> DataFrame:
     return M.model_frame(x, p)
 
 
+def null_category_rate(s: Star, p: Params) -> DataFrame:
+    """M1: late rate of the orders without a category, beside that of the others."""
+    x = V.delivery_delay_drivers(s, p).where(F.col("approval_lag_hours").isNotNull())
+    g = x.groupBy(F.col("primary_category").isNull().alias("no_category")).agg(
+        F.count(F.lit(1)).cast("long").alias("orders"), F.count_if("is_late").cast("long").alias("late_orders"))
+    return g.select("no_category", "orders", "late_orders",
+                    round_ratio(F.col("late_orders") * 100, "orders", 2).alias("late_rate_pct"))
+
+
 @dataclass
 class Training:
     """Paths of one training's artefacts."""

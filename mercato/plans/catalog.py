@@ -180,6 +180,7 @@ _reg("unmapped_categories", lambda s, p: Q.unmapped_categories(s.raw))
 _reg("constraint_violations", lambda s, p: Q.constraint_violations(s))
 _reg("row_count_report", lambda s, p: Q.row_count_report(s, stored(s)))
 _reg("duplicate_review_ids", lambda s, p: Q.duplicate_review_ids(s.raw))
+_reg("duplicate_review_rows", lambda s, p: Q.duplicate_review_rows(s.raw))
 _reg("zip_prefix_stats", lambda s, p: Q.zip_prefix_stats(s.raw))
 _reg("items_per_order", lambda s, p: Q.items_per_order(s.raw))
 _reg("geo_outliers", lambda s, p: Q.geo_outliers(s.raw, p))
@@ -188,6 +189,7 @@ _reg("long_deliveries", lambda s, p: Q.long_deliveries(s, p))
 _reg("placeholder_report", lambda s, p: Q.placeholder_report(s, p))
 _reg("cleaning_steps", lambda s, p: Q.cleaning_steps(s.raw, s, p))
 _reg("extract_reconciliation", lambda s, p: Q.extract_reconciliation(V.rfm_scores(s, p), _unified(s, p)))
+_reg("extract_difference_sample", lambda s, p: Q.extract_difference_sample(V.rfm_scores(s, p), _unified(s, p)))
 _reg("seller_history_asof", lambda s, p: V.seller_history_asof(s, p))
 _reg("eda_sanity", lambda s, p: R.eda_sanity(
     V.rfm_scores(s, p), V.cohort_retention(s, p), V.revenue_by_category(s, p), V.category_sla(s, p),
@@ -199,6 +201,7 @@ from mercato.ml import jobs as ML  # noqa: E402
 
 _reg("ml_features", ML.features)
 _reg("ml_features_asof", ML.features_asof)
+_reg("ml_null_category_rate", ML.null_category_rate)
 _reg("ml_split_summary", ML.split_summary)
 _reg("ml_rate_report", ML.rate_report)
 _reg("ml_rate_curve", ML.rate_curve)

@@ -28,10 +28,6 @@ def _cnt(cond: Column) -> Column:
     return F.count(F.when(cond, 1)).cast("long")
 
 
-def _row(**cols) -> list[Column]:
-    return [c.alias(k) for k, c in cols.items()]
-
-
 # ------------------------------------------------------------ Q1 profile
 def profile_table(name: str, df: DataFrame, approx: bool = False) -> DataFrame:
     """Rows, duplicate rows, and per column nulls / null % / distinct values.
@@ -112,52 +108,62 @@ def unmapped_categories(raw: Raw) -> DataFrame:
 
 
 # ------------------------------------------------------------ Q3 constraints on the star
+PRIMARY_KEYS = {
+    "dim_customers": ["customer_id"], "dim_sellers": ["seller_id"], "dim_products": ["product_id"],
+    "dim_geolocation": ["zip_code_prefix"], "fact_orders": ["order_id"],
+    "fact_order_items": ["order_id", "order_item_id"], "bridge_payments": ["order_id"],
+    "bridge_reviews": ["review_id"],
+}
+
+
 def constraint_violations(s: Star) -> DataFrame:
-    def dup_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-        return df.groupBy(*keys).count().filter(F.col("count") > 1).agg(
-            F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("violations"))
-
-    def one(df: DataFrame, table: str, constraint: str) -> DataFrame:
-        return df.select(F.lit(table).alias("table_name"), F.lit(constraint).alias("constraint_name"),
-                         F.col("violations").cast("long").alias("violations"))
-
-    def count_where(df: DataFrame, cond: Column) -> DataFrame:
-        return df.agg(_cnt(cond).alias("violations"))
-
-    def fk(child: DataFrame, parent: DataFrame, ck: str, pk: str) -> DataFrame:
-        x = child.filter(F.col(ck).isNotNull()).join(
-            parent.select(F.col(pk).alias("_pk")), F.col(ck) == F.col("_pk"), "left_anti")
-        return x.agg(F.count(F.lit(1)).alias("violations"))
-
-    pks = [
-        ("dim_customers", ["customer_id"]), ("dim_sellers", ["seller_id"]), ("dim_products", ["product_id"]),
-        ("dim_geolocation", ["zip_code_prefix"]), ("fact_orders", ["order_id"]),
-        ("fact_order_items", ["order_id", "order_item_id"]), ("bridge_payments", ["order_id"]),
-        ("bridge_reviews", ["review_id"]),
-    ]
-    parts = [one(dup_keys(getattr(s, t), k), t, "primary key " + ",".join(k)) for t, k in pks]
-    parts += [one(count_where(getattr(s, t), F.col(k).isNull()), t, f"not null {k}") for t, ks in pks for k in ks]
+    """Rows that break a key, NOT NULL, CHECK or foreign key rule, per rule.
+
+    One grouping by the key gives all rules of a table; the children of one
+    parent column are counted against it together."""
+    checks = {
+        "dim_customers": [("not null customer_unique_id", F.col("customer_unique_id").isNull())],
+        "bridge_reviews": [("check review_score between 1 and 5", ~F.col("review_score").between(1, 5))],
+    }
+    parts = []
+    for table, keys in PRIMARY_KEYS.items():
+        rules = checks.get(table, [])
+        per_key = getattr(s, table).groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"), *[F.count_if(cond).alias(f"c{i}") for i, (_, cond) in enumerate(rules)])
+        wide = per_key.agg(
+            F.sum(F.col("n") - 1).alias("dups"),
+            *[F.sum(F.when(F.col(k).isNull(), F.col("n"))).alias(f"null_{k}") for k in keys],
+            *[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(rules))])
+        named = [("primary key " + ",".join(keys), "dups"), *[(f"not null {k}", f"null_{k}") for k in keys],
+                 *[(name, f"c{i}") for i, (name, _) in enumerate(rules)]]
+        parts.append(_unpivoted(wide, named).select(F.lit(table).alias("table_name"), "constraint_name", "violations"))
+
+    def foreign(column: str, parent: str, children: list[str]) -> DataFrame:
+        keys = _union([getattr(s, c).select(F.lit(c).alias("table_name"), F.col(column).alias("k")) for c in children])
+        wanted = keys.filter(F.col("k").isNotNull()).groupBy("table_name", "k").agg(F.count(F.lit(1)).alias("n"))
+        orphans = wanted.join(getattr(s, parent).select(F.col(column).alias("k")), "k", "left_anti")
+        wide = orphans.agg(*[F.sum(F.when(F.col("table_name") == c, F.col("n"))).alias(c) for c in children])
+        names = ", ".join(f"'{c}', `{c}`" for c in children)
+        return wide.selectExpr(f"stack({len(children)}, {names}) as (table_name, v)").select(
+            "table_name", F.lit(f"foreign key {column}").alias("constraint_name"),
+            F.coalesce("v", F.lit(0)).cast("long").alias("violations"))
+
     parts += [
-        one(count_where(s.dim_customers, F.col("customer_unique_id").isNull()), "dim_customers",
-            "not null customer_unique_id"),
-        one(count_where(s.bridge_reviews, ~F.col("review_score").between(1, 5)), "bridge_reviews",
-            "check review_score between 1 and 5"),
-        one(fk(s.fact_orders, s.dim_customers, "customer_id", "customer_id"), "fact_orders",
-            "foreign key customer_id"),
-        one(fk(s.fact_order_items, s.fact_orders, "order_id", "order_id"), "fact_order_items",
-            "foreign key order_id"),
-        one(fk(s.fact_order_items, s.dim_products, "product_id", "product_id"), "fact_order_items",
-            "foreign key product_id"),
-        one(fk(s.fact_order_items, s.dim_sellers, "seller_id", "seller_id"), "fact_order_items",
-            "foreign key seller_id"),
-        one(fk(s.bridge_payments, s.fact_orders, "order_id", "order_id"), "bridge_payments",
-            "foreign key order_id"),
-        one(fk(s.bridge_reviews, s.fact_orders, "order_id", "order_id"), "bridge_reviews",
-            "foreign key order_id"),
+        foreign("customer_id", "dim_customers", ["fact_orders"]),
+        foreign("order_id", "fact_orders", ["fact_order_items", "bridge_payments", "bridge_reviews"]),
+        foreign("product_id", "dim_products", ["fact_order_items"]),
+        foreign("seller_id", "dim_sellers", ["fact_order_items"]),
     ]
     return _union(parts)
 
 
+def _unpivoted(wide: DataFrame, named: list[tuple[str, str]]) -> DataFrame:
+    """(constraint_name, violations) from the columns of a one-row frame; NULL counts as 0."""
+    pairs = ", ".join(f"'{name}', `{col}`" for name, col in named)
+    return wide.selectExpr(f"stack({len(named)}, {pairs}) as (constraint_name, v)").select(
+        "constraint_name", F.coalesce("v", F.lit(0)).cast("long").alias("violations"))
+
+
 # ------------------------------------------------------------ Q9 row counts
 def row_count_report(expected: Star, loaded: Star) -> DataFrame:
     """Expected (cleaned frames) vs loaded (star as stored) row counts."""
@@ -173,8 +179,13 @@ def row_count_report(expected: Star, loaded: Star) -> DataFrame:
 
 
 # ------------------------------------------------------------ Q5 duplicates
+def duplicate_review_rows(raw: Raw) -> DataFrame:
+    """Every row of a review id that occurs more than once (keep=False)."""
+    return raw.reviews.join(duplicate_review_ids(raw).select("review_id"), "review_id", "left_semi")
+
+
 def duplicate_review_ids(raw: Raw) -> DataFrame:
-    """All members of duplicated review ids (keep=False), as (review_id, copies)."""
+    """Review ids that occur more than once, with their number of rows."""
     return raw.reviews.groupBy("review_id").agg(F.count(F.lit(1)).cast("long").alias("copies")).filter(
         F.col("copies") > 1)
 
@@ -258,37 +269,47 @@ def placeholder_report(s: Star, p: Params) -> DataFrame:
 
 # ------------------------------------------------------------ Q11 before/after per cleaning step
 def cleaning_steps(raw: Raw, s: Star, p: Params) -> DataFrame:
-    """One row per (step, metric) with the value before and after the step."""
-    def cnt(df):
-        return df.agg(F.count(F.lit(1)).alias("v"))
-
-    def row(step, metric, before: DataFrame, after: DataFrame) -> DataFrame:
-        return before.select(F.col("v").alias("b"), after.scalar().alias("a")).select(
-            F.lit(step).alias("step"), F.lit(metric).alias("metric"),
-            F.col("b").cast("long").alias("before"), F.col("a").cast("long").alias("after"))
-
-    g = raw.geolocation
-    gd = g.distinct()
-    gb = gd.filter(in_box("geolocation_lat", "geolocation_lng", p.box_lat, p.box_lng))
-    pay_kept = raw.payments.filter(~F.col("payment_type").eqNullSafe(p.not_defined_payment))
-
-    def nulls(df, c):
-        return df.agg(_cnt(F.col(c).isNull()).alias("v"))
-
+    """One row per (step, metric) with the value before and after the step.
+
+    Every stage of the cleaning is counted by one aggregate, whose figures are
+    the 'after' of one step and the 'before' of the next."""
+    dims = ("product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm")
+    rows = F.count(F.lit(1))
+    kept = ~F.col("payment_type").eqNullSafe(p.not_defined_payment)
+
+    def nulls(c: str) -> Column:
+        return F.count_if(F.col(c).isNull())
+
+    def figures(df: DataFrame, *entries: tuple[Column, list[tuple[str, str, str]]]) -> DataFrame:
+        """Rows (step, metric, side, value); an entry is a figure and where it goes."""
+        wide = df.agg(*[c.cast("long").alias(f"f{i}") for i, (c, _) in enumerate(entries)])
+        out = [f"'{step}', '{metric}', '{side}', `f{i}`" for i, (_, to) in enumerate(entries) for step, metric, side in to]
+        return wide.selectExpr(f"stack({len(out)}, {', '.join(out)}) as (step, metric, side, value)")
+
+    dup, box, one = "rows: exact duplicates dropped", "rows: outside box dropped", "rows: one per zip prefix"
+    rev, undefined, per_order = "rows: duplicate review ids dropped", "rows: not_defined dropped", "rows: one per order"
+    g = "geolocation"
+    english = ("products", "english name nulls")
+    named = raw.products.join(raw.translation, "product_category_name", "left")
     parts = [
-        row("geolocation", "rows: exact duplicates dropped", cnt(g), cnt(gd)),
-        row("geolocation", "rows: outside box dropped", cnt(gd), cnt(gb)),
-        row("geolocation", "rows: one per zip prefix", cnt(gb), cnt(s.dim_geolocation)),
-        row("reviews", "rows: duplicate review ids dropped", cnt(raw.reviews), cnt(s.bridge_reviews)),
-        row("payments", "rows: not_defined dropped", cnt(raw.payments), cnt(pay_kept)),
-        row("payments", "rows: one per order", cnt(pay_kept), cnt(s.bridge_payments)),
-        row("products", "english name nulls", nulls(raw.products.join(raw.translation, "product_category_name",
-                                                                       "left"), "product_category_name_english"),
-            nulls(s.dim_products, "product_category_name_english")),
+        figures(raw.geolocation, (rows, [(g, dup, "before")])),
+        figures(raw.geolocation.distinct(), (rows, [(g, dup, "after"), (g, box, "before")]),
+                (F.count_if(in_box("geolocation_lat", "geolocation_lng", p.box_lat, p.box_lng)),
+                 [(g, box, "after"), (g, one, "before")])),
+        figures(s.dim_geolocation, (rows, [(g, one, "after")])),
+        figures(raw.reviews, (rows, [("reviews", rev, "before")])),
+        figures(s.bridge_reviews, (rows, [("reviews", rev, "after")])),
+        figures(raw.payments, (rows, [("payments", undefined, "before")]),
+                (F.count_if(kept), [("payments", undefined, "after"), ("payments", per_order, "before")])),
+        figures(s.bridge_payments, (rows, [("payments", per_order, "after")])),
+        figures(named, (nulls("product_category_name_english"), [(*english, "before")])),
+        figures(raw.products, *[(nulls(c), [("products", f"{c} nulls", "before")]) for c in dims]),
+        figures(s.dim_products, (nulls("product_category_name_english"), [(*english, "after")]),
+                *[(nulls(c), [("products", f"{c} nulls", "after")]) for c in dims]),
     ]
-    for c in ("product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm"):
-        parts.append(row("products", f"{c} nulls", nulls(raw.products, c), nulls(s.dim_products, c)))
-    return _union(parts)
+    return _union(parts).groupBy("step", "metric").agg(
+        F.max(F.when(F.col("side") == "before", F.col("value"))).alias("before"),
+        F.max(F.when(F.col("side") == "after", F.col("value"))).alias("after"))
 
 
 # ------------------------------------------------------------ Q10 extract reconciliation
@@ -306,3 +327,14 @@ def extract_reconciliation(rfm: DataFrame, unified: DataFrame) -> DataFrame:
         _cnt(ia & ~ib).alias("in_view_not_unified"),
         _cnt(ib & ~ia).alias("in_unified_not_view"),
     )
+
+
+def extract_difference_sample(rfm: DataFrame, unified: DataFrame, n: int = 20) -> DataFrame:
+    """Sample rows of the reconciliation: the first ``n`` (person, segment) pairs
+    that stand in only one of the two extracts."""
+    a = rfm.select("customer_unique_id", "segment").distinct().withColumn("in_a", F.lit(True))
+    b = unified.filter(F.col("segment").isNotNull()).select("customer_unique_id", "segment").distinct() \
+        .withColumn("in_b", F.lit(True))
+    j = a.join(b, ["customer_unique_id", "segment"], "full").filter(F.col("in_a").isNull() | F.col("in_b").isNull())
+    side = F.when(F.col("in_b").isNull(), "view").otherwise("unified")
+    return j.select("customer_unique_id", "segment", side.alias("only_in")).orderBy("customer_unique_id", "segment").limit(n)

@@ -401,24 +401,28 @@ def high_correlation_pairs(corr: DataFrame, p: Params) -> DataFrame:
 
 # ------------------------------------------------------------ unified table checks
 def unified_checks(u: DataFrame) -> DataFrame:
-    """People per segment, unmatched rows, totals and non-zero null counts per column."""
-    seg = u.groupBy("segment").agg(F.count_distinct("customer_unique_id").cast("long").alias("value")).select(
-        F.lit("people_per_segment").alias("check_name"), F.coalesce("segment", F.lit("<none>")).alias("item"),
-        "value")
-    totals = u.agg(
-        F.count(F.lit(1)).cast("long").alias("rows"),
-        F.count_distinct("customer_unique_id").cast("long").alias("people"),
-        count_if(F.col("segment").isNull()).alias("unmatched_rows"),
-        *[count_if(F.col(c).isNull()).alias(f"null:{c}") for c in u.columns],
-    )
-    names = [c for c in totals.columns]
-    stacked = totals.selectExpr(
-        f"stack({len(names)}, " + ", ".join(f"'{n}', `{n}`" for n in names) + ") as (item, value)")
-    stacked = stacked.select(
-        F.when(F.col("item").startswith("null:"), "nulls").otherwise("totals").alias("check_name"),
-        F.regexp_replace("item", "^null:", "").alias("item"), "value",
-    ).filter((F.col("check_name") == "totals") | (F.col("value") > 0))
-    return seg.unionByName(stacked)
+    """People per segment, unmatched rows, totals and non-zero null counts per column.
+
+    One plan: rows are reduced to (segment, person), then to a row per segment
+    (a person has one segment), whose figures are unfolded and added up."""
+    nulls = {c: f"null_{i}" for i, c in enumerate(u.columns)}
+    per_person = u.groupBy("segment", "customer_unique_id").agg(
+        F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(c).isNull()).alias(n) for c, n in nulls.items()])
+    per_segment = per_person.groupBy("segment").agg(
+        F.count("customer_unique_id").alias("people"), F.sum("rows").alias("rows"),
+        *[F.sum(n).alias(n) for n in nulls.values()])
+
+    def figure(check: str, item: Column, value: Column) -> Column:
+        return F.struct(F.lit(check).alias("check_name"), item.alias("item"), value.cast("long").alias("value"))
+
+    unmatched = F.when(F.col("segment").isNull(), F.col("rows")).otherwise(0)
+    figures = [figure("people_per_segment", F.coalesce("segment", F.lit("<none>")), F.col("people")),
+               figure("totals", F.lit("rows"), F.col("rows")), figure("totals", F.lit("people"), F.col("people")),
+               figure("totals", F.lit("unmatched_rows"), unmatched),
+               *[figure("nulls", F.lit(c), F.col(n)) for c, n in nulls.items()]]
+    added = per_segment.select(F.explode(F.array(*figures)).alias("f")).groupBy("f.check_name", "f.item").agg(
+        F.sum("f.value").cast("long").alias("value"))
+    return added.filter((F.col("check_name") != "nulls") | (F.col("value") > 0))
 
 
 # ------------------------------------------------------------ dashboards

@@ -129,6 +129,9 @@ SQL["row_count_report"] = ("", "\nunion all\n".join(
 SQL["duplicate_review_ids"] = ("", """
 select review_id, cast(count(*) as bigint) as copies from raw_reviews group by review_id having count(*) > 1""")
 
+SQL["duplicate_review_rows"] = ("", """
+select * from raw_reviews where review_id in (select review_id from raw_reviews group by review_id having count(*) > 1)""")
+
 SQL["zip_prefix_stats"] = ("", f"""
 select cast(count(*) as bigint) as unique_zip_prefixes, cast(sum(n) as bigint) as total_rows,
        {rr('sum(n)', 'count(*)', 1)} as avg_rows_per_prefix, cast(max(n) as bigint) as max_rows_per_prefix
@@ -217,6 +220,14 @@ select segment, {_cnt('in_a')} as view_customers, {_cnt('in_b')} as unified_cust
        {_cnt('in_a and not in_b')} as in_view_not_unified, {_cnt('in_b and not in_a')} as in_unified_not_view
 from rj group by segment""")
 
+SQL["extract_difference_sample"] = ("RFM SLA UNIFIED", """
+, ra AS (select distinct customer_unique_id, segment from v_rfm_scores),
+rb AS (select distinct customer_unique_id, segment from v_unified_orders where segment is not null)
+select * from (
+  select *, 'view' as only_in from (select * from ra except select * from rb)
+  union all select *, 'unified' as only_in from (select * from rb except select * from ra))
+order by customer_unique_id, segment limit 20""")
+
 SQL["seller_history_asof"] = ("", f"""
 , ah_rows AS (
   select foi.seller_id, fo.order_id, fo.order_purchase_timestamp, count(*) as n,
@@ -282,6 +293,10 @@ _MLF = f"""
          customer_state, coalesce(primary_category, '{P.ml_unknown_category}') as primary_category
   from v_delivery_delay_drivers where approval_lag_hours is not null)"""
 SQL["ml_features"] = ("DELAY", _MLF + "\nselect * from mlf")
+SQL["ml_null_category_rate"] = ("DELAY", f"""
+select primary_category is null as no_category, cast(count(*) as bigint) as orders, {_cnt('is_late')} as late_orders,
+       {rr("count(*) filter (where is_late) * 100", "count(*)", 2)} as late_rate_pct
+from v_delivery_delay_drivers where approval_lag_hours is not null group by 1""")
 SQL["ml_split_summary"] = ("DELAY", _MLF + f"""
 , place as (select label, {id_bits('order_id', f'split{P.seed}')} >> 36 as bucket from mlf),
 upto as (select label, bucket, count(*) over (partition by label order by bucket) as upto, count(*) over (partition by label) as total from place),
