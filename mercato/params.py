@@ -63,6 +63,15 @@ class Params:
     # Window of the operational monthly cancellation trend.
     ops_cancel_start: dt.date = dt.date(2017, 1, 1)
     ops_cancel_end: dt.date = dt.date(2018, 8, 1)
+    # fixed values: published figures of the final EDA check, (metric, value, tolerance)
+    expected_figures: tuple[tuple[str, float, float], ...] = (
+        ("rfm_customers", 93470, 0), ("rfm_revenue", 15422462, 0.5), ("cohorts", 21, 0),
+        ("max_retention_pct_after_period0", 0.71, 0.005), ("revenue_months", 23, 0), ("peak_month_revenue", 1137527, 0.5),
+        ("total_revenue", 15222078, 1), ("critical_categories", 6, 0), ("worst_category_late_rate_pct", 13.51, 0.005),
+        ("categories_min_orders_scatter", 51, 0), ("sellers_min_orders", 1238, 0), ("max_monthly_cancel_rate_pct", 3.48, 0.005),
+        ("worst_state_cancel_rate_pct", 2.77, 0.005), ("seller_rate_late", 11.62, 0.01), ("seller_rate_ontime", 6.21, 0.01),
+        ("approval_lag_late", 8.63, 0.01), ("approval_lag_ontime", 8.37, 0.01), ("feature_rows", 96178, 0), ("feature_nulls", 0, 0),
+    )
     # Dashboard click action: restrict segment-driven sheets to one RFM segment.
     segment_filter: str | None = None
     # Sample / correlation / ML settings.
@@ -107,4 +116,5 @@ FIXTURE_PARAMS = Params(
     ops_cancel_start=dt.date(1996, 1, 1),
     ops_cancel_end=dt.date(2001, 7, 1),
     temporal_cutoff=dt.date(2000, 6, 1),
+    expected_figures=(("cohorts", 66, 12), ("feature_nulls", 0, 0), ("critical_categories", -1, 0)),
 )

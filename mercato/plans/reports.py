@@ -530,7 +530,8 @@ def ops_state_table(ca: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------ C32 sanity table
 def eda_sanity(rfm, cr, rev, sla, sp, ca, dd, p: Params) -> DataFrame:
-    """One row per published figure of the final EDA check: (metric, value).
+    """One row per published figure of the final EDA check: (metric, value,
+    expected, result); a figure without an expectation is NOT SET.
 
     One aggregate per source view (seven scans of already-aggregated frames),
     each unpivoted with `stack`, instead of one job per figure."""
@@ -571,4 +572,10 @@ def eda_sanity(rfm, cr, rev, sla, sp, ca, dd, p: Params) -> DataFrame:
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out
+    literals = [x for m, e, t in p.expected_figures
+                for x in (F.lit(m), F.struct(F.lit(float(e)).alias("e"), F.lit(float(t)).alias("t")))]
+    known = F.try_element_at(F.create_map(*literals), F.col("metric"))
+    out = out.withColumn("_k", known)
+    result = (F.when(F.col("_k").isNull(), "NOT SET")
+              .when(F.abs(F.col("value") - F.col("_k.e")) <= F.col("_k.t"), "OK").otherwise("DIFFERS"))
+    return out.select("metric", "value", F.col("_k.e").alias("expected"), result.alias("result"))

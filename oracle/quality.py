@@ -274,11 +274,21 @@ _SANITY = [
     ("feature_rows", "count(*)", "es_lag"),
     ("feature_nulls", _FEATS, "es_lag"),
 ]
+
+
+def _expected(metric: str) -> str:
+    known = {m: (e, t) for m, e, t in P.expected_figures}
+    e, t = known.get(metric, ("null", "null"))
+    return f"cast({e} as double) as expected, cast({t} as double) as tolerance"
+
+
 SQL["eda_sanity"] = ("RFM COHORT REVENUE SLA SELLER CANCEL DELAY", f"""
 , es_m AS (select order_month, sum({cents('total_revenue')}) as rev_c from v_revenue_by_category group by order_month),
 es_lag AS (select * from v_delivery_delay_drivers where approval_lag_hours is not null)
+select metric, value, expected, case when expected is null then 'NOT SET' when abs(value - expected) <= tolerance then 'OK'
+       else 'DIFFERS' end as result from (
 """ + "\nunion all\n".join(
-    f"select '{m}' as metric, cast(({e}) as double) as value from {src}" for m, e, src in _SANITY))
+    f"select '{m}' as metric, cast(({e}) as double) as value, {_expected(m)} from {src}" for m, e, src in _SANITY) + ")")
 
 # ------------------------------------------------------------ SQL-expressible ML steps
 _NUM = ["order_day_of_week", "order_hour", "order_month_num", "item_count", "seller_count", "order_value",

@@ -14,3 +14,28 @@ def test_plan_has_no_forbidden_operators(spark, key):
     df = entry.queries()[key](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not [f for f in FORBIDDEN if f in plan]
+
+
+def test_scans_are_bounded(spark):
+    """Reports that count many things read each table a few times only (size-based broadcast off)."""
+    from mercato.params import FIXTURE_PARAMS as P
+    from mercato.plans import quality as Q
+    from mercato.plans import reports as R
+    from mercato.plans.registry import star_for
+    from mercato.sources.star import stored
+
+    s = star_for(spark, "/root/testdata/sf0.001")
+    loaded = stored(s)
+    loaded.raw = s.raw
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        def scans(df):
+            return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+        assert scans(Q.constraint_violations(loaded)) <= 18
+        assert scans(Q.cleaning_steps(s.raw, loaded, P)) <= 40
+        u = spark.range(10).selectExpr("id as customer_unique_id", "'x' as segment", "id as order_id")
+        assert R.unified_checks(u)._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
