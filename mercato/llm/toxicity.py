@@ -41,8 +41,8 @@ THRESHOLD = 0.7
 LEAST_ODDS = math.log(4)
 MAX_ENTRIES = 4000
 STEM_LENGTHS = (4, 5, 6, 7, 8)
-#: Letters from which one edit, and two edits, are allowed; weight of such a hit.
-ONE_EDIT, TWO_EDITS, MISSPELLED = 5, 9, 0.8
+#: Letters from which one edit, and two edits, are allowed; weight of such a hit; log odds an entry must have.
+ONE_EDIT, TWO_EDITS, MISSPELLED, MISSPELLED_ODDS = 5, 9, 0.8, 3.0
 #: Words on each side of a hit that are its context.
 CONTEXT = 8
 QUOTED, ADDRESSED = 0.25, 1.25
@@ -115,18 +115,51 @@ class Matcher:
                 for letter in entry:
                     node = node.setdefault(letter, {})
                 node[kind] = weight
-        # a misspelt entry keeps its beginning, its middle or its end
-        parts = []
-        for w in sorted(lexicon.words):
-            if len(w) >= ONE_EDIT:
-                k = len(w) // (3 if len(w) >= TWO_EDITS else 2)
-                parts += ["^" + re.escape(w[:k]), re.escape(w[-k:]) + "$"]
-                if len(w) >= TWO_EDITS:
-                    parts.append(re.escape(w[k:2 * k]))
-        self.near = re.compile("|".join(dict.fromkeys(parts))).search if parts else None
-        self.lengths = [len(w) for w in lexicon.words if len(w) >= ONE_EDIT]
+        # entries that a stem covers need no misspellings: their trie stays small
+        self.near_root: dict = {}
+        starts, ends, middles = {}, {}, {}
+        near = [w for w in sorted(lexicon.words)
+                if len(w) >= ONE_EDIT and lexicon.words[w] >= MISSPELLED_ODDS
+                and not any(w[:k] in lexicon.stems for k in STEM_LENGTHS)]
+        for w in near:
+            node = self.near_root
+            for letter in w:
+                node = node.setdefault(letter, {})
+            node["word"] = lexicon.words[w]
+            # an entry with one edit keeps its first or second half, with two its beginning, middle or end;
+            # its length and its set of letters change by as much at most
+            edits = 2 if len(w) >= TWO_EDITS else 1
+            k = len(w) // (edits + 1)
+            sketch = (len(w) - edits, len(w) + edits, frozenset(w), len(set(w)) - edits)
+            starts.setdefault(w[:k], []).append(sketch)
+            ends.setdefault(w[-k:], []).append(sketch)
+            if edits == 2:
+                middles.setdefault(w[k:2 * k], []).append(sketch)
+        self.parts = [(k, table, kind) for kind, table in ((0, starts), (1, ends), (2, middles))
+                      for k in sorted(set(map(len, table)))]
+        self.shortest, self.longest = min(map(len, near), default=9) - 2, max(map(len, near), default=0) + 2
         self.memo: dict[str, float] = {}
 
+    def _near(self, word: str) -> bool:
+        """Whether a word may be a misspelling: a necessary condition."""
+        n = len(word)
+        if not self.shortest <= n <= self.longest:
+            return False
+        letters = None
+        for k, table, kind in self.parts:
+            if kind == 0:
+                found = table.get(word[:k])
+            elif kind == 1:
+                found = table.get(word[-k:])
+            else:
+                found = [x for i in range(1, n - k + 1) for x in table.get(word[i:i + k], ())]
+            for low, high, own, least in found or ():
+                if low <= n <= high:
+                    letters = letters or set(word)
+                    if len(letters & own) >= least:
+                        return True
+        return False
+
     def weight(self, word: str) -> float:
         known = self.memo.get(word)
         if known is None:
@@ -145,12 +178,10 @@ class Matcher:
         return max(best, node.get("word", 0.0))
 
     def _misspelt(self, word: str) -> float:
-        if self.near is None or word in self.lexicon.clean or not self.near(word):
-            return 0.0
-        if not min(self.lengths) - 2 <= len(word) <= max(self.lengths) + 2:
+        if not self._near(word) or word in self.lexicon.clean:
             return 0.0
         best = 0.0
-        for entry, edits in within(self.root, Levenshtein(word, 2)):
+        for entry, edits in within(self.near_root, Levenshtein(word, 2 if len(word) >= TWO_EDITS - 2 else 1)):
             if edits and (edits == 1 and len(entry) >= ONE_EDIT or edits == 2 and len(entry) >= TWO_EDITS):
                 best = max(best, MISSPELLED * self.lexicon.words[entry])
         return best
@@ -159,8 +190,11 @@ class Matcher:
         """(sum, largest hit, sum per hundred words, hits) of a text."""
         low = text.lower()
         words = WORD.findall(low)
-        weight = self.weight
-        known = {w: x for w in set(words) if (x := weight(w))}
+        weights = {w: self.memo.get(w) for w in set(words)}
+        known = {w: x for w, x in weights.items() if x}
+        for w, x in weights.items():
+            if x is None and (x := self.weight(w)):
+                known[w] = x
         if not known:
             return 0.0, 0.0, 0.0, 0
         total = largest = 0.0
@@ -228,11 +262,17 @@ def _likelihood(pos, neg, n_pos: float, n_neg: float):
 
 def learn_lexicon(texts: DataFrame) -> Lexicon:
     """Entries from labelled texts (doc_id, label, text): a bounded sample."""
-    n = dict(texts.groupBy("label").count().collect())
+    ws = F.array_remove(F.split(F.lower("text"), NOT_WORD), "")
+    places = F.when(F.size("ws") >= 3, F.sequence(F.lit(0), F.size("ws") - 3)).otherwise(F.array().cast("array<int>"))
+    least = F.array_min(F.transform(places, lambda i: F.xxhash64(*[F.get(F.col("ws"), i + k) for k in range(3)])))
+    # copies and near copies are one witness: texts are counted by their smallest shingle hash
+    seen = texts.select("label", "text", ws.alias("ws")).select(
+        "label", "ws", F.coalesce(least, F.xxhash64("text")).alias("witness"))
+    n = {r.label: r.n for r in seen.groupBy("label").agg(F.count_distinct("witness").alias("n")).collect()}
     n_pos, n_neg = float(n.get(1, 0)), float(n.get(0, 0))
     if not n_pos or not n_neg:
         return Lexicon()
-    words = texts.select("label", F.explode(F.array_distinct(F.split(F.lower("text"), NOT_WORD))).alias("w")).where("w <> ''")
+    words = seen.select("label", "witness", F.explode(F.array_distinct("ws")).alias("w")).distinct()
     counts = materialise(words.groupBy("w").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg")))
 
     def entries(table: DataFrame) -> DataFrame:
