@@ -205,8 +205,8 @@ def rate_scores(s: Star, p: Params) -> DataFrame:
 
 def rate_report(s: Star, p: Params) -> DataFrame:
     scored = rate_scores(s, p)
-    return M.classification_report(scored).crossJoin(F.broadcast(M.auc(scored))).select(  # one row beside two
-        "class", "precision", "recall", "f1", "support", "accuracy", F.round("auc", 9).alias("auc"))
+    area = M.auc(scored).select(F.round("auc", 9)).scalar()
+    return M.classification_report(scored).withColumn("auc", area)
 
 
 def rate_curve(s: Star, p: Params) -> DataFrame:
