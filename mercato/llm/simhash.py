@@ -113,7 +113,8 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> Data
     if max_bits > 3:
         raise ValueError("six blocks, three of them equal, find at most three differing bits")
     members = prints.select("fp", F.explode(_tables(F.col("fp"))).alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written once, so that the join below shuffles both sides and adaptive execution can split a hot bucket
+    shared = materialise(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     tiles = F.ceil(F.col("n") / F.lit(tile)).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("tiles")).cast("int")
     dealt = (members.join(shared, "key").withColumn("tiles", tiles).withColumn("own", own)
