@@ -212,10 +212,17 @@ def label_sample(labels: DataFrame, learn, label_col: str, id_col: str = "doc_id
     share of label 1 among all rows where ``learn`` holds."""
     known = (labels.where(learn & quoted(label_col).isNotNull())
              .groupBy(quoted(id_col).alias("doc_id")).agg(F.max(quoted(label_col)).cast("int").alias("label")))
-    share = known.agg(F.avg("label")).first()[0]
+    counts = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return known, 0.5
+    share = counts.get(1, 0) / sum(counts.values())
+    # a share of each class, drawn by the id's hash, that holds about twice the rows wanted
+    part = F.element_at(F.create_map(*[F.lit(x) for label, n in sorted(counts.items())
+                                       for x in (label, min(1.0, 2.0 * per_class / n))]), F.col("label"))
+    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 40)) < part * F.lit(float(1 << 40)))
     nth = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id", F.lit(13)), "doc_id"))
     chosen = known.withColumn("nth", nth).where(F.col("nth") <= per_class).select("doc_id", "label")
-    return chosen, 0.5 if share is None else float(share)
+    return chosen, float(share)
 
 
 def learned(docs: DataFrame, labels: DataFrame, table: np.ndarray) -> Network | float:
