@@ -30,8 +30,8 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from mercato.llm.common import append_columns, read_table
 
-#: Pieces whose encoding a task remembers; beyond it the memory starts anew.
-MEMO_PIECES = 250_000
+#: Pieces whose encoding a task remembers; beyond it, and at the next task, the memory starts anew.
+MEMO_PIECES = 100_000
 #: Bytes of a rank file that is sent to the tasks.
 MAX_RANK_BYTES = 64 << 20
 #: FIXED VALUE: the split pattern whose matches start at every space between two other characters.
@@ -263,7 +263,10 @@ def _bpe(rank_file: bytes, pattern: str) -> Bpe:
     if key not in _LOADED:
         _LOADED.clear()
         _LOADED[key] = Bpe(rank_file, pattern)
-    return _LOADED[key]
+    bpe = _LOADED[key]
+    bpe.memo.clear()  # a worker lives through many tasks, not all of which encode
+    bpe.after_space.clear()
+    return bpe
 
 
 def rank_bytes(path: str) -> bytes:

@@ -16,6 +16,8 @@ from mercato.session import ensure_checkpoint_dir
 
 #: Bytes of text handled at once inside a task (a longer single text is one slice).
 SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch between Spark and a Python worker (a longer single row is one batch).
+BATCH_BYTES = 8 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +86,7 @@ def append_columns(df: DataFrame, text_col: str, fields: list[StructField],
     """
     taken = {f.name.lower() for f in fields} - {text_col.lower()}
     names = [c for c in df.columns if c.lower() not in taken]
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     base = df.select(*[(quoted(c).cast("string") if c == text_col else quoted(c)).alias(c) for c in names])
     schema = StructType(list(base.schema.fields) + fields)
     at, out_names = names.index(text_col), [f.name for f in schema.fields]

@@ -36,7 +36,7 @@ PASSAGE = 2048
 #: Units of each direction, bytes of a window when predicting, windows side by side.
 HIDDEN = 8
 WINDOW = 96
-BATCH = 4096
+BATCH = 2048
 #: Training: bytes of a window, windows of a step, steps, step size.
 TRAIN_WINDOW = 64
 TRAIN_BATCH = 192
@@ -235,7 +235,17 @@ def sample(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text
     documents of each language among the rows where ``learn`` holds."""
     place = F.xxhash64(quoted(id_col), F.lit(11))
     text = quoted(text_col).cast("string")
-    rows = (docs.where(learn & quoted(lang_col).isNotNull() & (F.length(text) > 0))
+    known = docs.where(learn & quoted(lang_col).isNotNull())
+    # a share of each language's ids, drawn by their hash, that holds about twice the rows wanted: what meets
+    # in one task to be ordered does not grow with the corpus
+    counts = {r.lang: r.n for r in known.groupBy(quoted(lang_col).cast("string").alias("lang")).agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return []
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sorted(counts.items())
+                                        for x in (lang, min(1.0, 2.0 * per_lang / n))]), quoted(lang_col).cast("string"))
+    drawn = known.where(F.pmod(place, F.lit(1 << 40)) < share * F.lit(float(1 << 40))).where(F.length(text) > 0)
+    rows = (drawn
             .select(quoted(lang_col).cast("string").alias("lang"), place.alias("place"),
                     F.substring(text, (F.pmod(place, F.greatest(F.lit(1), F.length(text) - passage)) + 1).cast("int"),
                                 F.lit(passage)).alias("text")))
