@@ -5,8 +5,9 @@ documents hold far more often than others, by a one-sided likelihood ratio
 that allows for the number of candidates; each entry weighs its log odds.
 The entries form a trie.  A word that is no entry runs as a Levenshtein
 automaton against the trie, which finds all whole-word entries within one
-edit (two for long ones) without comparing with each; words that clean
-labelled documents use are never taken for misspellings.
+edit (two for long ones), and all stems within as many of its beginning,
+without comparing with each; words that clean labelled documents use are
+never taken for misspellings.
 
 Context: a hit inside quotation marks with a word of reporting nearby counts
 a quarter, one near a form of address a quarter more.  A document's evidence
@@ -41,8 +42,8 @@ THRESHOLD = 0.7
 LEAST_ODDS = math.log(4)
 MAX_ENTRIES = 4000
 STEM_LENGTHS = (4, 5, 6, 7, 8)
-#: Letters from which one edit, and two edits, are allowed; weight of such a hit; log odds an entry must have.
-ONE_EDIT, TWO_EDITS, MISSPELLED, MISSPELLED_ODDS = 5, 9, 0.8, 3.0
+#: Letters from which one edit, and two edits, are allowed; weight of such a hit.
+ONE_EDIT, TWO_EDITS, MISSPELLED = 5, 9, 0.8
 #: Words on each side of a hit that are its context.
 CONTEXT = 8
 QUOTED, ADDRESSED = 0.25, 1.25
@@ -93,6 +94,10 @@ class Levenshtein:
         found = [e for i, e in state if i == n]
         return min(found) if found else None
 
+    def begins(self, state) -> int | None:
+        """Edits of the word's best beginning."""
+        return min((e for _, e in state), default=None)
+
 
 @dataclass
 class Lexicon:
@@ -115,48 +120,36 @@ class Matcher:
                 for letter in entry:
                     node = node.setdefault(letter, {})
                 node[kind] = weight
-        # entries that a stem covers need no misspellings: their trie stays small
-        self.near_root: dict = {}
-        starts, ends, middles = {}, {}, {}
-        near = [w for w in sorted(lexicon.words)
-                if len(w) >= ONE_EDIT and lexicon.words[w] >= MISSPELLED_ODDS
-                and not any(w[:k] in lexicon.stems for k in STEM_LENGTHS)]
-        for w in near:
-            node = self.near_root
-            for letter in w:
-                node = node.setdefault(letter, {})
-            node["word"] = lexicon.words[w]
-            # an entry with one edit keeps its first or second half, with two its beginning, middle or end;
-            # its length and its set of letters change by as much at most
-            edits = 2 if len(w) >= TWO_EDITS else 1
-            k = len(w) // (edits + 1)
-            sketch = (len(w) - edits, len(w) + edits, frozenset(w), len(set(w)) - edits)
-            starts.setdefault(w[:k], []).append(sketch)
-            ends.setdefault(w[-k:], []).append(sketch)
-            if edits == 2:
-                middles.setdefault(w[k:2 * k], []).append(sketch)
-        self.parts = [(k, table, kind) for kind, table in ((0, starts), (1, ends), (2, middles))
-                      for k in sorted(set(map(len, table)))]
-        self.shortest, self.longest = min(map(len, near), default=9) - 2, max(map(len, near), default=0) + 2
+        # a misspelt entry keeps its first or second half, with two edits its beginning, middle or end; its
+        # length and its set of letters change by as much at most.  A part is looked up at its place, or at the
+        # end; places move by the edits.
+        self.near: dict[str, dict] = {"word": {}, "stem": {}}
+        for kind, entries in (("word", lexicon.words), ("stem", lexicon.stems)):
+            for w in sorted(entries):
+                if len(w) < ONE_EDIT:
+                    continue
+                edits = 2 if len(w) >= TWO_EDITS else 1
+                k = len(w) // (edits + 1)
+                sketch = (len(w), edits, frozenset(w), len(set(w)) - edits)
+                last = len(w) - k
+                places = {0: [0], last: range(last - edits, last + edits + 1) if kind == "stem" else [-k]}
+                if edits == 2:
+                    places[k] = range(k - edits, k + edits + 1)
+                for at, moved in places.items():
+                    for i in moved:
+                        self.near[kind].setdefault((i, k), {}).setdefault(w[at:at + k], []).append(sketch)
         self.memo: dict[str, float] = {}
 
-    def _near(self, word: str) -> bool:
-        """Whether a word may be a misspelling: a necessary condition."""
-        n = len(word)
-        if not self.shortest <= n <= self.longest:
-            return False
-        letters = None
-        for k, table, kind in self.parts:
-            if kind == 0:
-                found = table.get(word[:k])
-            elif kind == 1:
-                found = table.get(word[-k:])
-            else:
-                found = [x for i in range(1, n - k + 1) for x in table.get(word[i:i + k], ())]
-            for low, high, own, least in found or ():
-                if low <= n <= high:
-                    letters = letters or set(word)
-                    if len(letters & own) >= least:
+    def _near(self, word: str, kind: str) -> bool:
+        """Whether a word may be a misspelt entry, or begin with a misspelt stem: a necessary condition."""
+        n, letters = len(word), {}
+        for (i, k), table in self.near[kind].items():
+            for size, edits, own, least in table.get(word[i:i + k] if i >= 0 else word[i:], ()):
+                if size - edits <= n and (kind == "stem" or n <= size + edits):
+                    end = size + edits
+                    if end not in letters:
+                        letters[end] = set(word[:end])
+                    if len(letters[end] & own) >= least:
                         return True
         return False
 
@@ -178,12 +171,15 @@ class Matcher:
         return max(best, node.get("word", 0.0))
 
     def _misspelt(self, word: str) -> float:
-        if not self._near(word) or word in self.lexicon.clean:
-            return 0.0
         best = 0.0
-        for entry, edits in within(self.near_root, Levenshtein(word, 2 if len(word) >= TWO_EDITS - 2 else 1)):
-            if edits and (edits == 1 and len(entry) >= ONE_EDIT or edits == 2 and len(entry) >= TWO_EDITS):
-                best = max(best, MISSPELLED * self.lexicon.words[entry])
+        if word in self.lexicon.clean:
+            return best
+        for kind, entries in (("word", self.lexicon.words), ("stem", self.lexicon.stems)):
+            if self._near(word, kind):
+                automaton = Levenshtein(word, 2 if len(word) >= TWO_EDITS - 2 else 1)
+                for entry, edits in within(self.root, automaton, kind):
+                    if edits and (edits == 1 and len(entry) >= ONE_EDIT or edits == 2 and len(entry) >= TWO_EDITS):
+                        best = max(best, MISSPELLED * entries[entry])
         return best
 
     def evidence(self, text: str) -> tuple[float, float, float, int]:
@@ -216,8 +212,10 @@ class Matcher:
         return total, largest, 100 * total / len(words), hits
 
 
-def within(root: dict, automaton: Levenshtein):
-    """(entry, edits) of every whole-word entry of a trie that the automaton accepts."""
+def within(root: dict, automaton: Levenshtein, kind: str = "word"):
+    """(entry, edits) of every whole-word entry of a trie that the automaton
+    accepts, or of every stem that one of its beginnings is near to."""
+    accepts = automaton.accepts if kind == "word" else automaton.begins
     stack = [(root, "", automaton.start())]
     while stack:
         node, path, state = stack.pop()
@@ -226,8 +224,8 @@ def within(root: dict, automaton: Levenshtein):
                 continue
             after = automaton.step(state, letter)
             if after:
-                if "word" in child:
-                    edits = automaton.accepts(after)
+                if kind in child:
+                    edits = accepts(after)
                     if edits is not None:
                         yield path + letter, edits
                 stack.append((child, path + letter, after))

@@ -156,6 +156,34 @@ def test_automaton_finds_all_near_entries():
         assert (matcher._misspelt(word) > 0) == near
 
 
+def test_misspellings_of_stems_and_of_light_entries():
+    rng = random.Random(6)
+
+    def some(least, most):
+        return {"".join(rng.choice("abcd") for _ in range(rng.randint(least, most))): rng.uniform(1.4, 5) for _ in range(25)}
+
+    words, stems = some(4, 12), some(4, 10)
+    words |= {s + "ab": 1.5 for s in sorted(stems)[:10]}  # words that a stem covers
+    matcher = toxicity.Matcher(toxicity.Lexicon(words, stems))
+    hits = 0
+    for _ in range(400):
+        word = list(rng.choice(sorted(words) + [s + "".join(rng.choice("abe") for _ in range(rng.randint(0, 5))) for s in sorted(stems)]))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(word) + 1)
+            word[at:at + rng.randint(0, 1)] = rng.choice(["", "a", "e"])
+        word = "".join(word)
+        near = [(e, x, distance(word, e)) for e, x in words.items()]
+        near += [(e, x, min(distance(word[:n], e) for n in range(len(word) + 1))) for e, x in stems.items()]
+        best = max((x for e, x, d in near if d == 1 and len(e) >= toxicity.ONE_EDIT
+                    or d == 2 and len(e) >= toxicity.TWO_EDITS), default=0.0)
+        assert matcher._misspelt(word) == toxicity.MISSPELLED * best
+        hits += best > 0
+    assert 40 < hits < 400
+    stem = toxicity.Matcher(toxicity.Lexicon({"scoundrelly": 1.5}, {"scoundr": 4.0}))
+    assert {w: stem.weight(w) for w in ("koundrelish", "xcoundrels", "scuondr", "scondrel", "sscoundrel", "soup")} == {
+        "koundrelish": 0.0, "xcoundrels": 3.2, "scuondr": 0.0, "scondrel": 3.2, "sscoundrel": 3.2, "soup": 0.0}
+
+
 def test_context_tells_quotation_from_abuse():
     matcher = toxicity.Matcher(toxicity.Lexicon({"scoundrel": 4.0}))
     plain = matcher.evidence("the scoundrel went home")[0]
