@@ -6,9 +6,11 @@ their number, and the share of its text inside links.  Every node takes its
 path's ratios; along the page they are smoothed with a Gaussian, fused (the
 geometric mean of both, less the link share) and compared with a multiple of
 their standard deviation; paths whose nodes exceed it on average are content
-paths.  The article is the deepest container that holds most of the text of
-content paths, and its text is every node in it that is not part of a menu,
-header, footer, sidebar, notice, advert, form or comment section.
+paths.  The article is the deepest container that holds all nodes of content
+paths (the article or main element around it, if there is one; several
+articles if each such node is in one), and its text is every node in it that
+is not part of a menu, header, footer, sidebar, notice, advert, form or
+comment section.
 
 Everything inside the article stays, short blocks too.  NULL and empty pages,
 and pages without such text, give the empty text; broken mark-up (unclosed
@@ -32,8 +34,6 @@ from mercato.llm.common import append_columns, read_table
 #: Gaussian weights of a node's neighbours, and the threshold in standard deviations.
 SIGMA, RADIUS = 1.0, 2
 THRESHOLD = 0.8
-#: Share of the content paths' text that the article holds.
-MOST = 0.7
 
 # Element names by their part in a page.
 SKIPPED = "script|style|template|noscript|textarea|select|svg|math|iframe|object|title|head"
@@ -224,27 +224,30 @@ def content_paths(page: Page, sizes: list[int]) -> dict[int, float]:
     return {p: sum(x) / len(x) for p, x in by_path.items() if sum(x) / len(x) >= threshold and sum(x) > 0}
 
 
-def article_element(page: Page, sizes: list[int], chosen: dict[int, float]) -> int:
-    """The deepest container with most of the chosen paths' text; the article
-    or main element around it, if there is one."""
+def article_elements(page: Page, sizes: list[int], chosen: dict[int, float]) -> set[int]:
+    """The deepest container of all nodes of the chosen paths, or the article
+    or main element around it; without one, the article and main elements
+    of these nodes if each is in one."""
     held = [0] * len(page.elements)
+    around = [0] * len(page.elements)  # the outermost article or main element
+    for k, element in enumerate(page.elements):
+        around[k] = around[element.parent] if k and around[element.parent] else k if element.in_article else 0
+    outer: set[int] = set()
     for node, size in zip(page.nodes, sizes):
         element = page.elements[node.element]
-        if not element.boilerplate and element.path in chosen:
-            held[node.element] += size
+        if size and not element.boilerplate and element.path in chosen:
+            held[node.element] += 1
+            outer.add(around[node.element])
     for k in range(len(page.elements) - 1, 0, -1):  # children follow their parents
         held[page.elements[k].parent] += held[k]
-    # the last container that holds most is the deepest: two such are nested
-    best = 0
-    for k, element in enumerate(page.elements):
-        if element.tag in CONTAINERS and held[k] >= MOST * held[0] and held[k]:
-            best = k
+    # the last container that holds all is the deepest: two such are nested
+    best = max((k for k, e in enumerate(page.elements) if e.tag in CONTAINERS and held[k] == held[0]), default=0)
     k = best
     while k > 0:
         if page.elements[k].tag in ("article", "main"):
-            return k
+            return {k}
         k = page.elements[k].parent
-    return best
+    return {best} if 0 in outer else outer
 
 
 def extract(source: str | None) -> tuple[str, int, int]:
@@ -256,13 +259,10 @@ def extract(source: str | None) -> tuple[str, int, int]:
     chosen = content_paths(page, sizes)
     if not chosen:
         return "", 0, 0
-    top = article_element(page, sizes, chosen)
-    inside = [False] * len(page.elements)
-    inside[top] = True
-    for k in range(top + 1, len(page.elements)):
-        inside[k] = inside[page.elements[k].parent]
-    if top == 0:
-        inside = [True] * len(page.elements)
+    tops = article_elements(page, sizes, chosen)
+    inside = [k in tops for k in range(len(page.elements))]
+    for k in range(1, len(page.elements)):
+        inside[k] = inside[k] or inside[page.elements[k].parent]
     blocks: dict[int, list[str]] = {}
     for node in page.nodes:
         if inside[node.element] and not page.elements[node.element].boilerplate:

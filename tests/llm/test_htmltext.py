@@ -50,6 +50,27 @@ def test_cases(name):
     assert H.extract(page)[0] == text
 
 
+P = f"<p>{LONG}</p>"
+
+PARTS = {
+    "two divs, the first with three quarters": (f"<body><nav><a href=x>Menu</a></nav><div class=content><div class=part>{P * 3}</div>"
+                                                f"<div class=part>{P}</div></div><footer>Us</footer></body>", [LONG] * 4),
+    "sections of equal form": (f"<body><div><section><h2>One</h2>{P * 4}</section><section><h2>Two</h2>{P}</section></div></body>",
+                               ["One", *[LONG] * 4, "Two", LONG]),
+    "paragraphs beside a long table": (f"<body><div>{P}<table><tr><td>{P * 8}</td></tr></table>{P}</div></body>", [LONG] * 10),
+    "three articles, one of them long": (f"<body><div><a href=x>Home</a></div><article>{P}</article><article>{P * 6}</article>"
+                                         f"<article>{P}</article></body>", [LONG] * 8),
+    "articles in main": (f"<body><main><h1>Head</h1><article>{P * 6}</article><article>{P}</article></main></body>",
+                         ["Head", *[LONG] * 7]),
+}
+
+
+@pytest.mark.parametrize("name", PARTS)
+def test_no_part_of_the_content_is_lost(name):
+    page, lines = PARTS[name]
+    assert H.extract(page)[0].split("\n") == lines
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<nav><a href=x>Only a menu</a></nav>", "<", "<p", "</p></p>", "<!--"])
 def test_pages_without_text(page):
     assert H.extract(page)[0] in ("", "<", "<p")
