@@ -14,7 +14,10 @@ comment section.
 
 Everything inside the article stays, short blocks too.  NULL and empty pages,
 and pages without such text, give the empty text; broken mark-up (unclosed
-or crossed elements, a page that ends early) is read as far as it goes.
+or crossed elements, a page that ends early) is read as far as it goes: an
+unclosed head ends at the first thing that cannot be in one, other skipped
+elements at their parent's end, and only scripts, styles, text areas and
+comments run to the end of the page.  Text of formulas and of objects stays.
 Pages are read one by one: repeated rows and ties get equal results.
 """
 
@@ -36,7 +39,12 @@ SIGMA, RADIUS = 1.0, 2
 THRESHOLD = 0.8
 
 # Element names by their part in a page.
-SKIPPED = "script|style|template|noscript|textarea|select|svg|math|iframe|object|title|head"
+RAW = "script|style|textarea"
+SKIPPED = set("head iframe noscript select svg template title".split())
+HEAD_CONTENT = set("base link meta noscript script style template title".split())
+#: Skipped elements that cannot hold a block, and elements in which a block does not end them.
+ENDED_BY_BLOCK = SKIPPED - {"noscript", "template"}
+BLOCKS_INSIDE = {"foreignobject", "noscript", "template"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = set("article body center div html main section table tbody td tr".split())
 BLOCKS = CONTAINERS | set(
@@ -57,7 +65,10 @@ NAMES = re.compile(
 NEVER_BY_NAME = {"html", "body", "article", "main"}
 
 MARKUP = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<skip>{SKIPPED})\b(?P<skipped>[^>]*+)>.*?(?:</(?P=skip)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    # a skipped element with its end tag; one without, or with another of its kind inside, is read as an element
+    rf"|<(?P<skip>{'|'.join(sorted(SKIPPED - {'head'}))})(?=[\s/>])[^>]*+>[^<]*+"
+    r"(?:<(?!/?(?:article|body|head|main|(?P=skip))[\s/>])[^<]*+)*+</(?P=skip)\s*>"
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:\-]*)(?P<attrs>(?:[^<>"']|"[^"<]*"|'[^'<]*')*+)>"""
     r"|</?[a-zA-Z][^<>]*>|<[!?][^>]*>", re.DOTALL | re.IGNORECASE)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.IGNORECASE)
@@ -73,6 +84,7 @@ class Element:
     boilerplate: bool
     in_article: bool
     in_link: bool
+    skipped: bool = False
 
 
 @dataclass
@@ -128,11 +140,30 @@ def parse(source: str) -> Page:
                 while len(stack) > k:
                     pop()
                 return
-            if tag in scope:
+            if tag in scope or tag in SKIPPED:
                 return
 
+    def end_skipped(tag: str):
+        """Close the open skipped elements that cannot hold ``tag``."""
+        cut, in_head = len(stack), open_tags.get("head")
+        if tag == "body" and in_head:
+            cut = next(k for k in range(len(stack) - 1, 0, -1) if page.elements[stack[k]].tag == "head")
+        elif tag in BLOCKS:
+            for k in range(len(stack) - 1, 0, -1):
+                name = page.elements[stack[k]].tag
+                if name in BLOCKS_INSIDE and not (name == "noscript" and in_head) or not page.elements[stack[k]].skipped:
+                    break
+                if name in ENDED_BY_BLOCK:
+                    cut = k
+        elif page.elements[stack[-1]].tag == "head" and tag not in HEAD_CONTENT:
+            cut = len(stack) - 1
+        while len(stack) > cut:
+            pop()
+
     def add_text(text: str):
-        if text:
+        if page.elements[stack[-1]].tag == "head" and not text.isspace():
+            end_skipped("")
+        if text and not page.elements[stack[-1]].skipped:
             page.nodes.append(Node(text, stack[-1], block))
 
     for match in MARKUP.finditer(source):
@@ -150,6 +181,8 @@ def parse(source: str) -> Page:
                     pop()
                 pop()
             continue
+        if page.elements[stack[-1]].skipped:
+            end_skipped(tag)
         if tag == "br":
             add_text(" ")
             continue
@@ -166,7 +199,8 @@ def parse(source: str) -> Page:
         page.elements.append(Element(
             tag, stack[-1], path,
             up.boilerplate or _is_boilerplate(tag, match.group("attrs"), up.in_article),
-            up.in_article or tag in ("article", "main"), up.in_link or tag == "a"))
+            up.in_article or tag in ("article", "main"), up.in_link or tag == "a",
+            up.skipped or tag in SKIPPED))
         if not match.group("attrs").endswith("/") or tag in BLOCKS:
             stack.append(len(page.elements) - 1)
             open_tags[tag] = open_tags.get(tag, 0) + 1

@@ -71,6 +71,34 @@ def test_no_part_of_the_content_is_lost(name):
     assert H.extract(page)[0].split("\n") == lines
 
 
+UNCLOSED = {
+    "head without its end tag": (f"<html><head><title>x</title><meta charset=u><body><article>{P}</article></body></html>", [LONG]),
+    "head and title without end tags": (f"<head><title>x<body><article>{P}</article>", [LONG]),
+    "head that a block ends": (f"<head><title>x</title><style>p{{}}</style><div>{P}</div>", [LONG]),
+    "head that text ends": (f"<head><title>x</title>\n{LONG}", [LONG]),
+    "head with its end tag": (f"<head><noscript><div>no</div></noscript><title>a <div> b</title></head><body>{P}</body>", [LONG]),
+    "open noscript in an open head": (f"<head><noscript><link href=x><body><article>{P}</article>", [LONG]),
+    "select without its end tag": (f"<article>{P}<div><select><option>no</div>{P}</article>", [LONG] * 2),
+    "select that a block ends": (f"<article>{P}<select><option>no{P}</article>", [LONG] * 2),
+    "drawing without its end tag": (f"<article>{P}<div><svg><title>no</title><g><text>no</text></div>{P}</article>", [LONG] * 2),
+    "template and noscript end with their parents": (
+        f"<article>{P}<div><template><p>no</div><div><noscript><p>no</div>{P}</article>", [LONG] * 2),
+    "closed ones": (f"<article>{P}<svg><foreignObject><p>no</p></foreignObject></svg><template><div>no<template>no</template>"
+                    f"no</div></template><select><option>no</select><iframe>no</iframe>{P}</article>", [LONG] * 2),
+    "object with its fallback": (f"<article>{P}<object data=x><p>Instead of it.</p></object>{P}</article>",
+                                 [LONG, "Instead of it.", LONG]),
+    "object without its end tag": (f"<article><object data=x>{P}{P}</article>", [LONG] * 2),
+    "formula": (f"<article>{P}<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p>{P}</article>",
+                [LONG, "So x=2 holds.", LONG]),
+}
+
+
+@pytest.mark.parametrize("name", UNCLOSED)
+def test_unclosed_elements_lose_nothing(name):
+    page, lines = UNCLOSED[name]
+    assert H.extract(page)[0].split("\n") == lines
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<nav><a href=x>Only a menu</a></nav>", "<", "<p", "</p></p>", "<!--"])
 def test_pages_without_text(page):
     assert H.extract(page)[0] in ("", "<", "<p")
