@@ -4,6 +4,7 @@ import base64
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -67,3 +68,17 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert ids.columns == ["doc_id", "text", "ids"]
     assert sorted(bytes(r.decoded) for r in rows) == [b"", b"", b"a b"]
     assert bpe.digest_table(df.where(F.lit(False))).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(texts=st.lists(st.one_of(st.none(), st.text(alphabet="ab z 9'.,s\n  　\x85\x1c\x7f×÷éßдΩŋ中🙂", max_size=40)),
+                      max_size=6))
+def test_batches_with_unusual_spaces_and_scripts(both, texts):
+    mine, theirs = both
+    got = bpe.texts_ids(mine, pa.array(texts, pa.string()))
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [theirs.encode_ordinary(t or "") for t in texts]
+
+
+def test_unknown_ids_raise(both):
+    with pytest.raises(ValueError):
+        both[0].decode([len(both[0].words)])
