@@ -1,7 +1,7 @@
 """Registered queries of the package and their oracle SQL.
 
 Queries without SQL (recurrent network, learned models, byte merges, XXH64
-fingerprints, page trees) are tested against brute force in ``tests/llm``.
+fingerprints, page trees, run grammars, packings) are tested against brute force in ``tests/llm``.
 """
 
 from __future__ import annotations
@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mercato.llm import (bpe, contamination, htmltext, langid, licenses, lines, quality, sharding, simhash,
-                         toxicity)
+from mercato.llm import (bpe, contamination, htmltext, langid, licenses, lines, negatives, packing, periodic, quality,
+                         sharding, simhash, toxicity)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": bpe.op1,
@@ -24,10 +24,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": licenses.op8,
     "op9_toxicity": toxicity.op9,
     "op10_extendible_shards": sharding.op10,
+    "op11_periodic_runs": periodic.op11,
+    "op12_hard_negatives": negatives.op12,
+    "op13_packing": packing.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": contamination.ORACLE,
     "op4_line_rules": lines.ORACLE,
     "op10_extendible_shards": sharding.ORACLE,
+    "op12_hard_negatives": negatives.ORACLE,
 }
