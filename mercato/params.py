@@ -93,8 +93,6 @@ class Params:
     temporal_cutoff: dt.date = dt.date(2018, 4, 1)
     drift_edges: tuple[float, ...] = (5.0, 10.0, 15.0, 20.0, 30.0, 50.0)
     risk_top_k: int = 10
-    # Number of range partitions for the scalable NTILE (None: from the session).
-    ntile_partitions: int | None = None
 
     def cohort_periods(self) -> int:
         """Months from the first cohort to the reference date, both included."""

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions.timefx import floor_days, hours_between
+from mercato.operators.counted import grouped_medians, grouped_modes
 from mercato.params import Params
 
 DIM_COLS = ("product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm")
@@ -26,11 +27,16 @@ def clean_geolocation(geo: DataFrame, p: Params) -> DataFrame:
     (lowest on ties).  Result grain: zip_code_prefix.
     """
     kept = geo.distinct().filter(in_box("geolocation_lat", "geolocation_lng", p.box_lat, p.box_lng))
-    return kept.groupBy(F.col("geolocation_zip_code_prefix").alias("zip_code_prefix")).agg(
-        F.round(F.median("geolocation_lat"), 6).alias("geolocation_lat"),
-        F.round(F.median("geolocation_lng"), 6).alias("geolocation_lng"),
-        F.mode("geolocation_city", True).alias("geolocation_city"),
-        F.mode("geolocation_state", True).alias("geolocation_state"),
+    kept = kept.withColumnRenamed("geolocation_zip_code_prefix", "zip_code_prefix")
+    at = grouped_medians(kept, ["zip_code_prefix"], ["geolocation_lat", "geolocation_lng"])
+    named = grouped_modes(kept, ["zip_code_prefix"], ["geolocation_city", "geolocation_state"])
+    joined = at.alias("a").join(named.alias("b"), F.col("a.zip_code_prefix").eqNullSafe(F.col("b.zip_code_prefix")))
+    return joined.select(
+        "a.zip_code_prefix",
+        F.round("geolocation_lat", 6).alias("geolocation_lat"),
+        F.round("geolocation_lng", 6).alias("geolocation_lng"),
+        "geolocation_city",
+        "geolocation_state",
     )
 
 
@@ -89,11 +95,10 @@ def clean_products(products: DataFrame, translation: DataFrame, p: Params) -> Da
     )
     named = joined.withColumn("product_category_name_english", english)
     dims = [c for c in DIM_COLS if c in named.columns]
-    cat_medians = named.groupBy("product_category_name_english").agg(
-        *[F.median(c).alias(f"_cm_{c}") for c in dims]
-    )
+    cat_medians = grouped_medians(named, ["product_category_name_english"], dims).withColumnsRenamed(
+        {c: f"_cm_{c}" for c in dims})
     # all global medians in one scalar subquery (one job, evaluated once)
-    global_medians = named.select(F.struct(*[F.median(c).alias(c) for c in dims])).scalar()
+    global_medians = grouped_medians(named, [], dims).select(F.struct(*dims)).scalar()
     out = named.join(cat_medians, "product_category_name_english", "left")
     for c in dims:
         out = out.withColumn(

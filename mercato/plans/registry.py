@@ -2,8 +2,8 @@
 
 Builders read the driver tables through the lens, build the star lazily and
 run one analytical job.  Nothing is collected; each call returns a lazy plan
-(the scalable NTILE is the exception: it checkpoints its range-partitioned
-input, see mercato.operators.ranking).
+(the NTILEs of the RFM scores are the exception: the person rows are stored
+once and their cut rows selected, see mercato.operators.ranking).
 """
 
 from __future__ import annotations

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from mercato.functions.numeric import round_ratio, unscaled
 from mercato.functions.timefx import month_start, months_between_starts, pg_dow
-from mercato.operators.ranking import ntile_scalable, ntile_window
+from mercato.operators.ranking import By, ntiles
 from mercato.params import Params
+from mercato.session import written
 from mercato.sources.star import Star
 
 
@@ -332,15 +333,15 @@ def rfm_raw(s: Star, p: Params) -> DataFrame:
     return g.withColumn("recency_days", F.datediff(F.lit(p.rfm_reference_date), F.col("last_order_date")))
 
 
-def rfm_scores(s: Star, p: Params, scalable: bool = True) -> DataFrame:
-    raw = rfm_raw(s, p)
-    tie = [F.col("customer_unique_id").asc(), F.col("customer_city").asc_nulls_first(),
-           F.col("customer_state").asc_nulls_first()]
-    nt = (lambda df, order, out: ntile_scalable(df, 4, order, out, p.ntile_partitions)) if scalable else (
-        lambda df, order, out: ntile_window(df, 4, order, out))
-    x = nt(raw, [F.col("recency_days").desc_nulls_last(), *tie], "r_score")
-    x = nt(x, [F.col("frequency").asc_nulls_first(), *tie], "f_score")
-    x = nt(x, [F.col("monetary").asc_nulls_first(), *tie], "m_score")
+def rfm_scores(s: Star, p: Params) -> DataFrame:
+    """C7.  The person rows are stored once; the three NTILEs compare them with
+    their cut rows (see mercato.operators.ranking)."""
+    tie = [By("customer_unique_id"), By("customer_city"), By("customer_state")]
+    x = ntiles(written(rfm_raw(s, p), "rfm"), 4, {
+        "r_score": [By("recency_days", descending=True, nulls_last=True), *tie],
+        "f_score": [By("frequency"), *tie],
+        "m_score": [By("monetary"), *tie],
+    })
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
     return x.select(
         "customer_unique_id",
@@ -574,7 +575,7 @@ VIEW_NAMES = {
 def register_views(s: Star, p: Params, prefix: str = "") -> list[str]:
     """Temp views over the star tables and the analytical views, so reports can
     be written as `spark.sql(...)` against the same names the SQL layer uses.
-    RFM is materialised once (its NTILE checkpoints) and reused by the unified view."""
+    RFM's person rows are stored once and reused by the unified view."""
     s.register(prefix)
     names = []
     rfm = None

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SQL_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -70,6 +71,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or scratch
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written once as Parquet into the shared folder and read again:
+    several jobs then see the same rows and none makes them anew."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def run_concurrently(spark: SparkSession, actions, max_workers: int = 8) -> list:
     """Run independent Spark actions as concurrent jobs (thread pool), keeping
     the caller's job group and description on every job."""
