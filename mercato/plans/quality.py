@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FractionalType
 
 from mercato.functions.numeric import round_ratio
 from mercato.params import Params
@@ -30,25 +31,39 @@ def _cnt(cond: Column) -> Column:
 
 # ------------------------------------------------------------ Q1 profile
 def profile_table(name: str, df: DataFrame, approx: bool = False) -> DataFrame:
-    """Rows, duplicate rows, and per column nulls / null % / distinct values.
+    """Rows, duplicate rows, and per column type, nulls / null % / distinct values.
 
-    One aggregate per table (count_distinct of every column shares one Expand);
-    `approx=True` switches to HyperLogLog for very wide or huge tables."""
+    The distinct values are exact in two levels: narrow (column, value) pairs
+    are counted map-side, then the counts of each column are added up, so a
+    wide row is never multiplied by the number of columns.  `approx=True`
+    switches to HyperLogLog for very wide or huge tables."""
     cols = df.columns
-    distinct = F.approx_count_distinct if approx else F.count_distinct
-    wide = df.agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[_cnt(F.col(c).isNull()).alias(f"n:{c}") for c in cols],
-        *[distinct(F.col(c)).alias(f"d:{c}") for c in cols],
-    )
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    if approx:
+        wide = df.agg(F.count(F.lit(1)).alias("_rows"), *[_cnt(F.col(c).isNull()).alias(f"n:{c}") for c in cols],
+                      *[F.approx_count_distinct(c).alias(f"d:{c}") for c in cols])
+    else:
+        pairs = ", ".join(f"{i}, cast({'`%s` + 0' % c if isinstance(kinds[c], FractionalType) else '`%s`' % c} as string)"
+                          for i, c in enumerate(cols))  # + 0 makes the two zeros of a double one
+        counts = df.selectExpr(f"stack({len(cols)}, {pairs}) as (_c, _v)").groupBy("_c", "_v").agg(
+            F.count(F.lit(1)).alias("_n"))
+        per = counts.groupBy("_c").agg(F.sum("_n").alias("r"), F.sum(F.when(F.col("_v").isNull(), F.col("_n"))).alias("n"),
+                                       F.count("_v").alias("d"))
+
+        def of(i: int, what: str) -> Column:
+            return F.coalesce(F.max(F.when(F.col("_c") == i, F.col(what))), F.lit(0))
+
+        wide = per.agg(of(0, "r").alias("_rows"), *[of(i, "n").alias(f"n:{c}") for i, c in enumerate(cols)],
+                       *[of(i, "d").alias(f"d:{c}") for i, c in enumerate(cols)])
     dups = df.groupBy(*cols).count().agg(F.sum(F.col("count") - 1).alias("_dups"))
-    stack = ", ".join(f"'{c}', `n:{c}`, `d:{c}`" for c in cols)
-    base = wide.selectExpr("_rows", f"stack({len(cols)}, {stack}) as (column_name, nulls, distinct_values)")
+    stack = ", ".join(f"'{c}', '{kinds[c].simpleString()}', `n:{c}`, `d:{c}`" for c in cols)
+    base = wide.selectExpr("_rows", f"stack({len(cols)}, {stack}) as (column_name, dtype, nulls, distinct_values)")
     # the duplicate count is a single value: a scalar subquery, not a join
     dup_scalar = dups.select(F.coalesce("_dups", F.lit(0)).cast("long")).scalar()
     return base.select(
         F.lit(name).alias("table_name"),
         "column_name",
+        "dtype",
         F.col("_rows").cast("long").alias("rows"),
         F.lit(len(cols)).cast("int").alias("columns"),
         dup_scalar.alias("duplicate_rows"),

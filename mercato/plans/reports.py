@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions.hashing import id_bits
 from mercato.functions.numeric import round_ratio, unscaled
+from mercato.operators.comoments import correlations
 from mercato.operators.prefix import exact_quantiles
 from mercato.operators.ranking import top_n
 from mercato.params import Params
@@ -382,16 +383,10 @@ CORR_FEATURES = [
 
 
 def feature_correlation(dd: DataFrame) -> DataFrame:
-    """Lower triangle of the Pearson matrix: all 105 pairs in one aggregate
-    (one scan), then unpivoted."""
+    """Lower triangle of the Pearson matrix, from one matrix of co-moments."""
     x = dd.filter(F.col("approval_lag_hours").isNotNull()).select(
         *[F.col(c).cast("double").alias(c) for c in CORR_FEATURES])
-    pairs = [(a, b) for i, a in enumerate(CORR_FEATURES) for b in CORR_FEATURES[:i]]
-    wide = x.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    cols = ", ".join(f"'{a}', '{b}', `{a}|{b}`" for a, b in pairs)
-    long = wide.selectExpr(f"stack({len(pairs)}, {cols}) as (feature_a, feature_b, r)")
-    r = F.col("r")
-    return long.select("feature_a", "feature_b", F.when(~F.isnan(r), F.round(r, 6)).alias("r"))
+    return correlations(x, CORR_FEATURES).select("feature_a", "feature_b", F.round("r", 6).alias("r"))
 
 
 def high_correlation_pairs(corr: DataFrame, p: Params) -> DataFrame:

@@ -196,71 +196,73 @@ def _cancel_flag(statuses) -> Column:
     return F.col("order_status").isin(list(statuses)).cast("int")
 
 
-def cancellation_analysis(s: Star, p: Params, statuses=None) -> DataFrame:
-    statuses = statuses or p.cancel_statuses
+def _cancel_orders(s: Star, statuses) -> DataFrame:
     cust = s.dim_customers.select("customer_id", "customer_state")
-    all_orders = s.fact_orders.join(cust, "customer_id").select(
+    return s.fact_orders.join(cust, "customer_id").select(
         "order_id",
         month_start("order_purchase_timestamp").alias("order_month"),
         "customer_state",
         _cancel_flag(statuses).alias("is_cancelled"),
     )
 
-    def simple(dim: str, key: Column, min_orders: int) -> DataFrame:
-        g = all_orders.groupBy(key.alias("dimension_value")).agg(
-            F.count(F.lit(1)).alias("total_orders"), F.sum("is_cancelled").alias("cancelled_orders")
-        ).filter(F.col("total_orders") >= min_orders)
-        rate = round_ratio(F.col("cancelled_orders") * 100, "total_orders", 2)
-        return g.select(
-            F.lit(dim).alias("analysis_dimension"),
-            "dimension_value",
-            F.col("total_orders").cast("long").alias("total_orders"),
-            F.col("cancelled_orders").cast("long").alias("cancelled_orders"),
-            rate.alias("cancel_rate_pct"),
-            F.lit(None).cast("string").alias("secondary_dimension"),
-            rate.alias("order_cancel_rate_pct"),
-        )
-
-    monthly = simple("monthly", F.col("order_month").cast("string"), p.cancel_min_orders_month)
-    state = simple("state", F.col("customer_state"), p.cancel_min_orders_state)
-    prods = s.dim_products.filter(F.col("product_category_name").isNotNull()).select(
-        "product_id", "product_category_name"
-    )
-    cat_rows = (
-        all_orders.select("order_id", "is_cancelled")
-        .join(s.fact_order_items.select("order_id", "product_id"), "order_id")
-        .join(prods, "product_id")
-    )
-    per_order = cat_rows.groupBy("product_category_name", "order_id", "is_cancelled").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    cg = per_order.groupBy("product_category_name").agg(
-        F.count(F.lit(1)).alias("total_orders"),
-        F.sum(F.col("is_cancelled") * F.col("n")).alias("cancelled_orders"),
-        F.sum("is_cancelled").alias("cancelled_distinct"),
-    ).filter(F.col("total_orders") >= p.cancel_min_orders_category)
-    category = cg.select(
-        F.lit("category").alias("analysis_dimension"),
-        F.col("product_category_name").alias("dimension_value"),
-        F.col("total_orders").cast("long").alias("total_orders"),
-        F.col("cancelled_orders").cast("long").alias("cancelled_orders"),
+
+def cancellation_analysis(s: Star, p: Params, statuses=None) -> DataFrame:
+    """C19.  The three breakdowns are grouping sets over one joined frame: a row
+    per order and category of its items, of which `first` marks one per order.
+    Months and states count the marked rows, categories count all of theirs,
+    cancelled ones at the published item grain."""
+    cats = (s.fact_order_items.select("order_id", "product_id")
+            .join(s.dim_products.select("product_id", "product_category_name"), "product_id")
+            .filter(F.col("product_category_name").isNotNull())
+            .groupBy("order_id", "product_category_name").agg(F.count(F.lit(1)).alias("n")))
+    # an order has as many entries as there are categories at most
+    per_order = cats.groupBy("order_id").agg(F.collect_list(F.struct("product_category_name", "n")).alias("cats"))
+    rows = (_cancel_orders(s, statuses or p.cancel_statuses).join(per_order, "order_id", "left")
+            .select("order_month", "customer_state", "is_cancelled", F.posexplode_outer("cats").alias("pos", "c"))
+            .select(F.col("order_month").cast("string").alias("month"), F.col("customer_state").alias("state"), "is_cancelled",
+                    F.col("c.product_category_name").alias("category"), F.col("c.n").alias("n"),
+                    (F.coalesce("pos", F.lit(0)) == 0).cast("int").alias("first")))
+    flag = F.col("is_cancelled")
+    g = rows.groupingSets([["month"], ["state"], ["category"]], "month", "state", "category").agg(
+        F.grouping_id().alias("_set"),  # a bit for each column that is not grouped by
+        F.sum("first").alias("orders"),
+        F.sum(flag * F.col("first")).alias("cancelled"),
+        F.count("n").alias("in_category"),
+        F.sum(flag * F.col("n")).alias("items_cancelled"),
+        F.sum(F.when(F.col("n").isNotNull(), flag)).alias("in_category_cancelled"),
+    )
+    of = {3: ("monthly", "month", p.cancel_min_orders_month), 5: ("state", "state", p.cancel_min_orders_state),
+          6: ("category", "category", p.cancel_min_orders_category)}
+
+    def pick(values) -> Column:
+        return F.coalesce(*[F.when(F.col("_set") == k, v) for k, v in values.items()])
+
+    is_cat = F.col("_set") == 6
+    x = g.filter(~is_cat | F.col("category").isNotNull()).select(
+        pick({k: F.lit(v[0]) for k, v in of.items()}).alias("analysis_dimension"),
+        pick({k: F.col(v[1]) for k, v in of.items()}).alias("dimension_value"),
+        F.when(is_cat, F.col("in_category")).otherwise(F.col("orders")).cast("long").alias("total_orders"),
+        F.when(is_cat, F.col("items_cancelled")).otherwise(F.col("cancelled")).cast("long").alias("cancelled_orders"),
+        F.when(is_cat, F.col("in_category_cancelled")).otherwise(F.col("cancelled")).alias("_distinct"),
+        pick({k: F.lit(v[2]) for k, v in of.items()}).alias("_least"),
+    ).filter(F.col("total_orders") >= F.col("_least"))
+    return x.select(
+        "analysis_dimension", "dimension_value", "total_orders", "cancelled_orders",
         round_ratio(F.col("cancelled_orders") * 100, "total_orders", 2).alias("cancel_rate_pct"),
         F.lit(None).cast("string").alias("secondary_dimension"),
-        round_ratio(F.col("cancelled_distinct") * 100, "total_orders", 2).alias("order_cancel_rate_pct"),
+        round_ratio(F.col("_distinct") * 100, "total_orders", 2).alias("order_cancel_rate_pct"),
     )
-    return monthly.unionByName(state).unionByName(category)
 
 
 def monthly_cancellations(s: Star, p: Params) -> DataFrame:
     """Canceled-only monthly rates, month as yyyy-MM (the shipped monthly file)."""
-    m = cancellation_analysis(s, p, statuses=p.cancel_statuses_narrow).filter(
-        F.col("analysis_dimension") == "monthly"
-    )
-    return m.select(
-        F.substring("dimension_value", 1, 7).alias("order_month"),
+    g = _cancel_orders(s, p.cancel_statuses_narrow).groupBy("order_month").agg(
+        F.count(F.lit(1)).cast("long").alias("total_orders"), F.sum("is_cancelled").cast("long").alias("cancelled_orders"))
+    return g.filter(F.col("total_orders") >= p.cancel_min_orders_month).select(
+        F.substring(F.col("order_month").cast("string"), 1, 7).alias("order_month"),
         "cancelled_orders",
         "total_orders",
-        "cancel_rate_pct",
+        round_ratio(F.col("cancelled_orders") * 100, "total_orders", 2).alias("cancel_rate_pct"),
     )
 
 

@@ -30,11 +30,17 @@ def _cnt(cond: str) -> str:
     return f"cast(count(case when {cond} then 1 end) as bigint)"
 
 
+def _dtype(c: str) -> str:
+    """The type's published name, from the engine's own."""
+    return (f"max(case typeof({c}) when 'VARCHAR' then 'string' when 'TIMESTAMP' then 'timestamp_ntz' "
+            f"when 'INTEGER' then 'int' else lower(typeof({c})) end)")
+
+
 def _profile_one(t: str, cols: list[str]) -> str:
     rows = f"(select count(*) from raw_{t})"
     dups = f"(select count(*) from raw_{t}) - (select count(*) from (select distinct * from raw_{t}))"
     return "\nunion all\n".join(
-        f"select '{t}' as table_name, '{c}' as column_name, cast({rows} as bigint) as rows, "
+        f"select '{t}' as table_name, '{c}' as column_name, {_dtype(c)} as dtype, cast({rows} as bigint) as rows, "
         f"cast({len(cols)} as integer) as columns, cast({dups} as bigint) as duplicate_rows, "
         f"cast(count(*) filter (where {c} is null) as bigint) as nulls, "
         f"{rr(f'count(*) filter (where {c} is null) * 100', 'count(*)', 2)} as null_pct, "

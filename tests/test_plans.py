@@ -39,3 +39,28 @@ def test_scans_are_bounded(spark):
         assert R.unified_checks(u)._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_breakdowns_join_orders_and_customers_once(spark):
+    from mercato.params import FIXTURE_PARAMS as P
+    from mercato.plans import views as V
+    from mercato.plans.registry import star_for
+    from mercato.sources.star import stored
+
+    s = stored(star_for(spark, "/root/testdata/sf0.001"))
+    plan = V.cancellation_analysis(s, P)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 4  # orders, customers, items, products
+    assert plan.count("customer_state") and "grouping_id" in plan.lower()
+
+
+def test_profile_of_zeros_nulls_and_an_empty_table(spark):
+    from mercato.plans.quality import profile_table
+
+    df = spark.createDataFrame([(0.0, "a"), (-0.0, None), (1.5, "a"), (1.5, "a"), (None, "")], "x double, t string")
+    got = {r.column_name: r for r in profile_table("t", df).collect()}
+    assert (got["x"].rows, got["x"].nulls, got["x"].distinct_values, got["x"].dtype) == (5, 1, 2, "double")
+    assert (got["t"].nulls, got["t"].distinct_values, got["t"].dtype, got["t"].duplicate_rows) == (1, 2, "string", 1)
+    empty = profile_table("t", df.limit(0)).collect()
+    assert [(r.rows, r.nulls, r.distinct_values) for r in empty] == [(0, 0, 0)] * 2
+    plan = profile_table("t", df)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
