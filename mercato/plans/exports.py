@@ -1,5 +1,6 @@
 """The six dashboard extracts plus the unified table, written as CSV
-with a per-file row/column report and a read-back check (S4-S8)."""
+with a per-file row/column/digest report, taken in the write pass, and a
+read-back check of the content (S4-S8)."""
 
 from __future__ import annotations
 
@@ -47,9 +48,9 @@ def export_extracts(spark: SparkSession, s: Star, p: Params, out_dir: str, bom:
         path = f"{out_dir.rstrip('/')}/{target}/{name}"
         small = name in SMALL
         stats = raw_io.observed_write(df, path, bom=bom and small)
-        back = raw_io.read_back_check(spark, path, stats["rows"], df.columns)
-        return (name, target, stats["rows"], stats["cols"], back["ok"])
+        back = raw_io.read_back_check(spark, path, stats, df.columns)
+        return (name, target, stats["rows"], stats["cols"], stats["digest"], back["ok"])
 
     # independent extracts: submitted as concurrent Spark jobs
     report = run_concurrently(spark, [lambda it=it: one(it) for it in extracts(s, p).items()], max_workers=4)
-    return spark.createDataFrame(report, "file string, destination string, rows long, cols int, read_back_ok boolean")
+    return spark.createDataFrame(report, "file string, destination string, rows long, cols int, digest string, read_back_ok boolean")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
@@ -90,9 +90,27 @@ def read_raw(spark: SparkSession, raw_dir: str, files: dict | None = None) -> Ra
 
 
 # ------------------------------------------------------------ sinks
+#: Cells keep their white space.
+KEEP_SPACE = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def as_text(df: DataFrame) -> DataFrame:
+    """Every cell as the text that the file holds."""
+    return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
+
+
+def content(df: DataFrame) -> list:
+    """Aggregates that tell what a table of text cells holds, whatever its
+    order: rows and a digest, the sum of a 64-bit hash of every row.  A missing
+    cell counts as empty text, as a CSV file does not tell them apart."""
+    cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in df.columns]
+    return [F.count(F.lit(1)).alias("rows"),
+            F.coalesce(F.sum(F.xxhash64(*cells).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest")]
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Headered CSV, idempotent overwrite, written in parallel."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").options(header=True, escape='"', **KEEP_SPACE).csv(path)
 
 
 def write_csv_bom(df: DataFrame, path: str) -> None:
@@ -104,7 +122,7 @@ def write_csv_bom(df: DataFrame, path: str) -> None:
     partition order of a sorted frame); the header gets -1, and the single
     output partition is sorted by that key."""
     spark = df.sparkSession
-    opts = {"quoteAll": "true", "escape": '"'}
+    opts = {"quoteAll": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
     header = spark.range(1).select(F.lit("\ufeff" + ",".join(f'"{c}"' for c in df.columns)).alias("value"),
                                    F.lit(-1).cast("long").alias("k"))
     body = df.select(F.to_csv(F.struct(*[F.col(c) for c in df.columns]), opts).alias("value"),
@@ -114,17 +132,22 @@ def write_csv_bom(df: DataFrame, path: str) -> None:
 
 
 def observed_write(df: DataFrame, path: str, bom: bool = False) -> dict:
-    """Write an extract and report its shape, counted independently of the
-    file that the read-back check counts.  Nothing is persisted on executors."""
-    (write_csv_bom if bom else write_csv)(df, path)
-    return {"rows": df.count(), "cols": len(df.columns)}
-
-
-def read_back_check(spark: SparkSession, path: str, expected_rows: int, expected_cols: list[str],
-                    bom: bool = False) -> dict:
-    """Re-read a written extract and compare its shape."""
-    back = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-            .option("encoding", "UTF-8").csv(path))
+    """Write an extract and report its shape and content digest, both
+    observed in the write itself: the extract is computed once."""
+    text = as_text(df)
+    seen = Observation()
+    rows, digest = content(text)
+    (write_csv_bom if bom else write_csv)(text.observe(seen, rows, digest), path)
+    return {"rows": seen.get["rows"], "cols": len(df.columns), "digest": seen.get["digest"]}
+
+
+def read_back_check(spark: SparkSession, path: str, expected: dict, expected_cols: list[str], multi_line: bool = False) -> dict:
+    """Re-read a written extract and compare columns, rows and content with
+    what ``observed_write`` saw.  Cells with line breaks need ``multi_line``,
+    which reads each file in one task; other files are split."""
+    back = (spark.read.options(header=True, multiLine=multi_line, escape='"', encoding="UTF-8", **KEEP_SPACE).csv(path))
     cols = [c.lstrip("\ufeff") for c in back.columns]
-    rows = back.count()
-    return {"path": path, "rows": rows, "cols": cols, "ok": rows == expected_rows and cols == list(expected_cols)}
+    got = back.toDF(*cols)
+    got = got.agg(*content(got)).first()
+    ok = cols == list(expected_cols) and (got["rows"], got["digest"]) == (expected["rows"], expected["digest"])
+    return {"path": path, "rows": got["rows"], "cols": cols, "digest": got["digest"], "ok": ok}

@@ -11,13 +11,48 @@ def test_bom_extract_roundtrip(spark, tmp_path):
     df = spark.createDataFrame([(1, 'say "hi"', 2.5), (2, "a,b", None)], "id int, txt string, v double").orderBy("id")
     path = str(tmp_path / "x")
     stats = raw_io.observed_write(df, path, bom=True)
-    assert stats == {"rows": 2, "cols": 3}
+    assert (stats["rows"], stats["cols"]) == (2, 3)
     files = [p for p in (tmp_path / "x").iterdir() if p.name.startswith("part-")]
     assert len(files) == 1
     raw = files[0].read_bytes()
     assert raw.startswith(codecs.BOM_UTF8 + b'"id","txt","v"')
     assert b'"say ""hi"""' in raw
-    assert raw_io.read_back_check(spark, path, 2, ["id", "txt", "v"])["ok"]
+    assert raw_io.read_back_check(spark, path, stats, ["id", "txt", "v"])["ok"]
+
+
+def _extract(spark):
+    return spark.range(2000).selectExpr("id", "concat('n', id % 7, ' ') as name", "if(id % 5 = 0, null, id / 4) as v",
+                                        "timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) as t")
+
+
+def test_extract_is_computed_once_and_its_content_checked(spark, tmp_path):
+    path, df = str(tmp_path / "x"), _extract(spark)
+    spark.sparkContext.setJobGroup("one-write", "one-write")
+    try:
+        stats = raw_io.observed_write(df, path)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("one-write")
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert len(jobs) == 1 and stats["rows"] == 2000
+    assert raw_io.read_back_check(spark, path, stats, df.columns)["ok"]
+    # the same rows in another order and partitioning are the same content
+    raw_io.write_csv(raw_io.as_text(df.repartition(5)), path)
+    assert raw_io.read_back_check(spark, path, stats, df.columns)["ok"]
+    # two cells of one column change places: rows, columns and every column's values stay
+    swapped = df.withColumn("name", F.expr("case id when 1 then 'n2 ' when 2 then 'n1 ' else name end"))
+    raw_io.write_csv(raw_io.as_text(swapped), path)
+    back = raw_io.read_back_check(spark, path, stats, df.columns)
+    assert back["rows"] == stats["rows"] and not back["ok"]
+
+
+def test_missing_and_repeated_rows_and_other_columns_are_found(spark, tmp_path):
+    path, df = str(tmp_path / "x"), _extract(spark)
+    stats = raw_io.observed_write(df, path)
+    for other in (df.where("id <> 5"), df.where("id <> 5").unionByName(df.where("id = 6")), df.withColumnRenamed("v", "w")):
+        raw_io.write_csv(raw_io.as_text(other), path)
+        assert not raw_io.read_back_check(spark, path, stats, df.columns)["ok"]
+    empty = raw_io.observed_write(df.limit(0), path)
+    assert empty["rows"] == 0
 
 
 def test_read_raw_orders_bad_timestamp_is_null(spark, tmp_path):
