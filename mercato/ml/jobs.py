@@ -1,18 +1,17 @@
 """Registered ML jobs.
 
-A training is a folder of artefacts in the shared checkpoint folder: the
-models and the scores of the holdout.  Its name is a digest of the parameters
-that fitting uses and of the input rows, so another parameter or changed data
-never meets an old model, and nothing is kept in this module.  Thresholds are
-applied to the stored probabilities.
+A training is a published run of the model store (see mercato.ml.store) in the
+shared folder: the models, their input rows and the scores of the holdout.
+It is found by the parameters that fitting uses and the version of every
+table it reads, so another parameter or changed data never meets an old
+model, and nothing is kept in this module.  Thresholds are applied to the
+stored probabilities.
 """
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 from mercato.functions.hashing import id_unit
 from mercato.functions.numeric import round_ratio
 from mercato.ml import pipeline as M
+from mercato.ml.store import Manifest, ModelStore, now, table_version
 from mercato.params import Params
 from mercato.plans import views as V
 from mercato.session import ensure_checkpoint_dir
@@ -71,41 +71,41 @@ class Training:
         return M.flagged(x.select("order_id", "label", "p_late"), threshold)
 
 
-def _digest(s: Star, p: Params, tag: str) -> str:
-    """Name of a training: what it is fitted with and on."""
-    rows = []
-    for df in (s.fact_orders, s.fact_order_items, s.dim_products):
-        got = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
-        rows.append(tuple(map(str, got)))
-    same_fit = p.with_(threshold=0.5, risk_top_k=10, cold_start_orders=10, segment_filter=None)
-    return hashlib.sha256(repr((tag, same_fit, rows)).encode()).hexdigest()[:24]
+#: Tables of the star that the features read.
+INPUTS = ("fact_orders", "fact_order_items", "dim_products", "dim_customers")
+
+
+def _identity(s: Star, p: Params, tag: str) -> tuple[str, str, dict[str, str]]:
+    """(key, parameters, input versions) of a training: what it is fitted with and on."""
+    inputs = {name: table_version(getattr(s, name)) for name in INPUTS}
+    same_fit = repr(p.with_(threshold=0.5, risk_top_k=10, cold_start_orders=10, segment_filter=None))
+    return ModelStore.key(tag, same_fit, inputs), same_fit, inputs
 
 
 def training(s: Star, p: Params, temporal: bool = False, path: str | None = None) -> Training:
-    """The training of these rows and parameters, fitted if it is not there."""
+    """The training of these rows and parameters, fitted if it is not published.
+    ``path`` is the store's folder, by default one in the shared folder."""
     spark = s.fact_orders.sparkSession
-    path = path or (f"{ensure_checkpoint_dir(spark).rstrip('/')}/training-"
-                    f"{_digest(s, p, 'temporal' if temporal else 'split')}")
-    done = Training(path, not temporal)
-    try:
-        spark.read.parquet(f"{path}/scores").schema  # written last
-        return done
-    except AnalysisException:
-        pass
+    store = ModelStore(spark, path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/models")
+    tag = "temporal" if temporal else "split"
+    key, parameters, inputs = _identity(s, p, tag)
+    if (known := store.find(key)) is not None:
+        return Training(known.run, not temporal)
+    run = store.new_run()
     frame = features_asof(s, p) if temporal else features(s, p)
-    frame.write.mode("overwrite").parquet(f"{path}/frame")
-    frame = spark.read.parquet(f"{path}/frame")
+    frame.write.parquet(f"{run}/frame")
+    frame = spark.read.parquet(f"{run}/frame")
     split = M.temporal_split(frame, s.fact_orders, p.temporal_cutoff) if temporal else None
     f = M.fit(frame, p, logistic=not temporal, num_trees=p.num_trees, split=split)
-    M.save_model(f.forest, f"{path}/forest")
+    M.save_model(f.forest, f"{run}/forest")
     scored = M.probabilities(f.forest, f.test).withColumnRenamed("p_late", "p_forest")
     if f.logistic is not None:
-        M.save_model(f.logistic, f"{path}/logistic")
+        M.save_model(f.logistic, f"{run}/logistic")
         scored = M.probabilities(f.logistic, scored).withColumnRenamed("p_late", "p_logistic")
     keep = ["order_id", "label", "p_forest"] + (["p_logistic"] if f.logistic is not None else [])
-    scored.select(*keep).write.mode("overwrite").parquet(f"{path}/scores")
-    done.seconds = f.seconds
-    return done
+    scored.select(*keep).write.parquet(f"{run}/scores")
+    counts = store.publish(Manifest(key, run, now(), tag, inputs, parameters))
+    return Training(counts.run, not temporal, f.seconds)
 
 
 def split_summary(s: Star, p: Params) -> DataFrame:
@@ -163,8 +163,9 @@ def batch_scores(s: Star, p: Params) -> DataFrame:
 
 
 def score_saved(s: Star, p: Params, path: str) -> DataFrame:
-    """The orders of ``s``, whatever the saved model was fitted on, scored with it."""
-    return M.cold_start(M.score(M.load_model(f"{path}/forest"), features(s, p), p.threshold), p)
+    """The orders of ``s``, whatever the latest model of the store at ``path`` was fitted on, scored with it."""
+    run = ModelStore(_spark(s), path).latest().run
+    return M.cold_start(M.score(M.load_model(f"{run}/forest"), features(s, p), p.threshold), p)
 
 
 def daily_top_risk(s: Star, p: Params) -> DataFrame:

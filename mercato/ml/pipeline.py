@@ -16,7 +16,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mercato.functions.hashing import BITS, id_bits
@@ -139,6 +139,15 @@ class Fitted:
     seconds: dict | None = None
 
 
+def _without_summary(model: PipelineModel) -> PipelineModel:
+    """The model without its training summary, which holds the session: a session that has observed a write
+    cannot be sent to the tasks."""
+    fitted = model.stages[-1]._java_obj
+    if fitted.hasSummary():
+        fitted.setSummary(SparkSession.active()._jvm.scala.Option.empty())
+    return model
+
+
 def fit(df: DataFrame, p: Params, logistic: bool = True, num_trees: int = 300, split=None) -> Fitted:
     import time
 
@@ -146,12 +155,12 @@ def fit(df: DataFrame, p: Params, logistic: bool = True, num_trees: int = 300, s
     train_w = with_balanced_weights(train).cache()
     wsum = train_w.agg(F.sum("weight")).first()[0]  # also materialises the cached training rows
     t = time.perf_counter()
-    forest = forest_pipeline(p, num_trees).fit(train_w)
+    forest = _without_summary(forest_pipeline(p, num_trees).fit(train_w))
     seconds = {"forest_fit": time.perf_counter() - t}
     lr_model = None
     if logistic:
         t = time.perf_counter()
-        lr_model = logistic_pipeline(p, wsum).fit(train_w)
+        lr_model = _without_summary(logistic_pipeline(p, wsum).fit(train_w))
         seconds["logistic_fit"] = time.perf_counter() - t
     train_w.unpersist()
     return Fitted(forest, lr_model, train, test, seconds=seconds)

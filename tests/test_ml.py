@@ -154,9 +154,15 @@ def test_results_follow_parameters_and_data(spark):
     a = {(r.label, r.prediction): r["count"] for r in jobs.confusion(s, p).collect()}
     b = {(r.label, r.prediction): r["count"] for r in jobs.confusion(s, p.with_(threshold=0.05)).collect()}
     assert a != b
-    assert jobs._digest(s, p.with_(test_fraction=0.3), "split") != jobs._digest(s, p, "split")
-    s.fact_orders = s.fact_orders.limit(500)
-    assert jobs._digest(s, p, "split") not in first.path
+    key = jobs._identity(s, p, "split")[0]
+    again = star_for(spark, "/root/testdata/sf0.001")
+    assert jobs._identity(again, p, "split")[0] == key and jobs.training(again, p).path == first.path
+    assert jobs._identity(s, p.with_(test_fraction=0.3), "split")[0] != key
+    # customers of another state change the features, so they make another training
+    s.dim_customers = s.dim_customers.withColumn("customer_state", F.lit("XX"))
+    assert jobs._identity(s, p, "split")[0] != key
+    other = jobs.training(s, p)
+    assert other.seconds and other.path != first.path
     rows = jobs.validated_threshold(star_for(spark, "/root/testdata/sf0.001"), p).collect()
     assert len(rows) == 2 and sum(r.support for r in rows) > 0 and rows[0].accuracy is not None
 
@@ -170,3 +176,28 @@ def test_train_and_score_commands(spark, tmp_path):
     jobs.training(s, p, path=str(tmp_path / "late"))
     scored = jobs.score_saved(s, p, str(tmp_path / "late"))
     assert scored.count() == jobs.features(s, p).count() and "cold_start_seller" in scored.columns
+
+
+def test_store_reads_published_runs_only(spark, tmp_path):
+    from mercato.ml.store import Manifest, ModelStore, table_version
+
+    store = ModelStore(spark, str(tmp_path / "store"))
+    assert store.find("k") is None and store.manifests() == []
+    half = store.new_run()
+    spark.range(3).write.parquet(f"{half}/scores")  # a driver that was lost before it published
+    assert store.find("k") is None
+    runs = [store.new_run() for _ in range(2)]
+    for r in runs:
+        spark.range(3).write.parquet(f"{r}/scores")
+    first = store.publish(Manifest("k", runs[0], 5, "split", {"t": "1"}, "p"))
+    second = store.publish(Manifest("k", runs[1], 9, "split", {"t": "1"}, "p"))  # a slower writer
+    assert first.run == second.run == runs[0] == store.find("k").run
+    assert not (tmp_path / "store" / "runs" / runs[1].rsplit("/", 1)[1]).exists()
+    store.publish(Manifest("l", half, 11, "split", {"t": "2"}, "p"))
+    assert store.latest().run == half and [m.key for m in store.manifests()] == ["k", "l"]
+    # a table's version follows its files
+    spark.range(5).write.parquet(str(tmp_path / "t"))
+    one = table_version(spark.read.parquet(str(tmp_path / "t")))
+    assert one == table_version(spark.read.parquet(str(tmp_path / "t")))
+    spark.range(6).write.mode("overwrite").parquet(str(tmp_path / "t"))
+    assert one != table_version(spark.read.parquet(str(tmp_path / "t")))
