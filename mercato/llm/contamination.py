@@ -4,9 +4,11 @@ Texts become sequences of word numbers.  Each slice of documents is a shard:
 its suffixes that begin with a benchmark word are sorted (the suffix array;
 other suffixes cannot begin any match), and every benchmark suffix that is
 long enough for a window is looked up by binary search.  The range found
-holds all places where the window stands; runs of windows along the same
-diagonal are one longest verbatim match.  Matches found through word hashes
-are compared word by word before they count.
+holds all places where the window stands.  A longest verbatim match begins at
+a pair of places whose words before differ and ends at one whose words after
+differ; only these pairs are listed, by leaving out of each range the places
+with the same neighbouring word, so repeated words do not multiply.  Words
+that matched through their hashes are compared before they count.
 
 The benchmark is cut into blocks of bounded size; each block is sent to the
 tasks and takes one narrow pass over the documents, whatever the number of
@@ -36,6 +38,9 @@ WINDOW = 10
 #: Bytes of benchmark text in one block; a block is what is sent to the tasks.
 BLOCK_BYTES = 16 << 20
 
+#: What stands for the neighbour of an item's or a text's outermost word.
+OUTSIDE_ITEM, OUTSIDE_TEXT = -1, -2
+
 WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -62,8 +67,11 @@ class TestBlock:
                 self.words.append(words)
         joined = pa.array([b" ".join(w).decode("utf-8", "surrogateescape") for w in self.words], pa.string())
         data, offsets = text_buffer(joined)
-        hashes, _, _, rows = hashed_words(data, offsets, *ITEM_WORDS)
-        self.vocabulary = np.unique(hashes)
+        hashes, begin, end, rows = hashed_words(data, offsets, *ITEM_WORDS)
+        self.vocabulary, first_seen = np.unique(hashes, return_index=True)
+        raw = data.tobytes()
+        #: the words by their numbers
+        self.spelled = [b""] + [raw[begin[k]:end[k]] for k in first_seen.tolist()]
         self.bits = max(1, int(len(self.vocabulary) + 1).bit_length())
         self.per_key = max(1, 63 // self.bits)
         self.n_keys = -(-window // self.per_key)
@@ -83,6 +91,10 @@ class TestBlock:
         ends = first[1:]
         starts = first[self.item] + self.place if len(item) else np.zeros(0, np.int64)
         stop = np.minimum(starts + self.size, ends[self.item]) if len(item) else starts
+        # the words before and after each window; none outside the item
+        around = np.concatenate([[0], numbers, [0]])
+        self.before = np.where(starts > first[self.item], around[starts], OUTSIDE_ITEM) if len(item) else starts
+        self.after = np.where(stop < ends[self.item], around[np.minimum(stop + 1, len(around) - 1)], OUTSIDE_ITEM) if len(item) else stop
         self.low = self.keys(numbers, starts, stop, 0)
         self.high = self.keys(numbers, starts, stop, (1 << self.bits) - 1)
 
@@ -170,6 +182,25 @@ class TestBlock:
         return lo
 
 
+def other_neighbours(low: np.ndarray, high: np.ndarray, wanted: np.ndarray, group: np.ndarray,
+                     neighbour: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(search, place in the suffix array) of all places in the ranges [low,
+    high) whose neighbouring word is not the wanted one.  ``group`` numbers the
+    equal suffixes, in their order; a range is one group, or several if its
+    wanted word is outside every text."""
+    order = np.lexsort((neighbour, group))
+    shift = OUTSIDE_TEXT
+    span = int(max(neighbour.max(initial=0), wanted.max(initial=0))) - shift + 1
+    key = group[order] * span + (neighbour[order] - shift)
+    mine = group[low] * span + (wanted - shift)
+    same_from = np.clip(np.searchsorted(key, mine, "left"), low, high)
+    same_to = np.clip(np.searchsorted(key, mine, "right"), same_from, high)
+    begin, size = np.concatenate([low, same_to]), np.concatenate([same_from - low, high - same_to])
+    who = np.repeat(np.concatenate([np.arange(len(low))] * 2), size)
+    at = np.arange(len(who)) - np.repeat(np.cumsum(size) - size - begin, size)
+    return who, order[at]
+
+
 def find_matches(block: TestBlock, texts: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, int, int, int]]]]:
     """Number of words of each text, and its longest matches with the block as
     (item number, first word in the text, first word in the item, words)."""
@@ -180,37 +211,54 @@ def find_matches(block: TestBlock, texts: pa.Array) -> tuple[np.ndarray, list[li
     if not len(hashes) or not len(block.item):
         return n_words, found
     first = np.concatenate([[0], np.cumsum(n_words)])
-    numbers = block.numbers(hashes)
-    if not numbers.any():
-        return n_words, found
+    numbers, raw = block.numbers(hashes), data.tobytes()
+    while numbers.any():
+        item, row_place, item_place, size = _diagonals(block, numbers, first, rows)
+        if not len(item):
+            break
+        # every word that lies in a match is compared once
+        depth = np.zeros(len(numbers) + 1, np.int64)
+        np.add.at(depth, row_place, 1)
+        np.add.at(depth, row_place + size, -1)
+        inside = np.flatnonzero(np.cumsum(depth[:-1]) > 0)
+        wrong = [k for k, a, b, w in zip(inside.tolist(), starts[inside].tolist(), ends[inside].tolist(), numbers[inside].tolist())
+                 if raw[a:b].translate(LOWER) != block.spelled[w]]
+        if wrong:  # another word with the same hash: it is no benchmark word
+            numbers[wrong] = 0
+            continue
+        row = rows[row_place]
+        for r, k, w, p, n in zip(row.tolist(), item.tolist(), (row_place - first[row]).tolist(), item_place.tolist(), size.tolist()):
+            found[r].append((k, w, p, n))
+        break
+    return n_words, found
+
+
+def _diagonals(block: TestBlock, numbers: np.ndarray, first: np.ndarray, rows: np.ndarray):
+    """Longest matches: (item, word among all texts, word in the item, words), by item and diagonal."""
     places, keys = block.suffix_array(numbers, first[1:][rows])
     low = block.search(keys, block.low, after=False)
     high = block.search(keys, block.high, after=True)
     hit = np.flatnonzero(low < high)
     if not len(hit):
-        return n_words, found
-    counts = high[hit] - low[hit]
-    window = np.repeat(hit, counts)
-    where = places[np.repeat(low[hit], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
-    item, place, size = block.item[window], block.place[window], block.size[window]
-    # windows of one item on one diagonal that follow each other are one match
-    order = np.lexsort([where, place - where, item])
-    item, place, size, where = item[order], place[order], size[order], where[order]
-    head = np.ones(len(order), bool)
-    head[1:] = (item[1:] != item[:-1]) | (where[1:] != where[:-1] + 1) | (place[1:] != place[:-1] + 1) \
-        | (rows[where[1:]] != rows[where[:-1]])
-    at = np.flatnonzero(head)
-    last = np.append(at[1:], len(order)) - 1
-    raw = data.tobytes()
-    for a, b in zip(at.tolist(), last.tolist()):
-        k, w, p = int(item[a]), int(where[a]), int(place[a])
-        n = int(where[b]) - w + int(size[b])
-        row = int(rows[w])
-        same = [raw[s:e].translate(LOWER) == word for s, e, word in
-                zip(starts[w:w + n].tolist(), ends[w:w + n].tolist(), block.words[k][p:p + n])]
-        if all(same) and len(same) == n:
-            found[row].append((k, w - int(first[row]), p, n))
-    return n_words, found
+        return hit, hit, hit, hit
+    low, high, size = low[hit], high[hit], block.size[hit]
+    fresh = np.zeros(len(places), bool)
+    for key in keys:
+        fresh[1:] |= key[1:] != key[:-1]
+    group = np.cumsum(fresh)
+    before = np.where(places > first[rows[places]], numbers[places - 1], OUTSIDE_TEXT)
+    after_at = places + block.window
+    after = np.where(after_at < first[rows[places] + 1], numbers[np.minimum(after_at, len(numbers) - 1)], OUTSIDE_TEXT)
+    ends = []
+    for wanted, neighbour in ((block.before[hit], before), (block.after[hit], after)):
+        who, at = other_neighbours(low, high, wanted, group, neighbour)
+        where, place = places[at], block.place[hit][who]
+        item, diagonal = block.item[hit][who], where - place
+        order = np.lexsort((where, diagonal, item))
+        ends.append((item[order], diagonal[order], where[order], size[who][order]))
+    # on a diagonal of an item the first and the last windows of its matches take turns
+    (item, diagonal, begin, _), (_, _, last, width) = ends
+    return item, begin, begin - diagonal, last + width - begin
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):

@@ -1,10 +1,13 @@
 """Suffix-array decontamination against brute force and its SQL."""
 
 import random
+import tracemalloc
 
 import pyarrow as pa
+import pytest
 
 from mercato.llm import contamination as C
+from mercato.llm.contamination import TestBlock, find_matches, words_of
 
 
 def brute(text, items, window=10):
@@ -88,3 +91,48 @@ def test_blocks_agree_and_edges(spark):
     assert {r.doc_id for r in kept.collect()} == {None, 3}
     assert C.report(docs.limit(0), items).count() == 0
     assert {r.n_hit for r in C.report(docs, items.limit(0)).collect()} == {0}
+
+
+def plain_matches(items, texts, window):
+    """All longest diagonal matches by comparing every pair of places."""
+    out = []
+    for t in texts:
+        w, found = words_of((t or "").encode()), set()
+        for item, x in items:
+            v = words_of((x or "").encode())
+            n = min(window, len(v))
+            hits = {(a, b) for a in range(len(w) - n + 1) for b in range(len(v) - n + 1) if n and w[a:a + n] == v[b:b + n]}
+            for a, b in hits:
+                if (a - 1, b - 1) not in hits:
+                    k = 0
+                    while (a + k, b + k) in hits:
+                        k += 1
+                    found.add((item, a, b, k + n - 1))
+        out.append(found)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_longest_matches_of_repeated_words_equal_brute_force(seed):
+    rnd = random.Random(seed)
+    letters, window = rnd.choice(["a", "ab", "abc"]), rnd.choice([2, 3, 10])
+    text = lambda most: " ".join(rnd.choice(letters) * rnd.choice([1, 1, 2]) for _ in range(rnd.randint(0, most)))
+    items = [(str(k), rnd.choice([None, text(14), text(30)])) for k in range(rnd.randint(0, 4))]
+    texts = [rnd.choice([None, text(40), text(40) + " zz " + text(10)]) for _ in range(4)]
+    block = TestBlock(items, window)
+    _, found = find_matches(block, pa.array(texts, pa.string()))
+    got = [[(block.ids[k], w, p, n) for k, w, p, n in row] for row in found]
+    assert [set(g) for g in got] == plain_matches(items, texts, window)
+    assert all(len(g) == len(set(g)) for g in got)
+
+
+def test_a_long_text_of_one_word_is_linear_in_time_and_memory():
+    block = TestBlock([("x", "same " * 2_000)], 10)
+    tracemalloc.start()
+    try:
+        _, found = find_matches(block, pa.array(["same " * 200_000]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found[0]) == 200_000 + 2_000 - 19 and max(m[3] for m in found[0]) == 2_000
+    assert peak < 300 << 20
