@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType)
@@ -85,6 +86,9 @@ FAMILIES = {
 }
 STRICTNESS = ("public-domain", "permissive", "weak-copyleft", "copyleft", "restricted")
 
+#: Family of an identifier that no prefix is known for.
+UNKNOWN = "unknown"
+
 TAG_WORDS = "spdx license identifier"
 TAG = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]*)", re.IGNORECASE)
 TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9.+:\-]+)")
@@ -159,13 +163,14 @@ def family(identifier: str) -> tuple[str, int] | None:
 
 
 def evaluate(postfix: list[str]) -> tuple[set[str], int | None]:
-    """(families named, strictness) of an expression in postfix form; an
-    unknown identifier names no family and has no strictness."""
+    """(families named, strictness) of an expression in postfix form.  An
+    unknown identifier names the family ``unknown`` and has no strictness; with
+    AND nothing is known of the whole then, with OR the known side may be chosen."""
     stack: list[tuple[set[str], int | None]] = []
     for token in postfix:
         if token not in PRECEDENCE:
             known = family(token)
-            stack.append(({known[0]}, known[1]) if known else (set(), None))
+            stack.append(({known[0]}, known[1]) if known else ({UNKNOWN}, None))
             continue
         right, left = stack.pop(), stack.pop()
         if token == "with":
@@ -173,8 +178,11 @@ def evaluate(postfix: list[str]) -> tuple[set[str], int | None]:
             stack.append((left[0], level - 1 if level in (2, 3) else level))
             continue
         levels = [x for x in (left[1], right[1]) if x is not None]
-        pick = min if token == "or" else max
-        stack.append((left[0] | right[0], pick(levels) if levels else None))
+        if token == "and":
+            level = max(levels) if len(levels) == 2 else None
+        else:
+            level = min(levels, default=None)
+        stack.append((left[0] | right[0], level))
     return stack[-1]
 
 
@@ -188,6 +196,12 @@ def read_tag(expression: str) -> tuple[set[str], int | None, bool]:
         return {k[0] for k in named if k}, None, False
 
 
+def word_starts(data: bytes) -> np.ndarray:
+    """Places of a text in lower-case words and spaces where a word begins."""
+    inside = np.frombuffer(data, np.uint8) != 32
+    return np.flatnonzero(inside & ~np.append(False, inside[:-1])) if len(inside) else np.zeros(0, np.int64)
+
+
 class Scanner:
     """All phrases in one automaton over a text's words."""
 
@@ -203,13 +217,14 @@ class Scanner:
     def scan(self, text: str) -> dict:
         words = text.encode("utf-8").translate(AS_WORDS).split()
         joined = b" " + b" ".join(words) + b" "
+        begins = word_starts(joined)
         doubts: dict[tuple[str, str], float] = {}
         base, notices, tagged, starts, findings = set(), set(), False, [], []
         for end, (kind, label, size) in self.automaton.iter(joined.decode("latin-1")):
             if kind == "tag":
                 tagged = True
                 continue
-            at = joined.count(b" ", 0, end + 1 - size)
+            at = int(np.searchsorted(begins, end + 2 - size))  # the phrase's own space stands before its word
             findings.append({"kind": kind, "label": label, "first_word": at})
             doubts[kind, label] = DOUBT_PHRASE
             if kind == "base":
@@ -219,13 +234,16 @@ class Scanner:
                 notices.add(label)
         strictest = None
         if tagged:
+            own, seen, upto = word_starts(text.encode("utf-8").translate(AS_WORDS)), 0, 0
             for match in TAG.finditer(text):
+                seen += len(text[upto:match.start()].encode("utf-8"))  # bytes before the tag, each counted once
+                upto = match.start()
+                places = int(np.searchsorted(own, seen))
                 families, level, whole = read_tag(match.group(1))
                 notices |= families
                 for label in families:
                     doubts["tag", label] = min(doubts.get(("tag", label), 1.0), DOUBT_TAG if whole else DOUBT_BROKEN_TAG)
-                    findings.append({"kind": "tag", "label": label,
-                                     "first_word": len(text[:match.start()].encode().translate(AS_WORDS).split())})
+                    findings.append({"kind": "tag", "label": label, "first_word": places})
                 if level is not None:
                     strictest = level if strictest is None else max(strictest, level)
         doubt = 1.0

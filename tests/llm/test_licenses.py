@@ -1,6 +1,7 @@
 """Licence scans against a plain search, and the expression parser."""
 
 import re
+import time
 
 import pytest
 
@@ -40,7 +41,7 @@ def test_base_edges(text):
     ("GPL-2.0-only WITH Classpath-exception-2.0", {"gpl"}, 2),
     ("MIT OR GPL-3.0-or-later AND CC-BY-NC-4.0", {"mit", "gpl", "cc-by-nc"}, 1),
     ("(MIT OR GPL-3.0-or-later) AND CC-BY-NC-4.0", {"mit", "gpl", "cc-by-nc"}, 4),
-    ("LicenseRef-own or mpl-2.0", {"mpl"}, 2),
+    ("LicenseRef-own or mpl-2.0", {"mpl", "unknown"}, 2),
     ("lgpl-2.1+ */", {"lgpl"}, 2),
 ])
 def test_expressions(expression, families, level):
@@ -68,3 +69,19 @@ def test_nulls_repeats_and_clashing_columns(spark):
     rows = L.scan(df).collect()
     assert sorted((r.labels, r.first_word is None) for r in rows) == [("", True), ("mit", False), ("mit", False)]
     assert L.scan(df.limit(0)).count() == 0
+
+
+def test_long_text_of_phrases_and_tags():
+    text = "x mit license " * 150_000 + "\n" + "SPDX-License-Identifier: MIT OR Apache-2.0 é\n" * 20_000
+    began = time.process_time()
+    got = L.Scanner().scan(text)
+    assert time.process_time() - began < 60  # seconds; a quadratic scan takes many minutes
+    assert (got["n_base"], got["first_word"], got["last_word"]) == (150_000, 1, 449_998)
+    tags = [f["first_word"] for f in got["findings"] if f["kind"] == "tag" and f["label"] == "mit"]
+    assert tags[:3] == [450_000, 450_009, 450_018] and len(tags) == 20_000
+
+
+def test_unknown_identifiers():
+    assert L.read_tag("MIT AND Proprietary-Foo") == ({"mit", "unknown"}, None, True)
+    assert L.read_tag("CDDL-1.0 OR WTFPL") == ({"unknown"}, None, True)
+    assert L.read_tag("Artistic-2.0 OR MIT") == ({"mit", "unknown"}, 1, True)
