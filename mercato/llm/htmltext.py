@@ -10,7 +10,9 @@ paths.  The article is the deepest container that holds all nodes of content
 paths (the article or main element around it, if there is one; several
 articles if each such node is in one), and its text is every node in it that
 is not part of a menu, header, footer, sidebar, notice, advert, form or
-comment section.
+comment section.  Such parts are known by their element, role or name; a name
+counts only as a whole, never for headings and paragraphs of an article, and
+for its sections only if it has no second meaning.
 
 Everything inside the article stays, short blocks too.  NULL and empty pages,
 and pages without such text, give the empty text; broken mark-up (unclosed
@@ -27,6 +29,7 @@ import html
 import math
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -57,11 +60,22 @@ ITEM_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"
 INLINE_SCOPE_END = BLOCKS - {"p"}
 BOILERPLATE = set("nav footer aside form button menu dialog fieldset input label".split())
 BOILERPLATE_ROLES = set("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search".split())
-NAMES = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|byline-ads|comments?|commentlist|consent|cookies?|copyright|"
-    r"discussion|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|"
-    r"pagination|popup|promo\w*|recommended|related|replies|respond|responses|search|share|sharing|sidebar|signup|skip|"
-    r"social|sponsor\w*|subscribe|toolbar|topbar|widget)(?:$|[-_\s])", re.IGNORECASE)
+# Words of class and id names that mark what is no article text, those of them that may as well name a
+# part of an article, and words of layout that may stand beside either.
+CLEAR_NAMES = set(
+    "ad ads advert adverts advertisement advertisements advertising banner breadcrumb breadcrumbs comment comments "
+    "commentlist consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation "
+    "newsletter notification pagination popup promo promos promoted promotion recommended sidebar signup skip sponsor "
+    "sponsored sponsors subscribe toolbar topbar widget".split())
+UNCLEAR_NAMES = set("discussion header notice notices related replies respond responses search share sharing social".split())
+LAYOUT_NAMES = set(
+    "articles area bar block bottom box btn button buttons byline container content count entry feed form fixed global "
+    "group holder icon icons inner item items left link links list main media more nav outer overlay page panel post posts "
+    "primary right row secondary section side site slot small sticky stories strip tags thread title tool tools top unit "
+    "us wrap wrapper".split())
+NAME_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
+#: Elements that are part of a text whatever their name, and one of which only a clear name counts in an article.
+TEXT_ELEMENTS, SECTIONS = set("h1 h2 h3 h4 h5 h6 p".split()), {"section"}
 NEVER_BY_NAME = {"html", "body", "article", "main"}
 
 MARKUP = re.compile(
@@ -101,6 +115,20 @@ class Page:
     paths: dict[tuple[int, str], int] = field(default_factory=dict)
 
 
+@lru_cache(1 << 16)
+def named(value: str) -> int:
+    """What a class or id attribute tells: 2 that this is no article text, 1
+    that it may be none, 0 nothing.  A name counts if all its parts are listed
+    words or words of layout, at least one of them the former, so that
+    ``related-work`` or ``market-share`` do not."""
+    best = 0
+    for name in value.split():
+        parts = {w.lower() for w in NAME_PARTS.split(name) if w and not w.isdigit()}
+        if parts <= CLEAR_NAMES | UNCLEAR_NAMES | LAYOUT_NAMES:
+            best = max(best, 2 if parts & CLEAR_NAMES else 1 if parts & UNCLEAR_NAMES else 0)
+    return best
+
+
 def _is_boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
     if tag in BOILERPLATE or (tag == "header" and not in_article):
         return True
@@ -112,8 +140,10 @@ def _is_boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
             return True
         if name == "role" and value.lower() in BOILERPLATE_ROLES:
             return True
-        if name in ("class", "id") and tag not in NEVER_BY_NAME and NAMES.search(value):
-            return True
+        if name in ("class", "id") and tag not in NEVER_BY_NAME and value:
+            least = 3 if tag in TEXT_ELEMENTS and in_article else 2 if tag in TEXT_ELEMENTS | SECTIONS else 1
+            if named(value) >= least:
+                return True
     return False
 
 

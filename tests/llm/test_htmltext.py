@@ -118,3 +118,21 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert sorted(r.text for r in out.collect()) == ["", LONG, LONG]
     assert out.columns == ["page_id", "html", "text", "n_chars", "n_blocks", "n_paths"]
     assert H.extract_pages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("part", [
+    "<section id='related-work'><p>{0}</p></section>", "<section id='discussion'><p>{0}</p></section>",
+    "<div class='market-share'><p>{0}</p></div>", "<h2 id='social-policy'>{0}</h2>", "<p class='notice'>{0}</p>",
+    "<div class='header-files-in-c'><p>{0}</p></div>", "<p id=comment>{0}</p>", "<div id='searchAlgorithms'><p>{0}</p></div>"])
+@pytest.mark.parametrize("around", ["<article>{0}</article>", "<main>{0}</main>", "<article>{0}</article><article><p>" + LONG + "</p></article>"])
+def test_names_with_another_meaning_lose_nothing(part, around):
+    body = f"<p>{LONG}</p>" + part.format("Fifty three words of it.") + f"<p>{LONG}</p>"
+    text = H.extract(f"<html><body><nav><a href=x>Menu</a></nav>{around.format(body)}<footer>Us</footer></body></html>")[0]
+    assert text.split("\n")[:3] == [LONG, "Fifty three words of it.", LONG]
+
+
+@pytest.mark.parametrize("name", ["related-posts", "social share", "cookie-notice", "commentList", "ad", "ads_box", "newsletter-signup",
+                                  "comments-section", "sharing-buttons", "siteHeader"])
+def test_boilerplate_by_name(name):
+    page = f"<body><article><p>{LONG}</p><div class='{name}'><p>{LONG}</p></div><p>{LONG}</p></article></body>"
+    assert H.extract(page)[0] == f"{LONG}\n{LONG}"
