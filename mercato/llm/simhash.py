@@ -207,10 +207,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                   max_bits: int = MAX_BITS) -> DataFrame:
     """One row of ``df`` of each near-duplicate group: the one with the
-    smallest id (any of the rows that repeat it), with the columns of ``df``."""
+    smallest id (of rows that repeat it with one fingerprint, the one with the
+    smallest hash of its text, then of all its columns), with the columns of ``df``."""
     columns = df.columns
     tagged = df.select(F.struct(*[quoted(c) for c in columns]).alias("__llm_row"), quoted(id_col).alias("__llm_id"),
-                       quoted(text_col).cast("string").alias("text"))
+                       quoted(text_col).cast("string").alias("text"),
+                       F.struct(F.xxhash64(quoted(text_col)).alias("a"), F.xxhash64(*[quoted(c) for c in columns]).alias("b"))
+                       .alias("__llm_place"))
     printed = materialise(with_fingerprint(tagged, "text", "fp", shingle).drop("text"))
     found = labelled(printed.select("__llm_id", "fp"), max_bits, "__llm_id")
     ids = printed.select("__llm_id", "fp").distinct()
@@ -219,7 +222,7 @@ def one_per_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .groupBy("root", "component_id").agg(F.min("fp").alias("keep_fp")))
     chosen = printed.join(keep, (printed["fp"] == keep["keep_fp"])
                           & printed["__llm_id"].eqNullSafe(keep["component_id"]), "left_semi")
-    return chosen.dropDuplicates(["fp", "__llm_id"]).select(
+    return chosen.groupBy("fp", "__llm_id").agg(F.min_by("__llm_row", "__llm_place").alias("__llm_row")).select(
         *[F.col("__llm_row").getField(c).alias(c) for c in columns])
 
 

@@ -6,6 +6,8 @@ import re
 import numpy as np
 import xxhash
 
+from pyspark.sql import functions as F
+
 from mercato.llm import simhash as S
 
 
@@ -98,3 +100,11 @@ def test_one_per_group_with_nulls_and_repeats(spark):
     assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == [
         (-1, "other words stand here"), (2, "one two three four"), (7, "quite some different text"), (8, "")]
     assert S.one_per_group(df.limit(0)).count() == 0
+
+
+def test_of_rows_with_one_id_the_same_stays_however_they_are_dealt(spark):
+    texts = ["one two three four five six", "one two three four five six", "One two three four five six"]
+    rows = [(4, t, lang) for t in texts for lang in ("x", "y")] + [(9, texts[0], "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {tuple(S.one_per_group(df.repartition(n).orderBy(F.rand(n))).collect()) for n in (1, 3, 7)}
+    assert len(kept) == 1 and [r.doc_id for r in next(iter(kept))] == [4]
