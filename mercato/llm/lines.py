@@ -1,11 +1,11 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
-Every line is normalised (ASCII lower case, digits to 0, white space to one
-space, trimmed) and hashed.  A host is the document's source.  The number of
+Every line is normalised (lower case, digits to 0, white space to one space,
+trimmed) and hashed.  A host is the document's source.  The number of
 distinct documents of a host that hold a line is counted with map-side
-partial sums; a line that more documents hold than the host's limit (at
-least ``MIN_DOCS``, else ``SHARE`` of the host's documents) is removed from
-them.  A document that is left with fewer than ``MIN_WORDS`` words, or with
+partial sums; a line that more than ``MAX_DOCS`` documents of a host hold is
+removed from them.  The limit is the same for every host, however large, and
+a line's verdict does not change with rows that do not hold it.  A document that is left with fewer than ``MIN_WORDS`` words, or with
 less than ``MIN_LEFT`` of its words, is depleted and rejected.  A document
 also fails by the base rules: too few words, or too many words in repeated
 five-word windows.
@@ -24,9 +24,8 @@ from pyspark.sql import functions as F
 
 from mercato.llm.common import materialise, quoted, read_table
 
-#: Limits of a line: documents of a host, and share of the host's documents.
-MIN_DOCS = 20
-SHARE = 0.02
+#: Documents of a host that may hold a line.
+MAX_DOCS = 20
 #: Least words a document must have, also after removal, and share that must be left.
 MIN_WORDS = 10
 MIN_LEFT = 0.3
@@ -88,23 +87,21 @@ def measured(docs: DataFrame, text_col: str = "text", window: int = REPEAT_WINDO
     return out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("__sorted", "__equal")
 
 
-def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """(host, line) of every line that is in more documents of its host than
-    the host's limit; ``rows`` has host and line_keys, one row per document."""
+def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """(host, line) of every line that more than ``max_docs`` documents of its
+    host hold; ``rows`` has host and line_keys, one row per document."""
     lines = rows.select("host", F.explode(F.array_distinct(F.transform("line_keys", lambda k: k["line"]))).alias("line"))
-    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_docs)
-    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
-    return counts.join(hosts, "host").where(F.col("n") > F.col("docs") * F.lit(share)).select("host", "line")
+    return lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_docs).select("host", "line")
 
 
 def judged(docs: DataFrame, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text",
-           min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+           max_docs: int = MAX_DOCS) -> DataFrame:
     """(id, base figures, base_failed, n_lines_removed, words_left, kept) of every row of ``docs``."""
     base = docs.select(quoted(id_col).alias("doc_id"),
                        F.coalesce(F.concat(F.lit("="), quoted(host_col).cast("string")), F.lit("")).alias("host"),
                        quoted(text_col).cast("string").alias("text"))
     rows = materialise(measured(base).drop("text").withColumn("row", F.monotonically_increasing_id()))
-    frequent = materialise(frequent_lines(rows, min_docs, share))
+    frequent = materialise(frequent_lines(rows, max_docs))
     lines = rows.select("row", "host", F.explode("line_keys").alias("k")).select("row", "host", "k.line", "k.words")
     removed = lines.join(frequent, ["host", "line"]).groupBy("row").agg(
         F.count(F.lit(1)).alias("n_lines_removed"), F.sum("words").alias("words_removed"))
@@ -134,8 +131,7 @@ rep as (select r, i from (select r, i, count(*) over (partition by r, win) as n
 repw as (select r, count(distinct p) as n_repeat_words from (select r, unnest(generate_series(i, i + 4)) as p from rep) group by r),
 ln as (select r, unnest(lines) as line from w),
 nl as (select r, host, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) as line from ln join d using (r)),
-freq as (select host, line from (select host, line, count(distinct r) as n from nl group by host, line) join (select host, count(*) as docs from d group by host) using (host)
-         where n > 20 and n > docs * 0.02),
+freq as (select host, line from nl group by host, line having count(distinct r) > 20),
 rem as (select r, count(*) as n_lines_removed, sum(len(string_split(line, ' '))) as words_removed from nl join freq using (host, line) group by r),
 f as (select d.doc_id, len(words) as n_words, length(array_to_string(words, '')) as word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) as n_symbols, len(lines) - len(list_distinct(lines)) as n_dup_lines,
