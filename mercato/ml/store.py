@@ -20,7 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _path(spark: SparkSession, path: str):
+def folder_of(spark: SparkSession, path: str):
+    """Hadoop path and file system of ``path``."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -32,7 +33,7 @@ def table_version(df: DataFrame) -> str:
     for f in df.inputFiles():
         folders.setdefault(f.rsplit("/", 1)[0], set()).add(f)
     for folder, names in sorted(folders.items()):
-        p, fs = _path(spark, folder)
+        p, fs = folder_of(spark, folder)
         for status in fs.listStatus(p):
             name = status.getPath().getName()
             if any(n.endswith("/" + name) for n in names):
@@ -68,13 +69,13 @@ class ModelStore:
 
     def manifests(self, key: str | None = None) -> list[Manifest]:
         """Published trainings, the first one of each key only, oldest first."""
-        top, fs = _path(self.spark, f"{self.root}/published")
+        top, fs = folder_of(self.spark, f"{self.root}/published")
         if not fs.exists(top):
             return []
         keys = [key] if key else [s.getPath().getName() for s in fs.listStatus(top)]
         found = []
         for k in keys:
-            folder, _ = _path(self.spark, f"{self.root}/published/{k}")
+            folder, _ = folder_of(self.spark, f"{self.root}/published/{k}")
             names = sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
             names = [n for n in names if n.endswith(".json")]
             if names:
@@ -95,22 +96,27 @@ class ModelStore:
     def publish(self, m: Manifest) -> Manifest:
         """Make a finished run visible; returns the training that counts for its key."""
         name = f"{m.created:015d}-{uuid.uuid4().hex}"
-        folder, fs = _path(self.spark, f"{self.root}/published/{m.key}")
+        folder, fs = folder_of(self.spark, f"{self.root}/published/{m.key}")
         fs.mkdirs(folder)
-        hidden, _ = _path(self.spark, f"{self.root}/published/{m.key}/_{name}.tmp")
+        hidden, _ = folder_of(self.spark, f"{self.root}/published/{m.key}/_{name}.tmp")
         out = fs.create(hidden, False)
         out.write(bytearray(m.text().encode()))
         out.close()
-        final, _ = _path(self.spark, f"{self.root}/published/{m.key}/{name}.json")
+        final, _ = folder_of(self.spark, f"{self.root}/published/{m.key}/{name}.json")
         if not fs.rename(hidden, final):
             raise OSError(f"could not publish {m.run}")
         first = self.find(m.key)
         if first.run != m.run:  # another writer was first
             fs.delete(final, False)
-            run, _ = _path(self.spark, m.run)
+            run, _ = folder_of(self.spark, m.run)
             fs.delete(run, True)
         return first
 
+    def withdraw(self, key: str) -> None:
+        """Take the manifests of ``key`` away: its training is not found any more."""
+        folder, fs = folder_of(self.spark, f"{self.root}/published/{key}")
+        fs.delete(folder, True)
+
 
 def now() -> int:
     return int(time.time() * 1000)

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from mercato.params import Params
 from mercato.plans import quality as Q
 from mercato.plans import reports as R
+from mercato.plans import shared as W
 from mercato.plans import views as V
 from mercato.plans.registry import register
-from mercato.sources.star import MONTH, Star, stored
+from mercato.sources.load import loaded_once
+from mercato.sources.star import MONTH, Star
 
 
 # ------------------------------------------------------------ star tables
@@ -100,7 +102,7 @@ def q_rfm(s, p):
 
 @register("rfm_segment_summary")
 def q_rfm_summary(s, p):
-    return V.rfm_segment_summary(V.rfm_scores(s, p))
+    return V.rfm_segment_summary(W.rfm_scores(s, p))
 
 
 @register("delivery_delay_drivers")
@@ -118,58 +120,54 @@ def _reg(key, fn):
     register(key)(fn)
 
 
-_reg("rfm_validation", lambda s, p: R.rfm_validation(V.rfm_scores(s, p)))
-_reg("cohort_matrix", lambda s, p: R.cohort_matrix(V.cohort_retention(s, p), p))
-_reg("cohort_shape", lambda s, p: R.cohort_shape(V.cohort_retention(s, p)))
-_reg("cohort_dropoff", lambda s, p: R.cohort_dropoff(V.cohort_retention(s, p)))
-_reg("cohort_best_period1", lambda s, p: R.cohort_best_period1(V.cohort_retention(s, p)))
-_reg("cohort_summary", lambda s, p: R.cohort_summary(V.cohort_retention(s, p), p))
-_reg("category_sla_summary", lambda s, p: R.category_sla_summary(V.category_sla(s, p)))
-_reg("category_sla_worst10", lambda s, p: R.category_sla_worst10(V.category_sla(s, p)))
-_reg("category_sla_top15", lambda s, p: R.category_sla_top15(V.category_sla(s, p), p))
-_reg("revenue_vs_late", lambda s, p: R.revenue_vs_late(V.category_sla(s, p), V.revenue_by_category(s, p), p))
-_reg("seller_sanity", lambda s, p: R.seller_sanity(V.seller_performance(s, p)))
-_reg("seller_top_revenue", lambda s, p: R.seller_top_revenue(V.seller_performance(s, p)))
-_reg("seller_high_risk", lambda s, p: R.seller_high_risk(V.seller_performance(s, p)))
-_reg("seller_risk_tiers", lambda s, p: R.seller_risk_tiers(V.seller_performance(s, p), p))
-_reg("revenue_shape", lambda s, p: R.revenue_shape(V.revenue_by_category(s, p)))
-_reg("revenue_top5", lambda s, p: R.revenue_top5(V.revenue_by_category(s, p)))
-_reg("revenue_peak_months", lambda s, p: R.revenue_peak_months(V.revenue_by_category(s, p)))
-_reg("revenue_trend", lambda s, p: R.revenue_trend(V.revenue_by_category(s, p)))
-_reg("revenue_summary", lambda s, p: R.revenue_summary(V.revenue_by_category(s, p)))
-_reg("cancellation_by_dimension", lambda s, p: R.cancellation_by_dimension(V.cancellation_analysis(s, p)))
-_reg("cancellation_platform_rate", lambda s, p: R.cancellation_platform_rate(V.cancellation_analysis(s, p)))
-_reg("cancellation_hotspots", lambda s, p: R.cancellation_hotspots(V.cancellation_analysis(s, p)))
-_reg("cancellation_monthly", lambda s, p: R.cancellation_monthly(V.cancellation_analysis(s, p), p))
-_reg("cancellation_top_states", lambda s, p: R.cancellation_top_states(V.cancellation_analysis(s, p), p))
-_reg("delay_feature_balance", lambda s, p: R.delay_feature_balance(V.delivery_delay_drivers(s, p)))
-_reg("delay_feature_sanity", lambda s, p: R.delay_feature_sanity(V.delivery_delay_drivers(s, p)))
-_reg("class_split", lambda s, p: R.class_split(V.delivery_delay_drivers(s, p)))
-_reg("delay_outcome_means", lambda s, p: R.delay_outcome_means(V.delivery_delay_drivers(s, p)))
-_reg("delay_driver_sample", lambda s, p: R.delay_driver_sample(V.delivery_delay_drivers(s, p), p))
-_reg("delay_by_outcome", lambda s, p: R.delay_by_outcome(R.delay_driver_rows(V.delivery_delay_drivers(s, p), p)))
-_reg("feature_correlation", lambda s, p: R.feature_correlation(V.delivery_delay_drivers(s, p)))
+_reg("rfm_validation", lambda s, p: R.rfm_validation(W.rfm_scores(s, p)))
+_reg("cohort_matrix", lambda s, p: R.cohort_matrix(W.cohort_retention(s, p), p))
+_reg("cohort_shape", lambda s, p: R.cohort_shape(W.cohort_retention(s, p)))
+_reg("cohort_dropoff", lambda s, p: R.cohort_dropoff(W.cohort_retention(s, p)))
+_reg("cohort_best_period1", lambda s, p: R.cohort_best_period1(W.cohort_retention(s, p)))
+_reg("cohort_summary", lambda s, p: R.cohort_summary(W.cohort_retention(s, p), p))
+_reg("category_sla_summary", lambda s, p: R.category_sla_summary(W.category_sla(s, p)))
+_reg("category_sla_worst10", lambda s, p: R.category_sla_worst10(W.category_sla(s, p)))
+_reg("category_sla_top15", lambda s, p: R.category_sla_top15(W.category_sla(s, p), p))
+_reg("revenue_vs_late", lambda s, p: R.revenue_vs_late(W.category_sla(s, p), W.revenue_by_category(s, p), p))
+_reg("seller_sanity", lambda s, p: R.seller_sanity(W.seller_performance(s, p)))
+_reg("seller_top_revenue", lambda s, p: R.seller_top_revenue(W.seller_performance(s, p)))
+_reg("seller_high_risk", lambda s, p: R.seller_high_risk(W.seller_performance(s, p)))
+_reg("seller_risk_tiers", lambda s, p: R.seller_risk_tiers(W.seller_performance(s, p), p))
+_reg("revenue_shape", lambda s, p: R.revenue_shape(W.revenue_by_category(s, p)))
+_reg("revenue_top5", lambda s, p: R.revenue_top5(W.revenue_by_category(s, p)))
+_reg("revenue_peak_months", lambda s, p: R.revenue_peak_months(W.revenue_by_category(s, p)))
+_reg("revenue_trend", lambda s, p: R.revenue_trend(W.revenue_by_category(s, p)))
+_reg("revenue_summary", lambda s, p: R.revenue_summary(W.revenue_by_category(s, p)))
+_reg("cancellation_by_dimension", lambda s, p: R.cancellation_by_dimension(W.cancellation_analysis(s, p)))
+_reg("cancellation_platform_rate", lambda s, p: R.cancellation_platform_rate(W.cancellation_analysis(s, p)))
+_reg("cancellation_hotspots", lambda s, p: R.cancellation_hotspots(W.cancellation_analysis(s, p)))
+_reg("cancellation_monthly", lambda s, p: R.cancellation_monthly(W.cancellation_analysis(s, p), p))
+_reg("cancellation_top_states", lambda s, p: R.cancellation_top_states(W.cancellation_analysis(s, p), p))
+_reg("delay_feature_balance", lambda s, p: R.delay_feature_balance(W.delivery_delay_drivers(s, p)))
+_reg("delay_feature_sanity", lambda s, p: R.delay_feature_sanity(W.delivery_delay_drivers(s, p)))
+_reg("class_split", lambda s, p: R.class_split(W.delivery_delay_drivers(s, p)))
+_reg("delay_outcome_means", lambda s, p: R.delay_outcome_means(W.delivery_delay_drivers(s, p)))
+_reg("delay_driver_sample", lambda s, p: R.delay_driver_sample(W.delivery_delay_drivers(s, p), p))
+_reg("delay_by_outcome", lambda s, p: R.delay_by_outcome(R.delay_driver_rows(W.delivery_delay_drivers(s, p), p)))
+_reg("feature_correlation", lambda s, p: R.feature_correlation(W.delivery_delay_drivers(s, p)))
 _reg("high_correlation_pairs",
-     lambda s, p: R.high_correlation_pairs(R.feature_correlation(V.delivery_delay_drivers(s, p)), p))
-
-
-def _unified(s, p):
-    return V.unified_orders(s, p, V.rfm_scores(s, p), V.category_sla(s, p))
-
-
-_reg("unified_checks", lambda s, p: R.unified_checks(_unified(s, p)))
-_reg("dash_segments", lambda s, p: R.dash_segments(_unified(s, p)))
-_reg("dash_revenue_top5", lambda s, p: R.dash_revenue_top5(_unified(s, p), p))
-_reg("dash_sla_top20", lambda s, p: R.dash_sla_top20(_unified(s, p), p))
-_reg("dash_retention", lambda s, p: R.dash_retention(V.cohort_retention(s, p), p))
-_reg("geo_drill", lambda s, p: R.geo_drill(_unified(s, p)))
-_reg("ops_seller_kpis", lambda s, p: R.ops_seller_kpis(V.seller_performance(s, p)))
-_reg("ops_top20_sellers", lambda s, p: R.ops_top20_sellers(V.seller_performance(s, p)))
-_reg("ops_volume_vs_late", lambda s, p: R.ops_volume_vs_late(V.seller_performance(s, p)))
+     lambda s, p: R.high_correlation_pairs(R.feature_correlation(W.delivery_delay_drivers(s, p)), p))
+
+
+_reg("unified_checks", lambda s, p: R.unified_checks(W.unified_orders(s, p)))
+_reg("dash_segments", lambda s, p: R.dash_segments(W.unified_orders(s, p)))
+_reg("dash_revenue_top5", lambda s, p: R.dash_revenue_top5(W.unified_orders(s, p), p))
+_reg("dash_sla_top20", lambda s, p: R.dash_sla_top20(W.unified_orders(s, p), p))
+_reg("dash_retention", lambda s, p: R.dash_retention(W.cohort_retention(s, p), p))
+_reg("geo_drill", lambda s, p: R.geo_drill(W.unified_orders(s, p)))
+_reg("ops_seller_kpis", lambda s, p: R.ops_seller_kpis(W.seller_performance(s, p)))
+_reg("ops_top20_sellers", lambda s, p: R.ops_top20_sellers(W.seller_performance(s, p)))
+_reg("ops_volume_vs_late", lambda s, p: R.ops_volume_vs_late(W.seller_performance(s, p)))
 _reg("ops_cancel_trend", lambda s, p: R.ops_cancel_trend(V.monthly_cancellations(s, p), p))
 _reg("ops_top15_categories",
-     lambda s, p: R.ops_top15_categories(V.cancellation_analysis(s, p), s.dim_products))
-_reg("ops_state_table", lambda s, p: R.ops_state_table(V.cancellation_analysis(s, p)))
+     lambda s, p: R.ops_top15_categories(W.cancellation_analysis(s, p), s.dim_products))
+_reg("ops_state_table", lambda s, p: R.ops_state_table(W.cancellation_analysis(s, p)))
 
 
 # ------------------------------------------------------------ data quality
@@ -178,7 +176,7 @@ _reg("key_integrity", lambda s, p: Q.key_integrity(s.raw))
 _reg("ghost_orders", lambda s, p: Q.ghost_orders(s.raw))
 _reg("unmapped_categories", lambda s, p: Q.unmapped_categories(s.raw))
 _reg("constraint_violations", lambda s, p: Q.constraint_violations(s))
-_reg("row_count_report", lambda s, p: Q.row_count_report(s, stored(s)))
+_reg("row_count_report", lambda s, p: Q.row_count_report(s, loaded_once(s)))
 _reg("duplicate_review_ids", lambda s, p: Q.duplicate_review_ids(s.raw))
 _reg("duplicate_review_rows", lambda s, p: Q.duplicate_review_rows(s.raw))
 _reg("zip_prefix_stats", lambda s, p: Q.zip_prefix_stats(s.raw))
@@ -188,12 +186,12 @@ _reg("delivery_anomalies", lambda s, p: Q.delivery_anomalies(s.raw, s, p))
 _reg("long_deliveries", lambda s, p: Q.long_deliveries(s, p))
 _reg("placeholder_report", lambda s, p: Q.placeholder_report(s, p))
 _reg("cleaning_steps", lambda s, p: Q.cleaning_steps(s.raw, s, p))
-_reg("extract_reconciliation", lambda s, p: Q.extract_reconciliation(V.rfm_scores(s, p), _unified(s, p)))
-_reg("extract_difference_sample", lambda s, p: Q.extract_difference_sample(V.rfm_scores(s, p), _unified(s, p)))
+_reg("extract_reconciliation", lambda s, p: Q.extract_reconciliation(W.rfm_scores(s, p), W.unified_orders(s, p)))
+_reg("extract_difference_sample", lambda s, p: Q.extract_difference_sample(W.rfm_scores(s, p), W.unified_orders(s, p)))
 _reg("seller_history_asof", lambda s, p: V.seller_history_asof(s, p))
 _reg("eda_sanity", lambda s, p: R.eda_sanity(
-    V.rfm_scores(s, p), V.cohort_retention(s, p), V.revenue_by_category(s, p), V.category_sla(s, p),
-    V.seller_performance(s, p), V.cancellation_analysis(s, p), V.delivery_delay_drivers(s, p), p))
+    W.rfm_scores(s, p), W.cohort_retention(s, p), W.revenue_by_category(s, p), W.category_sla(s, p),
+    W.seller_performance(s, p), W.cancellation_analysis(s, p), W.delivery_delay_drivers(s, p), p))
 
 
 # ------------------------------------------------------------ ML
@@ -232,5 +230,5 @@ _reg("payment_type_counts", lambda s, p: value_counts(s.raw.payments, "payment_t
 _reg("installments_top10", lambda s, p: value_counts(s.raw.payments, "payment_installments", top=10))
 _reg("review_score_counts", lambda s, p: value_counts(s.raw.reviews, "review_score"))
 _reg("category_counts", lambda s, p: value_counts(s.raw.products, "product_category_name", dropna=False, top=5))
-_reg("cohort_period0", lambda s, p: V.cohort_retention(s, p).filter(F.col("period_number") == 0).select(
+_reg("cohort_period0", lambda s, p: W.cohort_retention(s, p).filter(F.col("period_number") == 0).select(
     "cohort_month", "cohort_size", "retention_rate_pct"))
