@@ -249,6 +249,9 @@ def sample(docs: DataFrame, learn, id_col: str = "doc_id", text_col: str = "text
             .select(quoted(lang_col).cast("string").alias("lang"), place.alias("place"),
                     F.substring(text, (F.pmod(place, F.greatest(F.lit(1), F.length(text) - passage)) + 1).cast("int"),
                                 F.lit(passage)).alias("text")))
+    # an id that many rows repeat is one document, the one whose passage has the smallest hash
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), F.col("text").alias("text")))
+    rows = rows.groupBy("lang", "place").agg(least.alias("least")).select("lang", "place", "least.text")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
     chosen = rows.withColumn("nth", nth).where(F.col("nth") <= per_lang).select("lang", "text", "place")
     return [(r.lang, r.text.encode("utf-8")) for r in

@@ -17,7 +17,8 @@ their id; the context vectors come from all texts.
 NULL and empty texts have no words: they get a score from their (zero)
 features like any other.  A NULL doc_id is never learned from.  Without
 labels, or with one class only, the score is that class's share (0.5 without
-any).  Repeated rows and repeated labels are harmless: a document's label is
+any).  Repeated rows (of an id the text with the smallest
+hash is learned) and repeated labels are harmless: a document's label is
 the largest it has.
 """
 
@@ -229,13 +230,16 @@ def learned(docs: DataFrame, labels: DataFrame, table: np.ndarray) -> Network |
     """The network, from rows whose id checksum mod 5 is not 0."""
     chosen, share = label_sample(labels, crc_mod(F.col("doc_id"), 5) != 0, "quality")
     # two classes of at most SAMPLE ids each: small enough for every task
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text",
+                                                            F.xxhash64("text").alias("digest"))
 
     def factory():
         return lambda t: [pa.array(list(features(table, t)), pa.list_(pa.float32()))]
 
-    got = append_columns(texts, "text", [StructField("x", ArrayType(FloatType()))], factory).select("doc_id", "label", "x")
-    rows = sorted(got.collect(), key=lambda r: (r.doc_id, r.x))
+    got = append_columns(texts, "text", [StructField("x", ArrayType(FloatType()))], factory)
+    # an id that many rows repeat is one document, the one whose text has the smallest hash
+    one = got.groupBy("doc_id").agg(F.min(F.struct("digest", "label", "x")).alias("least"))
+    rows = sorted(one.select("doc_id", "least.label", "least.x").collect(), key=lambda r: (r.doc_id, r.x))
     if not rows:
         return share
     return fit(np.array([r.x for r in rows]), np.array([r.label for r in rows], np.float64), share)

@@ -17,8 +17,8 @@ per class, chosen by a hash of their id.
 
 NULL and empty texts have no evidence and get the score of a text without
 any.  A NULL doc_id is never learned from; without labels of both classes
-the score is the share of label 1.  Repeated rows and repeated labels are
-harmless: a document's label is the largest it has.
+the score is the share of label 1.  Repeated rows (of an id the text with the smallest
+hash is learned) and repeated labels are harmless: a document's label is the largest it has.
 """
 
 from __future__ import annotations
@@ -313,8 +313,11 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
     """The model, from rows whose id checksum mod 3 is not 1."""
     chosen, share = label_sample(labels, crc_mod(F.col("doc_id"), 3) != 1, "toxic", per_class=SAMPLE)
     # two classes of at most SAMPLE ids each: small enough for every task
-    texts = materialise(docs.join(F.broadcast(chosen), "doc_id").select(
-        "doc_id", "label", F.coalesce("text", F.lit("")).alias("text")))
+    texts = docs.join(F.broadcast(chosen), "doc_id").select(
+        "doc_id", "label", F.coalesce("text", F.lit("")).alias("text"))
+    # an id that many rows repeat is one document, the one whose text has the smallest hash
+    least = F.min(F.struct(F.xxhash64("text").alias("digest"), F.col("label"), F.col("text")))
+    texts = materialise(texts.groupBy("doc_id").agg(least.alias("least")).select("doc_id", "least.label", "least.text"))
     lexicon = learn_lexicon(texts)
     rows = sorted((r.doc_id, r.label, r.x) for r in _evidence_column(texts, lexicon).drop("text").collect())
     y = np.array([r[1] for r in rows], np.float64)

@@ -208,3 +208,29 @@ def test_toxicity_without_labels(spark):
     model = toxicity.learned(docs, none)
     assert {r.score for r in toxicity.scored(docs, model).collect()} == {0.5}
     assert toxicity.scored(docs.limit(0), model).count() == 0
+
+
+# ------------------------------------------------------------------ repeated ids
+def test_an_id_that_holds_a_third_of_all_rows_is_learned_once(spark):
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    for model, fits in ((langid, "crc32(cast(doc_id as string)) % 4 <> 2 and lang is not null"),
+                        (quality, "crc32(cast(doc_id as string)) % 5 <> 0"),
+                        (toxicity, "crc32(cast(doc_id as string)) % 3 <> 1")):
+        hot = docs.join(labels.where("quality is not null and toxic is not null"), "doc_id", "left_semi").where(fits)
+        hot = hot.where("length(text) > 0").orderBy("doc_id").limit(1)
+        many = docs.unionByName(hot.crossJoin(spark.range(100)).drop("id"))
+        if model is langid:
+            learn = langid.crc_mod(docs.doc_id, 4) != 2
+            once, again = langid.sample(docs, learn), langid.sample(many, learn)
+            assert len(once) > 20 and once == again
+        elif model is quality:
+            table = quality.context_table(docs.select("doc_id", "text"))
+            texts = pa.array([r.text for r in docs.limit(20).collect()])
+            once, again = (quality.learned(d.select("doc_id", "text"), labels, table) for d in (docs, many))
+            x = quality.features(table, texts)
+            assert np.array_equal(once.probability(x), again.probability(x))
+        else:
+            once, again = (toxicity.learned(d.select("doc_id", "text"), labels) for d in (docs, many))
+            assert once.lexicon == again.lexicon and np.array_equal(once.weights, again.weights)
