@@ -32,6 +32,23 @@ class Raw:
     translation: DataFrame
 
 
+class _Deferred:
+    def __getattr__(self, name):
+        makers = self.__dict__.get("_makers", {})
+        if name not in makers:
+            raise AttributeError(name)
+        setattr(self, name, makers[name]())
+        return self.__dict__[name]
+
+
+def deferred(cls, makers: dict, **given):
+    """A bundle of the dataclass ``cls`` whose fields are made when they are first
+    asked for: a job that needs two tables plans these two only."""
+    made = object.__new__(type(cls.__name__, (_Deferred, cls), {}))
+    made.__dict__.update(given, _makers=makers)
+    return made
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -225,14 +242,6 @@ def geolocation(spark, sf_dir) -> DataFrame:
 
 
 def load(spark: SparkSession, sf_dir: str) -> Raw:
-    return Raw(
-        orders=orders(spark, sf_dir),
-        items=items(spark, sf_dir),
-        payments=payments(spark, sf_dir),
-        reviews=reviews(spark, sf_dir),
-        customers=customers(spark, sf_dir),
-        sellers=sellers(spark, sf_dir),
-        products=products(spark, sf_dir),
-        geolocation=geolocation(spark, sf_dir),
-        translation=translation(spark, sf_dir),
-    )
+    makers = {"orders": orders, "items": items, "payments": payments, "reviews": reviews, "customers": customers,
+              "sellers": sellers, "products": products, "geolocation": geolocation, "translation": translation}
+    return deferred(Raw, {name: lambda fn=fn: fn(spark, sf_dir) for name, fn in makers.items()})

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from mercato.params import Params
 from mercato.plans import clean
 from mercato.session import ensure_checkpoint_dir, run_concurrently
-from mercato.sources.lens import Raw
+from mercato.sources.lens import Raw, deferred
 
 #: Partition column of the stored fact_orders.
 MONTH = "purchase_month"
@@ -117,15 +117,14 @@ def stored(s: Star) -> Star:
 
 
 def build(raw: Raw, p: Params) -> Star:
-    payments = clean.payments_by_order(raw.payments, p)
-    return Star(
-        dim_customers=raw.customers,
-        dim_sellers=raw.sellers,
-        dim_products=clean.clean_products(raw.products, raw.translation, p),
-        dim_geolocation=clean.clean_geolocation(raw.geolocation, p),
-        fact_orders=clean.fact_orders(raw.orders, raw.items, payments, p),
-        fact_order_items=raw.items,
-        bridge_payments=payments,
-        bridge_reviews=clean.clean_reviews(raw.reviews),
-        raw=raw,
-    )
+    star = deferred(Star, {
+        "dim_customers": lambda: raw.customers,
+        "dim_sellers": lambda: raw.sellers,
+        "dim_products": lambda: clean.clean_products(raw.products, raw.translation, p),
+        "dim_geolocation": lambda: clean.clean_geolocation(raw.geolocation, p),
+        "fact_orders": lambda: clean.fact_orders(raw.orders, raw.items, star.bridge_payments, p),
+        "fact_order_items": lambda: raw.items,
+        "bridge_payments": lambda: clean.payments_by_order(raw.payments, p),
+        "bridge_reviews": lambda: clean.clean_reviews(raw.reviews),
+    }, raw=raw)
+    return star
