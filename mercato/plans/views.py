@@ -523,37 +523,34 @@ def seller_history_asof(s: Star, p: Params) -> DataFrame:
     """Seller features over strictly earlier orders (the point-in-time version of
     seller_history that the model card asks for).
 
-    Grain: one row per (seller, delivered trusted order).  Orders are first
-    added up per (seller, timestamp); running sums then go by day, by hour of a
-    day and by timestamp of an hour, so no window partition holds more than a
-    seller's days, 24 hours, or the timestamps of one hour, however many orders
-    a seller has.
+    Grain: one row per (seller, delivered trusted order).  The rows are dealt by
+    ranges of (seller, timestamp) and stored once; a range starts with what its
+    seller has in earlier ranges, and sums go on inside it.  A seller with many
+    orders lies in many ranges, so no task holds more than its range, and every
+    row is shuffled twice after the join.
     """
     base = _delivered_trusted(s, p).select("order_id", "order_purchase_timestamp", "is_late", "days_to_deliver")
-    rows = s.fact_order_items.select("order_id", "seller_id").join(base, "order_id")
+    rows = s.fact_order_items.select("order_id", "seller_id").filter(F.col("seller_id").isNotNull()).join(base, "order_id")
     per_order = rows.groupBy("seller_id", "order_id", "order_purchase_timestamp", "is_late", "days_to_deliver").agg(
         F.count(F.lit(1)).alias("n"))
     n, dtd = F.col("n"), F.col("days_to_deliver")
     meas = {"o": F.lit(1), "r": n, "l": F.when(F.col("is_late"), n).otherwise(0),
             "sd": F.coalesce(dtd * n, F.lit(0)), "cd": _n(dtd, n)}
     keys = ["seller_id", "order_purchase_timestamp"]
-    moments = per_order.groupBy(*keys).agg(*[F.sum(v).alias(m) for m, v in meas.items()]).withColumns({
-        "day": F.to_date("order_purchase_timestamp"), "hour": F.hour("order_purchase_timestamp")})
-
-    def earlier(df: DataFrame, part: list[str], order: str, out: str) -> DataFrame:
-        """Sums of the rows before each one, under the prefix ``out``."""
-        w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.select(*part, order, *[F.coalesce(F.sum(m).over(w), F.lit(0)).alias(f"{out}_{m}") for m in meas])
-
-    def totals(by: list[str]) -> DataFrame:
-        return moments.groupBy(*by).agg(*[F.sum(m).alias(m) for m in meas])
-
-    days = earlier(totals(["seller_id", "day"]), ["seller_id"], "day", "d")
-    hours = earlier(totals(["seller_id", "day", "hour"]), ["seller_id", "day"], "hour", "h")
-    times = earlier(moments, ["seller_id", "day", "hour"], "order_purchase_timestamp", "t")
-    before = times.join(hours, ["seller_id", "day", "hour"]).join(days, ["seller_id", "day"])
-    j = per_order.select("seller_id", "order_id", "order_purchase_timestamp").join(before, keys)
-    tot = {m: F.col(f"d_{m}") + F.col(f"h_{m}") + F.col(f"t_{m}") for m in meas}
+    parts = int(s.fact_orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = per_order.select(*keys, "order_id", *[v.alias(m) for m, v in meas.items()]).repartitionByRange(parts, *keys)
+    # the bounds come from a sample, so the ranges must not be made twice
+    x = written(placed.withColumn("_part", F.spark_partition_id()), "seller_orders")
+    totals = x.groupBy("seller_id", "_part").agg(*[F.sum(m).alias(f"t_{m}") for m in meas])
+    earlier = Window.partitionBy("seller_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("seller_id", "_part", *[F.coalesce(F.sum(f"t_{m}").over(earlier), F.lit(0)).alias(f"b_{m}") for m in meas])
+    # equal timestamps lie in one range: they count for none of each other
+    w = Window.partitionBy("seller_id", "_part").orderBy("order_purchase_timestamp")
+    upto = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    equal = w.rangeBetween(Window.currentRow, Window.currentRow)
+    local = x.select(*keys, "order_id", "_part", *[(F.sum(m).over(upto) - F.sum(m).over(equal)).alias(f"l_{m}") for m in meas])
+    j = local.filter(F.col("order_purchase_timestamp").isNotNull()).join(starts, ["seller_id", "_part"])
+    tot = {m: F.col(f"b_{m}") + F.col(f"l_{m}") for m in meas}
     return j.select(
         "seller_id", "order_id", "order_purchase_timestamp",
         tot["o"].cast("long").alias("seller_prior_orders"),

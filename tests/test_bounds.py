@@ -20,3 +20,37 @@ def test_forest_holds_little_in_a_task(spark):
     forest = M.forest_pipeline(P).getStages()[-1]
     assert forest.getMaxMemoryInMB() <= 128  # every running task of an executor holds as much
     assert not forest.getCacheNodeIds()
+
+
+def test_seller_history_asof_counts_strictly_earlier_orders(spark):
+    """A hot seller over many ranges, equal timestamps, orders of several sellers, missing keys; few shuffles."""
+    rnd = random.Random(3)
+    start = dt.datetime(2020, 1, 1)
+    orders = [(i, start + dt.timedelta(hours=rnd.randint(0, 400)), rnd.random() < 0.3, rnd.choice([None, 1, 5, 9]))
+              for i in range(600)]
+    items = [(i, rnd.choice([1, 1, 1, 1, 2, 3, None])) for i in range(600) for _ in range(rnd.randint(1, 3))]
+    fo = spark.createDataFrame(
+        orders, "order_id long, order_purchase_timestamp timestamp_ntz, is_late boolean, days_to_deliver int").select(
+        "*", F.lit(P.delivered_status).alias("order_status"), F.lit(False).alias("has_placeholder_delivery_date"))
+    star = SimpleNamespace(fact_orders=fo, fact_order_items=spark.createDataFrame(items, "order_id long, seller_id long"))
+    out = V.seller_history_asof(star, P)
+    assert _plan(out).count("Exchange hashpartitioning") <= 4  # each was one of several over all rows before
+    per = {}
+    for o, s in items:
+        if s is not None:
+            per[s, o] = per.get((s, o), 0) + 1
+    by = {o[0]: o for o in orders}
+    got = {(r.seller_id, r.order_id): r for r in out.collect()}
+    assert set(got) == set(per)
+    for (s, o), r in got.items():
+        prior = [(by[x], n) for (t, x), n in per.items() if t == s and by[x][1] < by[o][1]]
+        rows, late = sum(n for _, n in prior), sum(n for x, n in prior if x[2])
+        days = [(x[3], n) for x, n in prior if x[3] is not None]
+        assert r.seller_prior_orders == len(prior)
+        assert (r.seller_prior_late_rate is None) == (rows == 0)
+        if rows:
+            assert abs(r.seller_prior_late_rate - 100 * late / rows) <= 0.005 + 1e-9
+        assert (r.seller_prior_avg_days_to_deliver is None) == (not days)
+        if days:
+            mean = sum(d * n for d, n in days) / sum(n for _, n in days)
+            assert abs(r.seller_prior_avg_days_to_deliver - mean) <= 0.05 + 1e-9
