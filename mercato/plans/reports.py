@@ -398,24 +398,27 @@ def high_correlation_pairs(corr: DataFrame, p: Params) -> DataFrame:
 def unified_checks(u: DataFrame) -> DataFrame:
     """People per segment, unmatched rows, totals and non-zero null counts per column.
 
-    One plan: rows are reduced to (segment, person), then to a row per segment
-    (a person has one segment), whose figures are unfolded and added up."""
+    Rows and nulls are added up per segment, so one row per task and segment is
+    shuffled; only the (segment, person) pairs are made distinct (a person has
+    one segment)."""
     nulls = {c: f"null_{i}" for i, c in enumerate(u.columns)}
-    per_person = u.groupBy("segment", "customer_unique_id").agg(
+    per_segment = u.groupBy("segment").agg(
         F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(c).isNull()).alias(n) for c, n in nulls.items()])
-    per_segment = per_person.groupBy("segment").agg(
-        F.count("customer_unique_id").alias("people"), F.sum("rows").alias("rows"),
-        *[F.sum(n).alias(n) for n in nulls.values()])
+    people = u.select("segment", "customer_unique_id").distinct().groupBy("segment").agg(
+        F.count("customer_unique_id").alias("people"))
 
     def figure(check: str, item: Column, value: Column) -> Column:
         return F.struct(F.lit(check).alias("check_name"), item.alias("item"), value.cast("long").alias("value"))
 
     unmatched = F.when(F.col("segment").isNull(), F.col("rows")).otherwise(0)
-    figures = [figure("people_per_segment", F.coalesce("segment", F.lit("<none>")), F.col("people")),
-               figure("totals", F.lit("rows"), F.col("rows")), figure("totals", F.lit("people"), F.col("people")),
-               figure("totals", F.lit("unmatched_rows"), unmatched),
-               *[figure("nulls", F.lit(c), F.col(n)) for c, n in nulls.items()]]
-    added = per_segment.select(F.explode(F.array(*figures)).alias("f")).groupBy("f.check_name", "f.item").agg(
+    segment = F.coalesce("segment", F.lit("<none>"))
+    figures = {people: [figure("people_per_segment", segment, F.col("people")),
+                        figure("totals", F.lit("people"), F.col("people"))],
+               per_segment: [figure("totals", F.lit("rows"), F.col("rows")),
+                             figure("totals", F.lit("unmatched_rows"), unmatched),
+                             *[figure("nulls", F.lit(c), F.col(n)) for c, n in nulls.items()]]}
+    parts = [df.select(F.explode(F.array(*f)).alias("f")) for df, f in figures.items()]
+    added = parts[0].unionByName(parts[1]).groupBy("f.check_name", "f.item").agg(
         F.sum("f.value").cast("long").alias("value"))
     return added.filter((F.col("check_name") != "nulls") | (F.col("value") > 0))
 

@@ -481,9 +481,9 @@ def unified_orders(s: Star, p: Params, rfm: DataFrame, sla: DataFrame) -> DataFr
     """Delivered items with customer, RFM, product and category-SLA columns.
 
     Joined in grain order: order-level attributes (customer, one RFM row per
-    person) are attached to the orders first, product and category-SLA
-    attributes to the items, and the two meet once on order_id -- the wide
-    item rows are never shuffled on the person key."""
+    person) are attached to the orders first, product attributes to the items,
+    and the two meet once on order_id -- the wide item rows are never shuffled
+    on the person key, nor on the category."""
     o = s.fact_orders.filter(F.col("order_status") == p.delivered_status).select(
         "order_id", "customer_id", "order_purchase_timestamp", "order_status", "is_late", "days_to_deliver",
         "days_vs_estimate")
@@ -499,8 +499,8 @@ def unified_orders(s: Star, p: Params, rfm: DataFrame, sla: DataFrame) -> DataFr
         F.col("sla_tier").alias("category_sla_tier"),
         F.col("avg_days_vs_estimate").alias("category_avg_days_vs_estimate"),
     )
-    items = it.join(pr, "product_id").join(sl, "product_category_name", "left")
-    j = items.join(orders, "order_id")
+    # a row per category: sent to every task, after the rows have met, so that no row moves for it
+    j = it.join(pr, "product_id").join(orders, "order_id").join(F.broadcast(sl), "product_category_name", "left")
     ts = F.col("order_purchase_timestamp")
     return j.select(
         "customer_unique_id", "customer_city", "customer_state", "segment", "r_score", "f_score", "m_score",

@@ -54,3 +54,15 @@ def test_seller_history_asof_counts_strictly_earlier_orders(spark):
         if days:
             mean = sum(d * n for d, n in days) / sum(n for _, n in days)
             assert abs(r.seller_prior_avg_days_to_deliver - mean) <= 0.05 + 1e-9
+
+
+def test_unified_checks_shuffle_pairs_only(spark):
+    rows = [("A", 1, None), ("A", 1, 2.0), ("A", 2, None), ("B", 3, 1.0), (None, None, None)]
+    u = spark.createDataFrame(rows, "segment string, customer_unique_id long, price double")
+    out = R.unified_checks(u)
+    got = {(r.check_name, r.item): r.value for r in out.collect()}
+    assert got == {("people_per_segment", "A"): 2, ("people_per_segment", "B"): 1, ("people_per_segment", "<none>"): 0,
+                   ("totals", "rows"): 5, ("totals", "people"): 3, ("totals", "unmatched_rows"): 1,
+                   ("nulls", "segment"): 1, ("nulls", "customer_unique_id"): 1, ("nulls", "price"): 3}
+    pairs = [x for x in _plan(out).splitlines() if "HashAggregate(keys=[segment" in x and "customer_unique_id" in x.split("functions")[0]]
+    assert pairs and all("count" not in x for x in pairs)  # no counts for each person
