@@ -66,3 +66,21 @@ def test_unified_checks_shuffle_pairs_only(spark):
                    ("nulls", "segment"): 1, ("nulls", "customer_unique_id"): 1, ("nulls", "price"): 3}
     pairs = [x for x in _plan(out).splitlines() if "HashAggregate(keys=[segment" in x and "customer_unique_id" in x.split("functions")[0]]
     assert pairs and all("count" not in x for x in pairs)  # no counts for each person
+
+
+def test_unified_orders_move_no_row_for_the_category_and_delays_no_partial_sets(spark):
+    from mercato.plans.registry import star_for
+
+    s = star_for(spark, "/root/testdata/sf0.001")
+    sla = V.category_sla(s, P)
+    rfm = spark.createDataFrame([], V.rfm_scores(s, P).schema)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        unified, delays = _plan(V.unified_orders(s, P, rfm, sla)), _plan(V.delivery_delay_drivers(s, P))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the items, once they have met their orders, do not move again
+    assert "BroadcastHashJoin [product_category_name" in "".join(unified.splitlines()[:5])
+    lines = delays.splitlines()
+    at = next(i for i, x in enumerate(lines) if "partial_mode" in x)
+    assert "REPARTITION_BY_COL" in "".join(lines[at + 1:at + 5])  # rows of an order meet before the aggregate
