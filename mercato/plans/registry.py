@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from mercato.params import FIXTURE_PARAMS, Params
+from mercato.session import bound_tasks
 from mercato.sources import lens
 from mercato.sources.star import Star, build
 
@@ -39,6 +40,10 @@ def queries(p: Params = FIXTURE_PARAMS) -> dict[str, Builder]:
     from mercato.plans import catalog  # noqa: F401
 
     def bind(fn):
-        return lambda spark, sf_dir: fn(star_for(spark, sf_dir, p), p)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            bound_tasks(spark)
+            return fn(star_for(spark, sf_dir, p), p)
+
+        return run
 
     return {k: bind(fn) for k, fn in REGISTRY.items()}

@@ -22,6 +22,22 @@ def test_forest_holds_little_in_a_task(spark):
     assert not forest.getCacheNodeIds()
 
 
+def test_tasks_of_the_jobs_are_bounded(spark):
+    from mercato.session import TASK_BYTES, bound_tasks
+
+    size, dealt = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    import __spark_entry__ as entry
+
+    spark.conf.unset(size)
+    spark.conf.unset(dealt)
+    entry.queries()["order_status_counts"](spark, "/root/testdata/sf0.001")
+    assert spark.conf.get(size) == str(TASK_BYTES) and int(spark.conf.get(dealt)) >= 400
+    spark.conf.set(size, "16k")
+    bound_tasks(spark)
+    assert spark.conf.get(size) == "16k"
+    spark.conf.unset(size)
+
+
 def test_seller_history_asof_counts_strictly_earlier_orders(spark):
     """A hot seller over many ranges, equal timestamps, orders of several sellers, missing keys; few shuffles."""
     rnd = random.Random(3)
