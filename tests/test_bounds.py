@@ -100,3 +100,25 @@ def test_unified_orders_move_no_row_for_the_category_and_delays_no_partial_sets(
     lines = delays.splitlines()
     at = next(i for i, x in enumerate(lines) if "partial_mode" in x)
     assert "REPARTITION_BY_COL" in "".join(lines[at + 1:at + 5])  # rows of an order meet before the aggregate
+
+
+def test_forest_is_grown_by_fits_of_few_trees(spark):
+    assert M.tree_counts(300, P.forest_trees_at_once) == [30] * 10
+    assert M.tree_counts(10, 4) == [4, 3, 3] and M.tree_counts(3, 30) == [3]
+    fits = [x for x in M.forest_pipeline(P, P.num_trees).getStages() if hasattr(x, "getNumTrees")]
+    # a task holds a copy of the trees of its fit
+    assert sum(x.getNumTrees() for x in fits) == P.num_trees and max(x.getNumTrees() for x in fits) <= 30
+    rnd = random.Random(5)
+    rows = [(i, int(rnd.random() < 0.2 + x / 2), *[x if c == "seller_hist_late_rate" else rnd.random() for c in M.NUMERIC], "S", "C")
+            for i, x in ((i, rnd.random()) for i in range(400))]
+    df = spark.createDataFrame(rows, "order_id long, label int, " + ", ".join(f"{c} double" for c in M.NUMERIC)
+                               + ", customer_state string, primary_category string")
+    model = M.fit(df, P.with_(forest_trees_at_once=4), logistic=False, num_trees=10).forest
+    assert [x.getNumTrees for x in M.forests(model)] == [4, 3, 3]
+    late = {r.order_id: r.p_late for r in M.probabilities(model, df).collect()}
+    votes = {}
+    for r in model.transform(df).collect():  # raw predictions are the added votes of the trees
+        votes[r.order_id] = sum(r[x.getRawPredictionCol()][1] for x in M.forests(model)) / 10
+    assert late.keys() == votes.keys() and all(abs(late[k] - votes[k]) < 1e-9 for k in votes)
+    importance = M.feature_importance(model).collect()
+    assert abs(sum(r.importance for r in importance) - 1) < 1e-9 and importance[0].feature == "seller_hist_late_rate"
