@@ -122,3 +122,26 @@ def test_forest_is_grown_by_fits_of_few_trees(spark):
     assert late.keys() == votes.keys() and all(abs(late[k] - votes[k]) < 1e-9 for k in votes)
     importance = M.feature_importance(model).collect()
     assert abs(sum(r.importance for r in importance) - 1) < 1e-9 and importance[0].feature == "seller_hist_late_rate"
+
+
+def test_delays_deal_only_items_of_their_orders(spark):
+    from mercato.plans.registry import star_for
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        s = star_for(spark, "/root/testdata/sf0.001")
+        lines = _plan(V.delivery_delay_drivers(s, P)).splitlines()
+        flags = _plan(s.fact_orders.select("order_id", "has_items")).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    at = next(i for i, x in enumerate(lines) if "Window [row_number()" in x)
+    below = lines[at + 1:at + 8]
+    # items of other orders are left out where the order's items are numbered, in the same partitions
+    semi = next(i for i, x in enumerate(below) if "LeftSemi" in x)
+    assert not any("Exchange" in x for x in below[:semi])
+    # and only the columns of the order, not the features, are dealt by customer
+    dealt = next(i for i, x in enumerate(lines) if "Exchange hashpartitioning(customer_id" in x)
+    assert not any("freight_ratio_pct" in x for x in lines[dealt:dealt + 3])
+    # one row an order is dealt for has_items, counted in the tasks that read the items
+    flag = next(i for i, x in enumerate(flags) if "ExistenceJoin" in x)
+    assert any("HashAggregate(keys=[order_id" in x for x in flags[flag:])
