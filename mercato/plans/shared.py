@@ -63,6 +63,12 @@ def delivery_delay_drivers(s: Star, p: Params) -> DataFrame:
     return once("delivery_delay_drivers", V.delivery_delay_drivers(s, p), p)
 
 
+def unified_rows(s: Star, p: Params) -> DataFrame:
+    """The unified table over the stored RFM and SLA rows, not stored itself: a report that reads it once has
+    only its own columns made and shuffled, and the same whatever report ran before."""
+    return V.unified_orders(s, p, rfm_scores(s, p), category_sla(s, p))
+
+
 def unified_orders(s: Star, p: Params) -> DataFrame:
     """The unified table over the stored RFM and SLA rows."""
-    return once("unified_orders", V.unified_orders(s, p, rfm_scores(s, p), category_sla(s, p)), p)
+    return once("unified_orders", unified_rows(s, p), p)

@@ -145,3 +145,54 @@ def test_delays_deal_only_items_of_their_orders(spark):
     # one row an order is dealt for has_items, counted in the tasks that read the items
     flag = next(i for i, x in enumerate(flags) if "ExistenceJoin" in x)
     assert any("HashAggregate(keys=[order_id" in x for x in flags[flag:])
+
+
+def _tables(spark, folder) -> str:
+    """Small tables of the driver's schemas: repeated lines, an unknown product, a missing key, two suppliers an order."""
+    rnd = random.Random(9)
+    day = dt.datetime(1996, 3, 1)
+    rows = {
+        "nation": [dict(n_nationkey=i, n_name=f"N{i}") for i in range(3)],
+        "customer": [dict(c_custkey=i, c_nationkey=i % 3, c_mktsegment=f"M{i % 2}", c_acctbal=float(i)) for i in range(12)],
+        "supplier": [dict(s_suppkey=i, s_nationkey=i % 3) for i in range(5)],
+        "part": [dict(p_partkey=i, p_type="PROMO" if i % 3 else "LARGE", p_brand=f"B{i % 4}", p_size=i + 1) for i in range(10)],
+        "orders": [dict(o_orderkey=i, o_custkey=i % 12, o_orderstatus="F", o_orderpriority="2-HIGH",
+                        o_orderdate=day + dt.timedelta(days=rnd.randint(0, 200))) for i in range(80)],
+        "lineitem": [dict(l_orderkey=rnd.choice([*range(80), None]), l_linenumber=rnd.randint(1, 2), l_partkey=rnd.randint(0, 11),
+                          l_suppkey=rnd.randint(0, 4), l_quantity=float(rnd.randint(1, 9)), l_extendedprice=rnd.randint(100, 9999) / 100,
+                          l_discount=0.05, l_tax=0.02, l_returnflag="R", l_linestatus="O",
+                          l_shipdate=day + dt.timedelta(days=rnd.randint(200, 260))) for _ in range(260)],
+    }
+    for name, made in rows.items():
+        schema = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").schema
+        kinds = {x.name: x.dataType.simpleString() for x in schema}
+        fit = [tuple((int(r[c]) if kinds[c] in ("int", "bigint") else r[c]) if r.get(c) is not None else None for c in kinds) for r in made]
+        spark.createDataFrame(fit, schema).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def _asked(spark, folder, key, monkeypatch, view):
+    """The optimised plan and the rows of a report, which must not store ``view``."""
+    from mercato.plans import catalog, shared as W  # noqa: F401
+    from mercato.plans.registry import REGISTRY, star_for
+
+    named, once = [], W.once
+    with monkeypatch.context() as m:
+        m.setattr(W, "once", lambda name, *a, **k: (named.append(name), once(name, *a, **k))[1])
+        out = REGISTRY[key](star_for(spark, folder), P)
+        rows = sorted(map(str, out.collect()))
+    assert view not in named
+    lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return "\n".join(x for x in lines if "Relation [" not in x), rows  # a relation names every column of its table
+
+
+def test_extract_reconciliation_makes_the_pairs_alone(spark, tmp_path, monkeypatch):
+    from mercato.plans import quality as Q
+    from mercato.plans import shared as W
+    from mercato.plans.registry import star_for
+
+    folder = _tables(spark, tmp_path)
+    s = star_for(spark, folder)
+    plan, rows = _asked(spark, folder, "extract_reconciliation", monkeypatch, "unified_orders")
+    assert "l_linenumber" not in plan and "freight_value" not in plan  # the lines of an order are not numbered for it
+    assert rows and rows == sorted(map(str, Q.extract_reconciliation(W.rfm_scores(s, P), W.unified_orders(s, P)).collect()))
