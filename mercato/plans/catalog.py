@@ -156,7 +156,7 @@ _reg("high_correlation_pairs",
 
 
 _reg("unified_checks", lambda s, p: R.unified_checks(W.unified_orders(s, p)))
-_reg("dash_segments", lambda s, p: R.dash_segments(W.unified_orders(s, p)))
+_reg("dash_segments", lambda s, p: R.dash_segments(W.unified_rows(s, p)))
 _reg("dash_revenue_top5", lambda s, p: R.dash_revenue_top5(W.unified_orders(s, p), p))
 _reg("dash_sla_top20", lambda s, p: R.dash_sla_top20(W.unified_orders(s, p), p))
 _reg("dash_retention", lambda s, p: R.dash_retention(W.cohort_retention(s, p), p))
