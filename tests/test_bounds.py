@@ -206,3 +206,13 @@ def test_dash_segments_makes_its_columns_alone(spark, tmp_path, monkeypatch):
     plan, rows = _asked(spark, folder, "dash_segments", monkeypatch, "unified_orders")
     assert "l_linenumber" not in plan
     assert rows and rows == sorted(map(str, R.dash_segments(W.unified_orders(star_for(spark, folder), P)).collect()))
+
+
+def test_delay_feature_sanity_makes_its_columns_alone(spark, tmp_path, monkeypatch):
+    from mercato.plans import shared as W
+    from mercato.plans.registry import star_for
+
+    folder = _tables(spark, tmp_path)
+    plan, rows = _asked(spark, folder, "delay_feature_sanity", monkeypatch, "delivery_delay_drivers")
+    assert "freight_ratio_pct" not in plan and "order_hour" not in plan
+    assert rows == sorted(map(str, R.delay_feature_sanity(W.delivery_delay_drivers(star_for(spark, folder), P)).collect()))
