@@ -216,3 +216,14 @@ def test_delay_feature_sanity_makes_its_columns_alone(spark, tmp_path, monkeypat
     plan, rows = _asked(spark, folder, "delay_feature_sanity", monkeypatch, "delivery_delay_drivers")
     assert "freight_ratio_pct" not in plan and "order_hour" not in plan
     assert rows == sorted(map(str, R.delay_feature_sanity(W.delivery_delay_drivers(star_for(spark, folder), P)).collect()))
+
+
+def test_high_correlation_pairs_makes_its_columns_alone(spark, tmp_path, monkeypatch):
+    from mercato.plans import shared as W
+    from mercato.plans.registry import star_for
+
+    folder = _tables(spark, tmp_path)
+    plan, rows = _asked(spark, folder, "high_correlation_pairs", monkeypatch, "delivery_delay_drivers")
+    assert "primary_category" not in plan and "customer_state" not in plan
+    stored = R.feature_correlation(W.delivery_delay_drivers(star_for(spark, folder), P))
+    assert rows and rows == sorted(map(str, R.high_correlation_pairs(stored, P).collect()))
