@@ -187,7 +187,7 @@ _reg("long_deliveries", lambda s, p: Q.long_deliveries(s, p))
 _reg("placeholder_report", lambda s, p: Q.placeholder_report(s, p))
 _reg("cleaning_steps", lambda s, p: Q.cleaning_steps(s.raw, s, p))
 _reg("extract_reconciliation", lambda s, p: Q.extract_reconciliation(W.rfm_scores(s, p), W.unified_rows(s, p)))
-_reg("extract_difference_sample", lambda s, p: Q.extract_difference_sample(W.rfm_scores(s, p), W.unified_orders(s, p)))
+_reg("extract_difference_sample", lambda s, p: Q.extract_difference_sample(W.rfm_scores(s, p), W.unified_rows(s, p)))
 _reg("seller_history_asof", lambda s, p: V.seller_history_asof(s, p))
 _reg("eda_sanity", lambda s, p: R.eda_sanity(
     W.rfm_scores(s, p), W.cohort_retention(s, p), W.revenue_by_category(s, p), W.category_sla(s, p),

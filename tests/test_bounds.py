@@ -227,3 +227,15 @@ def test_high_correlation_pairs_makes_its_columns_alone(spark, tmp_path, monkeyp
     assert "primary_category" not in plan and "customer_state" not in plan
     stored = R.feature_correlation(W.delivery_delay_drivers(star_for(spark, folder), P))
     assert rows and rows == sorted(map(str, R.high_correlation_pairs(stored, P).collect()))
+
+
+def test_extract_difference_sample_makes_the_pairs_alone(spark, tmp_path, monkeypatch):
+    from mercato.plans import quality as Q
+    from mercato.plans import shared as W
+    from mercato.plans.registry import star_for
+
+    folder = _tables(spark, tmp_path)
+    s = star_for(spark, folder)
+    plan, rows = _asked(spark, folder, "extract_difference_sample", monkeypatch, "unified_orders")
+    assert "l_linenumber" not in plan and "freight_value" not in plan
+    assert rows == sorted(map(str, Q.extract_difference_sample(W.rfm_scores(s, P), W.unified_orders(s, P)).collect()))
