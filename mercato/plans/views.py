@@ -95,7 +95,8 @@ def category_sla(s: Star, p: Params) -> DataFrame:
     prods = s.dim_products.filter(F.col("product_category_name").isNotNull()).select(
         "product_id", "product_category_name"
     )
-    rows = s.fact_order_items.select("order_id", "product_id").join(base, "order_id").join(prods, "product_id")
+    # products first: the rows of an order then lie in one task, where they are grouped without being dealt again
+    rows = s.fact_order_items.select("order_id", "product_id").join(prods, "product_id").join(base, "order_id")
     per_order = rows.groupBy(
         "product_category_name", "order_id", "days_to_deliver", "days_vs_estimate", "is_late"
     ).agg(F.count(F.lit(1)).alias("n"))
@@ -322,11 +323,9 @@ def rfm_raw(s: Star, p: Params) -> DataFrame:
     orders = s.fact_orders.filter(F.col("order_status") == p.delivered_status).select(
         "order_id", "customer_id", "order_purchase_timestamp"
     )
-    rows = (
-        orders.join(s.dim_customers.select("customer_id", "customer_unique_id", "customer_city", "customer_state"),
-                    "customer_id")
-        .join(s.bridge_payments.select("order_id", "payment_value"), "order_id")
-    )
+    # payments first: the customer's columns are not dealt by order
+    rows = orders.join(s.bridge_payments.select("order_id", "payment_value"), "order_id").join(
+        s.dim_customers.select("customer_id", "customer_unique_id", "customer_city", "customer_state"), "customer_id")
     g = rows.groupBy("customer_unique_id", "customer_city", "customer_state").agg(
         F.count(F.lit(1)).alias("frequency"),
         F.sum("payment_value").alias("monetary"),

@@ -229,3 +229,72 @@ def test_extract_difference_sample_makes_the_pairs_alone(spark, tmp_path, monkey
     plan, rows = _asked(spark, folder, "extract_difference_sample", monkeypatch, "unified_orders")
     assert "l_linenumber" not in plan and "freight_value" not in plan
     assert rows == sorted(map(str, Q.extract_difference_sample(W.rfm_scores(s, P), W.unified_orders(s, P)).collect()))
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """A job of several stored tables holds the shuffle files of one of them at a time."""
+    import time
+
+    from mercato.session import CLEANUP, written
+
+    def shuffled() -> set[str]:
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {str(files.apply(i).getName()) for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+    before, setting = shuffled(), spark.conf.get(CLEANUP)
+    out = written(spark.range(5000).selectExpr("id % 97 as k", "id as v").groupBy("k").agg(F.sum("v").alias("v")))
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert spark.conf.get(CLEANUP) == setting  # other queries keep theirs
+    assert out.agg(F.sum("v")).first()[0] == sum(range(5000))
+
+
+def test_orders_are_made_once_for_the_views_of_a_report(spark, tmp_path):
+    from mercato.ml.store import ModelStore
+    from mercato.plans import shared as W
+    from mercato.plans.registry import star_for
+    from mercato.session import ensure_checkpoint_dir
+    from mercato.sources.lens import deferred
+    from mercato.sources.star import Star
+
+    s = star_for(spark, _tables(spark, tmp_path))
+    made = W.orders_once(s, P)
+    plan = made.fact_orders.select("order_id", "is_late")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_partkey" not in plan  # the lines are not joined to the parts again
+    assert sorted(map(str, made.fact_orders.collect())) == sorted(map(str, s.fact_orders.collect()))
+    stored = [m.run for m in ModelStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables").manifests()]
+    assert W.orders_once(s, P).fact_orders.inputFiles() and stored == [
+        m.run for m in ModelStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables").manifests()]
+    # a view is found by the star that was asked for
+    sla, unified = W.category_sla(made, P), W.unified_orders(s, P)
+    assert sorted(W.category_sla(s, P).inputFiles()) == sorted(sla.inputFiles())
+    fresh = V.unified_orders(s, P, V.rfm_scores(s, P), V.category_sla(s, P))
+    assert unified.count() and sorted(map(str, unified.collect())) == sorted(map(str, fresh.collect()))
+    # orders that are not made from the raw ones stay
+    other = deferred(Star, {"bridge_payments": lambda: s.bridge_payments}, fact_orders=s.fact_orders.limit(3), raw=s.raw)
+    assert W.orders_once(other, P).fact_orders.count() == 3
+
+
+def test_lines_are_numbered_by_the_columns_of_an_item(spark, tmp_path):
+    from pyspark.sql import Window
+
+    from mercato.sources import lens
+
+    folder = _tables(spark, tmp_path)
+    li = spark.read.parquet(f"{folder}/lineitem.parquet")
+    li = li.unionAll(li.withColumns({"l_returnflag": F.lit("A"), "l_linestatus": F.lit("F")})).unionAll(
+        li.withColumn("l_tax", F.lit(0.07))).localCheckpoint()
+    li.write.mode("overwrite").parquet(f"{folder}/lineitem.parquet")
+    got = lens.items(spark, folder)
+    assert "l_returnflag" not in _plan(got) and "l_linestatus" not in _plan(got)
+    w = Window.partitionBy("l_orderkey").orderBy(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus")
+    want = [(r.l_orderkey, r.n, r.l_partkey, r.l_suppkey, r.l_shipdate, round(r.l_extendedprice, 2),
+             round(r.l_extendedprice * r.l_tax + 1e-9, 2)) for r in li.withColumn("n", F.row_number().over(w)).collect()]
+    rows = [(*r[:5], float(r[5]), float(r[6])) for r in got.collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert [r[:6] for r in sorted(rows, key=key)] == [r[:6] for r in sorted(want, key=key)]
+    assert all(abs(a[6] - b[6]) < 0.011 for a, b in zip(sorted(rows, key=key), sorted(want, key=key), strict=True))
