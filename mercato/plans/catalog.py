@@ -189,9 +189,14 @@ _reg("cleaning_steps", lambda s, p: Q.cleaning_steps(s.raw, s, p))
 _reg("extract_reconciliation", lambda s, p: Q.extract_reconciliation(W.rfm_scores(s, p), W.unified_rows(s, p)))
 _reg("extract_difference_sample", lambda s, p: Q.extract_difference_sample(W.rfm_scores(s, p), W.unified_rows(s, p)))
 _reg("seller_history_asof", lambda s, p: V.seller_history_asof(s, p))
-_reg("eda_sanity", lambda s, p: R.eda_sanity(
-    W.rfm_scores(s, p), W.cohort_retention(s, p), W.revenue_by_category(s, p), W.category_sla(s, p),
-    W.seller_performance(s, p), W.cancellation_analysis(s, p), W.delivery_delay_drivers(s, p), p))
+
+
+@register("eda_sanity")
+def q_eda_sanity(s: Star, p: Params):
+    made = W.orders_once(s, p)  # three of the views need the dates of the orders
+    return R.eda_sanity(
+        W.rfm_scores(s, p), W.cohort_retention(s, p), W.revenue_by_category(s, p), W.category_sla(made, p),
+        W.seller_performance(made, p), W.cancellation_analysis(s, p), W.delivery_delay_drivers(made, p), p)
 
 
 # ------------------------------------------------------------ ML

@@ -49,8 +49,9 @@ def revenue_by_category(s: Star, p: Params) -> DataFrame:
     )
     items = s.fact_order_items.select("order_id", "product_id", "price", "freight_value")
     prods = s.dim_products.select("product_id", "product_category_name")
-    # Left join: items of unknown products still count towards the platform total.
-    rows = items.join(orders, "order_id").join(prods, "product_id", "left")
+    # Left join: items of unknown products still count towards the platform total.  Products first: the rows of an order
+    # then lie in one task, where they are grouped without being dealt again.
+    rows = items.join(prods, "product_id", "left").join(orders, "order_id")
     per_order = rows.groupBy("order_month", "product_category_name", "order_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("price").alias("pr"),
@@ -214,8 +215,9 @@ def cancellation_analysis(s: Star, p: Params, statuses=None) -> DataFrame:
     cancelled ones at the published item grain."""
     cats = (s.fact_order_items.select("order_id", "product_id")
             .join(s.dim_products.select("product_id", "product_category_name"), "product_id")
-            .filter(F.col("product_category_name").isNotNull())
-            .groupBy("order_id", "product_category_name").agg(F.count(F.lit(1)).alias("n")))
+            .filter(F.col("product_category_name").isNotNull() & F.col("order_id").isNotNull())
+            # both aggregates below are made where the rows of an order have met
+            .repartition("order_id").groupBy("order_id", "product_category_name").agg(F.count(F.lit(1)).alias("n")))
     # an order has as many entries as there are categories at most
     per_order = cats.groupBy("order_id").agg(F.collect_list(F.struct("product_category_name", "n")).alias("cats"))
     rows = (_cancel_orders(s, statuses or p.cancel_statuses).join(per_order, "order_id", "left")

@@ -298,3 +298,27 @@ def test_lines_are_numbered_by_the_columns_of_an_item(spark, tmp_path):
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     assert [r[:6] for r in sorted(rows, key=key)] == [r[:6] for r in sorted(want, key=key)]
     assert all(abs(a[6] - b[6]) < 0.011 for a, b in zip(sorted(rows, key=key), sorted(want, key=key), strict=True))
+
+
+def _exchanges(spark, df_of) -> list[str]:
+    """The exchanges of a plan without broadcasts, a line each."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return [x for x in _plan(df_of()).splitlines() if "Exchange " in x]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_that_have_met_by_order_are_grouped_there(spark, tmp_path):
+    from mercato.plans.registry import star_for
+
+    s = star_for(spark, _tables(spark, tmp_path))
+    sla = _exchanges(spark, lambda: V.category_sla(s, P))
+    assert not [x for x in sla if "product_category_name" in x and "order_id" in x.split("hashpartitioning")[-1]]
+    revenue = _exchanges(spark, lambda: V.revenue_by_category(s, P))
+    assert not [x for x in revenue if "product_category_name" in x and "order_id" in x.split("hashpartitioning")[-1]]
+    cancelled = _exchanges(spark, lambda: V.cancellation_analysis(s, P))
+    assert sum("hashpartitioning(order_id" in x and "REPARTITION_BY_COL" not in x for x in cancelled) <= sum(
+        "hashpartitioning(order_id" in x for x in _exchanges(spark, lambda: s.fact_orders.select("order_id", "customer_id"))) + 1
+    rfm = _exchanges(spark, lambda: V.rfm_raw(s, P))
+    assert not [x for x in rfm if "hashpartitioning(order_id" in x and "customer_city" in x]
