@@ -398,27 +398,29 @@ def high_correlation_pairs(corr: DataFrame, p: Params) -> DataFrame:
 def unified_checks(u: DataFrame) -> DataFrame:
     """People per segment, unmatched rows, totals and non-zero null counts per column.
 
-    Rows and nulls are added up per segment, so one row per task and segment is
-    shuffled; only the (segment, person) pairs are made distinct (a person has
-    one segment)."""
+    The rows are read once, as two grouping sets: the (segment, person) pairs (a
+    person has one segment) and the (segment, columns that are null) pairs, of
+    which there are few.  No null counts are kept or shuffled per person."""
     nulls = {c: f"null_{i}" for i, c in enumerate(u.columns)}
-    per_segment = u.groupBy("segment").agg(
-        F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(c).isNull()).alias(n) for c, n in nulls.items()])
-    people = u.select("segment", "customer_unique_id").distinct().groupBy("segment").agg(
-        F.count("customer_unique_id").alias("people"))
+    missing = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in nulls])
+    pairs = u.select("segment", "customer_unique_id", missing.alias("_missing")).groupingSets(
+        [["segment", "customer_unique_id"], ["segment", "_missing"]], "segment", "customer_unique_id", "_missing").agg(
+        F.grouping_id().alias("_set"), F.sum(F.lit(1)).alias("_rows"))  # a bit for each column that is not grouped by
+    of_person, rows = F.col("_set") == 1, F.when(F.col("_set") == 2, F.col("_rows")).otherwise(0)
+    per_segment = pairs.groupBy("segment").agg(
+        F.count(F.when(of_person, F.col("customer_unique_id"))).alias("people"), F.sum(rows).alias("rows"),
+        *[F.sum(F.when(F.substring("_missing", i + 1, 1) == "1", rows).otherwise(0)).alias(n)
+          for i, n in enumerate(nulls.values())])
 
     def figure(check: str, item: Column, value: Column) -> Column:
         return F.struct(F.lit(check).alias("check_name"), item.alias("item"), value.cast("long").alias("value"))
 
     unmatched = F.when(F.col("segment").isNull(), F.col("rows")).otherwise(0)
     segment = F.coalesce("segment", F.lit("<none>"))
-    figures = {people: [figure("people_per_segment", segment, F.col("people")),
-                        figure("totals", F.lit("people"), F.col("people"))],
-               per_segment: [figure("totals", F.lit("rows"), F.col("rows")),
-                             figure("totals", F.lit("unmatched_rows"), unmatched),
-                             *[figure("nulls", F.lit(c), F.col(n)) for c, n in nulls.items()]]}
-    parts = [df.select(F.explode(F.array(*f)).alias("f")) for df, f in figures.items()]
-    added = parts[0].unionByName(parts[1]).groupBy("f.check_name", "f.item").agg(
+    figures = [figure("people_per_segment", segment, F.col("people")), figure("totals", F.lit("people"), F.col("people")),
+               figure("totals", F.lit("rows"), F.col("rows")), figure("totals", F.lit("unmatched_rows"), unmatched),
+               *[figure("nulls", F.lit(c), F.col(n)) for c, n in nulls.items()]]
+    added = per_segment.select(F.explode(F.array(*figures)).alias("f")).groupBy("f.check_name", "f.item").agg(
         F.sum("f.value").cast("long").alias("value"))
     return added.filter((F.col("check_name") != "nulls") | (F.col("value") > 0))
 

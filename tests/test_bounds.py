@@ -322,3 +322,19 @@ def test_rows_that_have_met_by_order_are_grouped_there(spark, tmp_path):
         "hashpartitioning(order_id" in x for x in _exchanges(spark, lambda: s.fact_orders.select("order_id", "customer_id"))) + 1
     rfm = _exchanges(spark, lambda: V.rfm_raw(s, P))
     assert not [x for x in rfm if "hashpartitioning(order_id" in x and "customer_city" in x]
+
+
+def test_unified_checks_equal_plain_counts(spark):
+    """Nulls in every column, people with nulls in some of their rows, no rows at all."""
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["A", "B", None]), rnd.choice([1, 2, 3, 4, None]), rnd.choice([1.0, None]), rnd.choice(["x", None]))
+            for _ in range(300)]
+    u = spark.createDataFrame(rows, "segment string, customer_unique_id long, price double, city string")
+    people = {g: len({r[1] for r in rows if r[0] == g and r[1] is not None}) for g in {r[0] for r in rows}}
+    want = {("people_per_segment", g or "<none>"): n for g, n in people.items()} | {
+        ("totals", "people"): sum(people.values()), ("totals", "rows"): 300,
+        ("totals", "unmatched_rows"): sum(r[0] is None for r in rows)} | {
+        ("nulls", c): sum(r[i] is None for r in rows) for i, c in enumerate(u.columns)}
+    assert {(r.check_name, r.item): r.value for r in R.unified_checks(u).collect()} == want
+    assert R.unified_checks(u)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    assert R.unified_checks(u.limit(0)).collect() == []
