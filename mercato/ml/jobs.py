@@ -21,8 +21,9 @@ from mercato.functions.numeric import round_ratio
 from mercato.ml import pipeline as M
 from mercato.ml.store import Manifest, ModelStore, now, table_version
 from mercato.params import Params
+from mercato.plans import shared as W
 from mercato.plans import views as V
-from mercato.session import ensure_checkpoint_dir
+from mercato.session import ensure_checkpoint_dir, store as stored, written
 from mercato.sources.star import Star
 
 
@@ -33,10 +34,12 @@ def features(s: Star, p: Params) -> DataFrame:
 def features_asof(s: Star, p: Params) -> DataFrame:
     """The model frame with the seller's record as it stood before the order
     was placed, instead of its record over all time."""
+    s = W.orders_once(s, p)  # read by the features and by the history
     dd = V.delivery_delay_drivers(s, p)
     lead = s.fact_order_items.filter(F.col("order_item_id") == 1).select("order_id", "seller_id")
-    past = V.seller_history_asof(s, p)
-    x = dd.join(lead, "order_id").join(past, ["order_id", "seller_id"], "left")
+    past = written(V.seller_history_asof(s, p), "seller_past")  # what it shuffles is gone when the features are made
+    # the few columns of the history meet first, the features are dealt by order once
+    x = dd.join(lead.join(past, ["order_id", "seller_id"], "left"), "order_id")
     x = x.withColumns({
         # a seller without earlier orders has rate and days 0 and 0 orders, which tells it from a good one
         "seller_hist_late_rate": F.coalesce("seller_prior_late_rate", F.lit(0.0)),
@@ -93,7 +96,7 @@ def training(s: Star, p: Params, temporal: bool = False, path: str | None = None
         return Training(known.run, not temporal)
     run = store.new_run()
     frame = features_asof(s, p) if temporal else features(s, p)
-    frame.write.parquet(f"{run}/frame")
+    stored(frame, f"{run}/frame")
     frame = spark.read.parquet(f"{run}/frame")
     split = M.temporal_split(frame, s.fact_orders, p.temporal_cutoff) if temporal else None
     f = M.fit(frame, p, logistic=not temporal, num_trees=p.num_trees, split=split)

@@ -338,3 +338,18 @@ def test_unified_checks_equal_plain_counts(spark):
     assert {(r.check_name, r.item): r.value for r in R.unified_checks(u).collect()} == want
     assert R.unified_checks(u)._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
     assert R.unified_checks(u.limit(0)).collect() == []
+
+
+def test_features_meet_the_history_by_order_alone(spark, tmp_path):
+    from mercato.ml import jobs
+    from mercato.plans.registry import star_for
+
+    s = star_for(spark, _tables(spark, tmp_path))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = _plan(jobs.features_asof(s, P)).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    by_both = [i for i, x in enumerate(lines) if "Exchange hashpartitioning(order_id" in x and "seller_id" in x.split("),")[0]]
+    assert by_both and not any("freight_ratio_pct" in x for i in by_both for x in lines[i:i + 4])
+    assert not any("l_shipdate" in x and "max(" in x for x in lines)  # the dates of the orders are stored
