@@ -353,3 +353,27 @@ def test_features_meet_the_history_by_order_alone(spark, tmp_path):
     by_both = [i for i, x in enumerate(lines) if "Exchange hashpartitioning(order_id" in x and "seller_id" in x.split("),")[0]]
     assert by_both and not any("freight_ratio_pct" in x for i in by_both for x in lines[i:i + 4])
     assert not any("l_shipdate" in x and "max(" in x for x in lines)  # the dates of the orders are stored
+
+
+def test_fits_read_rows_that_are_encoded_once(spark, tmp_path, monkeypatch):
+    """As many parts as run at a time; several fits in a session that has observed a write."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    spark.range(20).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(str(tmp_path / "observed"))
+    assert seen.get["n"] == 20
+    rnd = random.Random(6)
+    rows = [(i, int(rnd.random() < 0.3), *[rnd.random() for _ in M.NUMERIC], f"S{i % 3}", f"C{i % 5}") for i in range(400)]
+    df = spark.createDataFrame(rows, "order_id long, label int, " + ", ".join(f"{c} double" for c in M.NUMERIC)
+                               + ", customer_state string, primary_category string")
+    at_once = spark.sparkContext.defaultParallelism
+    assert M.dealt_for_fits(df.repartition(40)).rdd.getNumPartitions() == at_once
+    assert M.dealt_for_fits(df.repartition(1)).rdd.getNumPartitions() == 1
+    with monkeypatch.context() as m:
+        m.setattr(M, "TASK_ROWS", 400 // (3 * at_once) + 1)
+        assert M.dealt_for_fits(df.repartition(40)).rdd.getNumPartitions() == 3 * at_once
+    fitted = M.fit(df, P.with_(forest_trees_at_once=2), num_trees=6)
+    assert [x.getNumTrees for x in M.forests(fitted.forest)] == [2, 2, 2]
+    kinds = [type(x).__name__ for x in fitted.logistic.stages]
+    assert kinds[:3] == [type(x).__name__ for x in fitted.forest.stages[:3]] and kinds[3:] == ["StandardScalerModel", "LogisticRegressionModel"]
+    assert M.probabilities(fitted.logistic, M.probabilities(fitted.forest, fitted.test).drop("p_late")).count() == fitted.test.count()
